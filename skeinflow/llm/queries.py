@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, exact_dedup, sharding
+from skeinflow.llm import bpe, exact_dedup, ngram_join, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_sharding": sharding.op6_sharding,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
