@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, exact_dedup, ngram_join, sharding
+from skeinflow.llm import bpe, exact_dedup, ngram_join, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_sharding": sharding.op6_sharding,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op5_secret_scan": secret_scan.OP5_SQL}
