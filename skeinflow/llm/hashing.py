@@ -139,7 +139,7 @@ def shingles(texts: list[bytes], k: int, values: np.ndarray = WHITE) -> Iterator
             if b - a >= k:
                 yield first + i, rolled[a : b - k + 1]
             elif b > a:
-                short = sum(h[a + j] * odd[j] for j in range(b - a)) + odd[k + b - a - 1]
-                yield first + i, mix(np.array([short], np.uint64))
+                short = (h[a:b] * odd[: b - a]).sum(dtype=np.uint64, keepdims=True) + odd[k + b - a - 1 : k + b - a]
+                yield first + i, mix(short)
             else:
                 yield first + i, np.zeros(0, np.uint64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, exact_dedup, ngram_join, secret_scan, sharding
+from skeinflow.llm import bpe, decontaminate, exact_dedup, ngram_join, quality, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_sharding": sharding.op6_sharding,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_quality": quality.op9_quality,
     }
 
 
