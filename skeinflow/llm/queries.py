@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, decontaminate, exact_dedup, ngram_join, quality, secret_scan, sharding
+from skeinflow.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality": quality.op9_quality,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
