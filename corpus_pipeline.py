@@ -1,10 +1,77 @@
-"""A corpus pipeline over the operators of skeinflow.llm."""
+"""A corpus pipeline over the operators of skeinflow.llm.
+
+Each stage takes the table that its predecessor wrote and returns what it keeps, in the columns of documents; the last
+returns the tokens of what remains. A null text counts as empty, empty tables stay empty, further columns are carried
+along, and identical repeated rows shrink to one in the second stage. Rows without an identifier are told apart by their
+text alone; they stay unless an equal or similar text has an identifier.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinflow.llm.bpe import encode_documents, read_ranks
+from skeinflow.llm.decontaminate import contaminated
+from skeinflow.llm.exact_dedup import exact_dedup
+from skeinflow.llm.ngram_join import jaccard_join
+from skeinflow.llm.quality import learnable, score, train
+from skeinflow.llm.staging import stage_path
+
+#: A document goes if its score is below this.
+LEAST_QUALITY = 0.5
+#: Near copies: Jaccard similarity of five-word shingles of at least SIMILAR / 100.
+WORDS, SIMILAR = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels that may be learnt, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = train(docs, labels.filter(learnable(F.col("doc_id"))))
+    return score(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest identifier."""
+    key = lambda row_id, digest: F.concat_ws(":", row_id.cast("string"), digest).alias("_key")
+    kept = exact_dedup(docs, keep="smallest").filter("kept").select(key(F.col("row_id"), F.col("text_sha256")))
+    keyed = docs.select("*", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest identifier."""
+    groups = jaccard_join(docs, k=WORDS, num=SIMILAR, den=100)
+    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(docs, items).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")), "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and the decoded bytes."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select(F.col("row_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("tokens", tokens)]
+
+#: The stages can't be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = stage_path(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding
+from skeinflow.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_sharding": sharding.op6_sharding,
