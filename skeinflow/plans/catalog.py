@@ -434,8 +434,13 @@ def wilcoxon_statistic(spark, d):
     return evaluation.rung_test(fold_auc(spark, d))
 
 
+def _traded(spark, d):
+    """The synthetic bars jump by hundreds of per cent a day, so baskets trade at the 50-row average."""
+    return price_features(spark, d).withColumn("close_px", F.col("sma_50"))
+
+
 def _pnl(spark, d):
-    return evaluation.backtest(_assigned(spark, d), price_features(spark, d))
+    return evaluation.backtest(_assigned(spark, d), _traded(spark, d))
 
 
 @query("SELECT * FROM pnl")
@@ -455,7 +460,7 @@ def backtest_pnl_b(spark, d):
 
 def _bench(spark, d, pnl):
     span = pnl.agg(F.min("trade_date"), F.max("trade_date")).first()
-    return evaluation.benchmark(price_features(spark, d), *span)
+    return evaluation.benchmark(_traded(spark, d), *span)
 
 
 @query("SELECT * FROM bench")
@@ -540,3 +545,65 @@ WEIGHTS = {"bb_z": 1.0, "vol_20d": -2.0, "log_ret_1d": 100.0, "macd_hist": 0.001
 def attribution_topn(spark, d):
     pairs = [x for name, w in WEIGHTS.items() for x in (F.lit(name), F.col(name) * F.lit(w))]
     return reports.attribution_top(feature_panel(spark, d).select("price_key", F.create_map(*pairs).alias("w")), "price_key", "w", 3)
+
+
+# --- streams
+
+
+@query(f"SELECT doc_id, md5(b) AS body_md5 FROM (SELECT *, {mask('text')} AS b FROM documents)")
+def stream_masked(spark, d):
+    from skeinflow.sources.shared import stage_path
+    from skeinflow.streaming.ingest import drain, file_stream
+
+    schema = table(spark, d, "documents").schema
+    rows = file_stream(spark, f"{d}/documents.parquet*", schema)
+    out, mark = stage_path(spark, "masked"), stage_path(spark, "masked-offsets")
+    drain(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(txt.mask_pii(F.col("text"))).alias("body_md5")), out, mark)
+    return spark.read.schema("doc_id long, body_md5 string").parquet(out)
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, CAST(max(ts) AS VARCHAR) AS at FROM events GROUP BY ALL")
+def stream_scd1(spark, d):
+    from skeinflow.sources.shared import stage_path
+    from skeinflow.streaming.ingest import Snapshot, file_stream
+
+    rows = file_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, as_text=False)
+    snapshot = Snapshot(spark, stage_path(spark, "scd1"), ["user_id", "event_type"], ["ts", "event_id"])
+    snapshot.follow(rows.select("user_id", "event_type", "event_id", "ts"), stage_path(spark, "scd1-offsets"))
+    return snapshot.current().select("user_id", "event_type", "event_id", F.col("ts").cast("string").alias("at"))
+
+
+# --- models (approximations of models that aren't available offline; no SQL)
+
+
+@query()
+def pca_components(spark, d):
+    from skeinflow.ml.pca import components
+
+    out, _ = components(table(spark, d, "embeddings"), "embedding")
+    return out.select("vec_id", *[f"filing_pc{i}" for i in range(1, 6)])
+
+
+@query()
+def rung0_ar(spark, d):
+    from skeinflow.ml import autoregression
+
+    return autoregression.walk_forward(feature_panel(spark, d), _folds(spark))
+
+
+STRUCTURED = [*panel.PRICE_FEATURES, *panel.RATIOS, *panel.PROXIES]
+
+
+@query()
+def rung1_trees(spark, d):
+    from skeinflow.ml import trees
+
+    return trees.walk_forward(feature_panel(spark, d), _folds(spark), STRUCTURED, 1)
+
+
+@query()
+def rung2_trees(spark, d):
+    from skeinflow.ml import trees
+
+    flags = [f"is_{s.lower().replace(' ', '_')}" for s in SECTORS]
+    return trees.walk_forward(feature_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *flags, *panel.CROSSES], 2)

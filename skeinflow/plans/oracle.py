@@ -133,8 +133,9 @@ RELATIONS: dict[str, str] = {
         SELECT model_rung, fold_id, count(*) AS n, CAST(sum(y_5d_up) AS BIGINT) AS n_pos, CAST(2 * sum(rk) FILTER (y_5d_up = 1) - sum(y_5d_up) * (sum(y_5d_up) + 1) AS DOUBLE) / CAST(2 * sum(y_5d_up) * (count(*) - sum(y_5d_up)) AS DOUBLE) AS auc
         FROM (SELECT *, rank() OVER (PARTITION BY model_rung, fold_id ORDER BY prob_up) + (count(*) OVER (PARTITION BY model_rung, fold_id, prob_up) - 1) / 2.0 AS rk FROM assigned)
         GROUP BY ALL HAVING sum(y_5d_up) > 0 AND sum(y_5d_up) < count(*)""",
+    "traded": "SELECT * REPLACE (sma_50 AS close_px) FROM prices",
     "fwd": """
-        SELECT company_key, trade_date, CASE WHEN close_px > 0 THEN (lead(close_px, 5) OVER (PARTITION BY company_key ORDER BY trade_date) - close_px) / close_px END AS fwd_ret FROM prices""",
+        SELECT company_key, trade_date, CASE WHEN close_px > 0 THEN (lead(close_px, 5) OVER (PARTITION BY company_key ORDER BY trade_date) - close_px) / close_px END AS fwd_ret FROM traded""",
     "picks": """
         SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY model_rung ORDER BY trade_date) - 1 AS day_no FROM assigned) WHERE day_no % 5 = 0
         QUALIFY row_number() OVER (PARTITION BY model_rung, trade_date ORDER BY prob_up DESC, company_key) <= 5""",
@@ -149,7 +150,7 @@ RELATIONS: dict[str, str] = {
     "bench": """
         SELECT trade_date, round(product(1 + day) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1, 6) AS benchmark_cum FROM (
           SELECT trade_date, CAST(sum(r) AS DOUBLE) / count(r) / 1e9 AS day FROM (
-            SELECT trade_date, CASE WHEN before > 0 THEN CAST(round((close_px - before) / before * 1e9) AS BIGINT) END AS r FROM rets) WHERE r IS NOT NULL GROUP BY ALL)
+            SELECT trade_date, CASE WHEN before > 0 THEN CAST(round((close_px - before) / before * 1e9) AS BIGINT) END AS r FROM (SELECT *, lag(close_px) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM traded)) WHERE r IS NOT NULL GROUP BY ALL)
         WHERE trade_date BETWEEN (SELECT min(trade_date) FROM baskets) AND (SELECT max(trade_date) FROM baskets)""",
     "pnl_bench": "SELECT md5(trade_date::VARCHAR) AS date_key, pnl.*, benchmark_cum FROM pnl LEFT JOIN bench USING (trade_date)",
     "types": "SELECT md5(lower(trim(code))) AS filing_type_key, code, label FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in FILING_TYPES) + ") AS t(code, label)",
