@@ -92,10 +92,10 @@ def whole_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str, quarantine: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """(good rows, unreadable rows) of multi-line JSON files."""
+    """(good rows, rows of unreadable documents with their text in ``quarantine``) of multi-line JSON files."""
     rows = spark.read.schema(f"{schema}, {quarantine} string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", quarantine).json(path)
     bad = F.col(quarantine).isNotNull()
-    return rows.filter(~bad).drop(quarantine), rows.filter(bad).select(quarantine)
+    return rows.filter(~bad).drop(quarantine), rows.filter(bad)
 
 
 def recent(df: DataFrame, day: str, today: date, months: int) -> DataFrame:
