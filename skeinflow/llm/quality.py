@@ -20,12 +20,12 @@ from skeinflow.llm.hashing import words
 from skeinflow.llm.staging import bound_batches
 
 #: Hash buckets of the trigrams as they stand and of their kinds.
-PLAIN, KINDS = 4096, 2048
+PLAIN, KINDS = 2048, 1024
 #: Least shares of repeated words of the repetition terms, after a first term for none.
 REPEATS = np.array([0.0, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64])
 TERMS = PLAIN + KINDS + len(REPEATS) + 1
 #: Most labelled rows that are fitted and voted on, by the hash of the identifier.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Dimensions of the vectors; neighbours that vote; the power of the similarity that weighs a vote.
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 15, 4.0
 #: Length of the repetition terms beside the trigrams' length of 1.
@@ -99,8 +99,10 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, idf: np.ndarray) -> Model:
-    """Singular vectors by subspace iteration from a fixed start."""
-    rows = _weigh(counts, idf)
+    """Singular vectors by subspace iteration from a fixed start; ``counts`` is overwritten."""
+    rows = counts.astype(np.float32, copy=False)
+    for at in range(0, len(rows), BLOCK):  # in place, so a sample stands in memory once
+        rows[at : at + BLOCK] = _weigh(rows[at : at + BLOCK], idf)
     rng = np.random.default_rng(0)
     axes = np.linalg.qr(rng.standard_normal((rows.shape[1], min(DIMENSIONS + 16, *rows.shape))))[0].astype(np.float32)
     for _ in range(4):
@@ -146,8 +148,12 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     if not fitted:
         empty = np.zeros((0, DIMENSIONS), np.float32)
         return Model(idf, np.zeros((TERMS, DIMENSIONS), np.float32), empty, np.zeros(0))
-    counts = np.stack([np.frombuffer(c, np.uint16) for _, _, c in fitted]).astype(np.float32)
-    return fit(counts, np.array([label for _, label, _ in fitted]), idf)
+    found = np.array([label for _, label, _ in fitted])
+    counts = np.empty((len(fitted), TERMS), np.float32)
+    for i in range(len(fitted)):
+        counts[i] = np.frombuffer(fitted[i][2], np.uint16)
+        fitted[i] = ()
+    return fit(counts, found, idf)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
