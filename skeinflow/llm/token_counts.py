@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.bpe import encode, encoder, read_ranks
-from skeinflow.llm.staging import bound_batches, exists, remove, stage_path
+from skeinflow.llm.staging import bound_batches, committed, exists, remove, stage_path
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens"]
@@ -72,12 +72,7 @@ class TokenRollup:
 
     def _names(self, kind: str) -> list[str]:
         """The committed folders of a kind."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in system.listStatus(folder)]
-        return sorted(n for n in names if exists(self.spark, f"{self.path}/{kind}/{n}/_SUCCESS"))
+        return committed(self.spark, f"{self.path}/{kind}")
 
     def _base(self) -> tuple[int, DataFrame | None, set[str]]:
         # the identifiers are written last, so they make a base whole
