@@ -607,3 +607,17 @@ def rung2_trees(spark, d):
 
     flags = [f"is_{s.lower().replace(' ', '_')}" for s in SECTORS]
     return trees.walk_forward(feature_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *flags, *panel.CROSSES], 2)
+
+
+@query(f"""
+    SELECT doc_id, symbol, md5(lower(trim(symbol))) AS company_key, p AS published_at, CAST(TRY_CAST(p AS TIMESTAMP) AS DATE) AS trade_date, CASE WHEN n > 0 THEN CAST(a AS DOUBLE) / n ELSE 0 END AS pos_prob, CASE WHEN n > 0 THEN CAST(n - a - g AS DOUBLE) / n ELSE 1 END AS neu_prob,
+      CASE WHEN n > 0 THEN CAST(g AS DOUBLE) / n ELSE 0 END AS neg_prob, CASE WHEN n > 0 THEN CAST(a - g AS DOUBLE) / n ELSE 0 END AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('quarter', TRY_CAST(p AS TIMESTAMP)) ORDER BY md5(doc_id::VARCHAR)) AS r FROM (
+      SELECT doc_id, lang AS symbol, CASE WHEN doc_id % 10 = 0 THEN 'unknown' ELSE '2024-0' || (doc_id % 9 + 1) || '-15 10:00:00' END AS p, len(w) AS n, len(list_filter(w, lambda x: lower(x) IN {lexicon(txt.POSITIVE)})) AS a, len(list_filter(w, lambda x: lower(x) IN {lexicon(txt.NEGATIVE)})) AS g
+      FROM words_docs WHERE doc_id NOT IN (SELECT doc_id FROM labels))) WHERE r <= 30""")
+def score_incremental(spark, d):
+    from skeinflow.plans.scoring import score_new
+
+    published = F.when(F.col("doc_id") % 10 == 0, "unknown").otherwise(F.concat(F.lit("2024-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("-15 10:00:00")))
+    articles = table(spark, d, "documents").select("doc_id", F.col("lang").alias("symbol"), published.alias("published_at"), "text")
+    return score_new(articles, table(spark, d, "labels"), "doc_id", "text", 30)
