@@ -179,3 +179,14 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contaminated(docs, items)
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark),
+grams AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 'i' GROUP BY id),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS o FROM grams d JOIN grams i ON d.g = i.g WHERE d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item_shingles, o AS n_shared, CAST(o AS DOUBLE) / n AS containment FROM shared JOIN sizes ON id = item_id WHERE 100 * o >= 80 * n
+"""

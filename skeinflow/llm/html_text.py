@@ -253,3 +253,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: For the synthetic pages, whose article is an article element with few kinds of tags and references.
+OP10_SQL = r"""
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM pages)
+"""

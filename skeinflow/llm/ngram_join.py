@@ -5,12 +5,15 @@ segments that fall into them.
 
 Candidates: two sets with Jaccard t or more differ in at most D = (|a| + |b|)(1 - t)/(1 + t) n-grams. If the order is cut
 into more fragments than D, at least one fragment holds identical segments. The number of fragments follows the size
-class; a set is cut for its own class and the next, so that any pair that can be linked shares one cut. Empty segments
-carry no evidence: a cut has some fragments to spare for them, and a set with more empty segments than that is cut
-again with another order, until it has few. So no linked pair is lost, and frequent n-grams alone pair nothing.
+class; a set is cut for its own class and the next, so that any pair that can be linked shares one cut. Segments of
+fewer than two n-grams carry no evidence: a cut has some fragments to spare for them, and a set with more weak segments
+than that is cut again with another order, until it has few. So no linked pair is lost, and a frequent n-gram alone
+pairs nothing.
 
-Equal segments are combined before they are shuffled: of the sets in a map task with the same segment only the least
-goes on, the others are tied to it. The ties' connected components are candidate clusters, supersets of the true ones.
+Bounds: sets that share a segment are compared by their counts in coarse cells of the order, taken in the first pass.
+The sum of the lesser counts bounds the overlap from above, so pairs that share a passage but can't be linked are cut
+off exactly, and what remains is tied together. The ties' connected components are candidate clusters, supersets of the
+true ones.
 
 Verification: the sets of a cluster meet once. Within a task partial overlaps are counted fragment by fragment of the
 order and summed per pair, and exact integer arithmetic decides. Clusters that exceed a block are dealt to pairs of
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import ceil, sqrt
+from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,12 @@ from skeinflow.llm.staging import bound_batches, stage
 
 #: Sets, and n-grams in all, of a block; a task holds two blocks.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
-#: Orders tried before the empty segments of a set are used as well.
+#: Orders tried before the weak segments of a set are used as well.
 ORDERS = 12
-#: Segments combined at once in a map task.
-CHUNK = 1 << 19
+#: Rows of a batch of segments.
+CHUNK = 1 << 18
+#: N-grams per cell of the counts that bound an overlap.
+CELL = 8
 #: Columns of the order counted at once in verification.
 FRAGMENT = 2048
 #: Members' tasks that are broadcast to fetch the texts (about 50 bytes each); beyond it the texts are shuffled.
@@ -60,21 +65,49 @@ def size_class(n: int, num: int, den: int) -> int:
     return int(np.searchsorted(class_bounds(num, den), n, "right")) - 1
 
 
+def _settled(n: int, fragments: int, spare: int, least: int) -> float:
+    """About the chance that a set of ``n`` has at most ``spare`` segments of fewer than ``least`` n-grams."""
+    p = 1 / fragments
+    weak = (1 - p) ** n if least == 1 else (1 - p) ** n + n * p * (1 - p) ** (n - 1)
+    mean, sd = fragments * weak, sqrt(max(fragments * weak * (1 - weak), 1e-9))
+    return 0.5 * (1 + erf((spare + 0.5 - mean) / sd / sqrt(2)))
+
+
 @cache
-def cut(scheme: int, num: int, den: int) -> tuple[int, int]:
-    """(fragments, empty segments allowed) for pairs whose larger set is in class ``scheme``; no fragments: only equal sets link."""
+def cut(scheme: int, num: int, den: int) -> tuple[int, int, int]:
+    """(fragments, weak segments allowed, n-grams of a segment that isn't weak) for pairs whose larger set is in class
+    ``scheme``; no fragments: only equal sets link."""
     bounds = class_bounds(num, den)
     least, most = int(bounds[scheme]), int(bounds[scheme + 1]) - 1
     differ = 2 * most * (den - num) // (den + num)
     if differ == 0:
-        return 0, 0
-    spare = 0
-    while True:
-        fragments = differ + 1 + spare
-        empty = fragments * (1 - 1 / fragments) ** least
-        if spare >= empty + 1.5 * sqrt(empty) - 0.5 or spare > differ + 8:
-            return fragments, spare
-        spare += 1
+        return 0, 0, 1
+    best = (0.0, differ + 1, 0, 1)
+    for strong in (2, 1):
+        for spare in range(2 * differ + 8):
+            chance = _settled(max(least * num // den, 1), differ + 1 + spare, spare, strong)
+            if chance > best[0]:
+                best = (chance, differ + 1 + spare, spare, strong)
+            if chance >= 0.9:
+                break
+        if best[0] >= 0.4:
+            break
+    return best[1:]
+
+
+def cells(scheme: int, num: int, den: int) -> int:
+    return max(16, -(-int(class_bounds(num, den)[scheme]) // CELL))
+
+
+def cell_counts(grams: np.ndarray, scheme: int, num: int, den: int) -> bytes:
+    """How many n-grams of a set lie in each of the order's cells, up to 255 a cell; a full cell bounds nothing."""
+    width = cells(scheme, num, den)
+    at = ((grams >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+#: Low bits of a signature that name its scheme.
+SCHEME_BITS = 9
 
 
 def segments(grams: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -82,20 +115,26 @@ def segments(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     found = []
     own = size_class(len(grams), num, den)
     for scheme in (own, own + 1):
-        fragments, spare = cut(scheme, num, den)
+        fragments, spare, strong = cut(scheme, num, den)
+        names = []
         for order in range(ORDERS if fragments else 0):
             ranked = np.sort(grams if order == 0 else mix(grams + mix(np.array([order], np.uint64))))
             at = ((ranked >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            size = np.diff(np.append(first, len(at)))
             seed = mix(np.array([(scheme << 8) + order], np.uint64))
-            where = mix(at[first] + seed)
-            found.append(mix(np.add.reduceat(mix(ranked + seed), first) ^ where))
-            empty = fragments - len(first)
-            if empty <= spare:
+            name = mix(np.add.reduceat(mix(ranked + seed), first) ^ mix(at[first] + seed))
+            good = size >= strong
+            settled = fragments - int(good.sum()) <= spare
+            names.append(name[good])
+            if settled:
                 break
             if order == ORDERS - 1:
                 missing = np.setdiff1d(np.arange(fragments, dtype=np.uint64), at[first])
-                found.append(mix(mix(missing + seed) + np.uint64(1)))
+                names += [name[~good], mix(mix(missing + seed) + np.uint64(1))]
+        if names:
+            low = np.uint64((1 << SCHEME_BITS) - 1)
+            found.append(np.concatenate(names) & ~low | np.uint64(scheme))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -118,33 +157,19 @@ def _summaries(k: int, num: int, den: int):
             rows = []
             for _, grams in shingles(_texts(batch), k):
                 grams, name = set_of(grams)
-                rows.append((name, len(grams), size_class(len(grams), num, den) if len(grams) else -1))
-            names, sizes, classes = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int32())], names=["doc_id", "node", "n", "k"])
+                own = size_class(len(grams), num, den) if len(grams) else -1
+                counts = [cell_counts(grams, c, num, den) for c in (own, own + 1)] if len(grams) else [b"", b""]
+                rows.append((name, len(grams), own, *counts))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "node", "n", "k", "cells_own", "cells_next"])
 
     return run
 
 
-TIES = ["sig", "node", "other"]
-
-
-def _tie_batch(sig: np.ndarray, node: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
-    other = pa.nulls(len(node), pa.int64()) if other is None else pa.array(other, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64), pa.int64()), pa.array(node, pa.int64()), other], names=TIES)
-
-
 def _segment_rows(k: int, num: int, den: int):
-    def combine(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, node = np.concatenate(sigs), np.concatenate(nodes)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.concatenate(([True], sig[1:] != sig[:-1]))
-        yield _tie_batch(sig[new], node[new], None)
-        least = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        tied = least != node
-        if tied.any():
-            pairs = np.unique(np.stack([least[tied], node[tied]]), axis=1)
-            yield _tie_batch(mix(pairs[0].view(np.uint64) + mix(pairs[1].view(np.uint64))), np.ascontiguousarray(pairs[0]), np.ascontiguousarray(pairs[1]))
+    def batch_of(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, rows, seen = [], [], 0, set()
@@ -159,35 +184,104 @@ def _segment_rows(k: int, num: int, den: int):
                 nodes.append(np.full(len(found), name, np.int64))
                 rows += len(found)
                 if rows >= CHUNK:
-                    yield from combine(sigs, nodes)
+                    yield batch_of(sigs, nodes)
                     sigs, nodes, rows, seen = [], [], 0, set()
         if rows:
-            yield from combine(sigs, nodes)
+            yield batch_of(sigs, nodes)
 
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sig, node): the given ties, and one of each further node to the first of its segment."""
-    last_sig, last_node = None, None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (sig, node): (group, node, scheme) of the segments that several nodes share; a group is named
+    by its members, so segments with the same members are one group."""
+    sig = node = np.zeros(0, np.int64)
+
+    def shared(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))) if len(sig) else np.zeros(0, bool)
+        sig, node = sig[fresh], node[fresh]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(sig)))
+        scheme = sig & ((1 << SCHEME_BITS) - 1)
+        if len(first):
+            name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + mix(scheme[first].view(np.uint64)))
+        else:
+            name = np.zeros(0, np.uint64)
+        many = np.repeat(size > 1, size)
+        group = np.repeat(name, size)[many].view(np.int64)
+        rows = np.unique(np.stack([group, node[many], scheme[many]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=["group", "node", "scheme"])
+
     for batch in batches:
-        if not batch.num_rows:
+        sig = np.concatenate([sig, batch.column(0).to_numpy()])
+        node = np.concatenate([node, batch.column(1).to_numpy()])
+        if not len(sig):
             continue
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        given = np.asarray(batch.column(2).is_valid())
-        a, b = [node[given]], [batch.column(2).drop_null().to_numpy()]
-        sig, node = sig[~given], node[~given]
-        if len(sig):
-            if last_sig is not None:
-                sig, node = np.concatenate(([last_sig], sig)), np.concatenate(([last_node], node))
-            new = np.concatenate(([True], sig[1:] != sig[:-1]))
-            first = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            last_sig, last_node = sig[-1], first[-1]
-            tied = first != node
-            a.append(first[tied])
-            b.append(node[tied])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if sum(map(len, a)) else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], names=["a", "b"])
+        # the last segment may go on in the next batch
+        cut_at = int(np.searchsorted(sig, sig[-1]))
+        if cut_at:
+            yield shared(sig[:cut_at], node[:cut_at])
+            sig, node = sig[cut_at:], node[cut_at:]
+    yield shared(sig, node)
+
+
+def reachable(counts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the first one connected with it by pairs whose overlap may suffice, by the sum of the lesser counts.
+
+    Each set is compared with those that are not reached yet, so a group of near copies takes linear time.
+    """
+    label = np.full(len(sizes), -1)
+    free = np.arange(len(sizes))
+    full = counts == 255
+    while len(free):
+        root, edge = free[0], [free[0]]
+        label[root] = root
+        free = free[1:]
+        while edge and len(free):
+            one = edge.pop()
+            least = np.minimum(sizes[free], sizes[one])
+            most = np.minimum(counts[free], counts[one]).sum(axis=1, dtype=np.int64)
+            # a cell that is full on either side bounds nothing
+            most = np.where(full[free].any(axis=1) | full[one].any(), least, np.minimum(most, least))
+            hit = den * most >= num * (sizes[free] + sizes[one] - most)
+            edge += free[hit].tolist()
+            label[free[hit]] = root
+            free = free[~hit]
+    return label
+
+
+def _ties(num: int, den: int):
+    """Rows (group, node, n, counts) in order of the group to ties of each node with the first one it may reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        out: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            if len(rows) > 1:
+                counts = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
+                label = reachable(counts, np.array([r[1] for r in rows], np.int64), num, den)
+                for i in np.flatnonzero(label != np.arange(len(rows))):
+                    out[0].append(rows[label[i]][0])
+                    out[1].append(rows[i][0])
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            for group, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if group != key:
+                    close()
+                    key, rows = group, []
+                rows.append(row)
+            yield flush()
+        close()
+        yield flush()
+
+    return run
 
 
 TASK = ["cluster", "k1", "h1", "k2", "h2"]
@@ -346,11 +440,16 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     bound_batches(spark)
     docs = df.select(df[text_col].cast("string").cast("binary").alias("text"), df[id_col].cast("long").alias("doc_id"))
 
-    own = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, node long, n long, k int"), "ngram-sets")
+    own = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, node long, n long, k int, cells_own binary, cells_next binary"), "ngram-sets")
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
 
-    rows = docs.mapInArrow(_segment_rows(k, num, den), "sig long, node long, other long")
-    ties = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_ties, "a long, b long")
+    rows = docs.mapInArrow(_segment_rows(k, num, den), "sig long, node long")
+    groups = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_groups, "group long, node long, scheme long")
+    groups = stage(groups.distinct(), "ngram-groups")
+    counted = own.filter("n > 0").dropDuplicates(["node"]).select("node", "n", "k", "cells_own", "cells_next")
+    cell = F.when(F.col("k") == F.col("scheme"), F.col("cells_own")).otherwise(F.col("cells_next"))
+    shared = groups.join(counted, "node").select("group", "node", "n", cell.alias("counts"))
+    ties = shared.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_ties(num, den), "a long, b long")
     clusters = components(ties).withColumnRenamed("component", "cluster")
 
     members = stage(nodes.filter("rep IS NOT NULL").join(clusters, "node"), "ngram-members")
@@ -367,12 +466,27 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
     linked = named.join(least, "component").join(degrees, "node", "left").select("node", "component_id", "degree")
-    info = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
-    return own.join(info, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    info = nodes.join(linked, "node", "left").filter("weight > 1 OR degree IS NOT NULL")
+    info = info.select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+    # read back, both sides of this join come from an exchange of their own, so a set with very many copies can be split
+    joined = own.select("doc_id", "node", "n").join(stage(info, "ngram-links"), "node", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_join(docs, k=3, num=90, den=100)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * o >= 90 * (s.n + t.n - o)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, (SELECT min(b) FROM reach WHERE a = w.doc_id)) AS component_id, (SELECT count(*) FROM links WHERE a = w.doc_id) AS n_links
+FROM w LEFT JOIN sizes USING (doc_id)
+"""

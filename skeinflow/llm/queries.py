@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op5_secret_scan": secret_scan.OP5_SQL}
+    return {
+        "op2_ngram_join": ngram_join.OP2_SQL,
+        "op5_secret_scan": secret_scan.OP5_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op8_decontaminate": decontaminate.OP8_SQL,
+        "op10_html_text": html_text.OP10_SQL,
+    }
