@@ -28,7 +28,10 @@ def plain(value):
 
 
 #: Long chains over the panel; one of each kind is enough here, the rest run in the driver's own comparison.
-SLOW = {"fold_accuracy", "fold_assignment", "benchmark_eqw", "backtest_pnl", "backtest_summary", "report_sector", "report_distribution", "report_latest", "rung1_trees"}
+SLOW = {
+    "fold_accuracy", "fold_assignment", "fold_auc", "benchmark_eqw", "backtest_pnl", "backtest_pnl_b", "backtest_summary", "backtest_with_benchmark", "report_sector", "report_distribution", "report_latest",
+    "report_top5", "report_rung_pivot", "report_lookup", "leakage_guard", "predictions", "rung0_ar", "rung1_trees", "rung2_trees",
+}
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW])
