@@ -3,7 +3,8 @@
 A unit is a line, cut further after a sentence's end, so that a passage pasted into a longer line is still found by the
 sentences inside it. Units are normalised to their words (runs of letters and digits, A-Z lower-cased) and hashed to 64
 bits. Digests are grouped globally; the unit of the least (identifier, offset) is kept. Neighbouring repeated units of a
-document form a span, which is removed if it has MIN_WORDS words or more, so a stray short sentence stays.
+document form a span. Whole lines are removed at any length; the sentences of a line that isn't repeated as a whole only
+in spans of PIECE_WORDS words or more, so a stray short sentence stays in its line.
 
 Repeats within a map task are settled there, so of a hot line one row per task is shuffled; what remains is sorted by
 digest and compared with its neighbours in a streaming pass. Offsets count code points of the original text.
@@ -21,23 +22,25 @@ from pyspark.sql import functions as F
 from skeinflow.llm.hashing import ALNUM, batches_of, mix, words
 from skeinflow.llm.staging import bound_batches
 
-#: Least words of a removed span.
-MIN_WORDS = 12
+#: Least words of a removed span that begins or ends within a line.
+PIECE_WORDS = 12
 #: Units combined at once in a map task.
 CHUNK = 1 << 18
 
-UNITS = ["digest", "doc", "row", "at", "start", "end", "words", "repeated"]
+UNITS = ["digest", "doc", "row", "at", "start", "end", "words", "edges", "repeated"]
+#: Bits of edges: the unit is the first, the last of its line.
+FIRST, LAST = 1, 2
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?")]] = True
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first byte, end, words) of the units of a buffer that hold words, in order."""
+def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first byte, end, words, edges) of the units of a buffer that hold words, in order."""
     h, begins = words(raw, ALNUM)
     if not len(h):
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
     after = _WHITE[raw[1:]] & _ENDS[raw[:-1]]
     cuts = np.union1d(np.flatnonzero(raw == 10) + 1, np.flatnonzero(after) + 1)
     cuts = np.concatenate(([0], cuts[(cuts > 0) & (cuts < len(raw))], [len(raw)]))
@@ -52,7 +55,9 @@ def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     black = np.flatnonzero(~_WHITE[raw])
     start = black[np.searchsorted(black, start)]
     end = black[np.searchsorted(black, cuts[held + 1]) - 1] + 1
-    return digest, start, end, n
+    line = np.searchsorted(np.flatnonzero(raw == 10), start)
+    new = np.concatenate(([True], line[1:] != line[:-1], [True]))
+    return digest, start, end, n, FIRST * new[:-1] + LAST * new[1:]
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +65,11 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = 0
 
     def combine() -> pa.RecordBatch:
-        digest, doc, row, at, start, end, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        digest, doc, row, at, start, end, n, edges = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((start, row, doc, digest))
         digest = digest[order]
         repeated = np.concatenate(([False], digest[1:] == digest[:-1]))
-        columns = [digest.view(np.int64), *(c[order] for c in (doc, row, at, start, end, n)), repeated]
+        columns = [digest.view(np.int64), *(c[order] for c in (doc, row, at, start, end, n, edges)), repeated]
         # settled rows need no meeting place: they are dealt out by their document instead
         columns[0] = np.where(repeated, mix(columns[1].view(np.uint64)).view(np.int64), columns[0])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=UNITS)
@@ -74,14 +79,14 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x or b"" for x in batch.column(2).to_pylist()]
         for a, b in batches_of(texts):
             raw = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
-            digest, start, end, n = units(raw)
+            digest, start, end, n, edges = units(raw)
             bounds = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
             owner = np.searchsorted(bounds, start, "right") - 1
             chars = np.cumsum((raw & 0xC0) != 0x80) if len(raw) else np.zeros(0, np.int64)
             before = lambda at: np.where(at > 0, chars[np.maximum(at, 1) - 1], 0) if len(chars) else at  # noqa: B023, E731
             base = before(bounds[owner])
             number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            held.append([digest, docs[a + owner], rows[a + owner], number, before(start) - base, before(end) - base, n])
+            held.append([digest, docs[a + owner], rows[a + owner], number, before(start) - base, before(end) - base, n, edges])
             count += len(digest)
             if count >= CHUNK:
                 yield combine()
@@ -96,7 +101,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        digest, done = batch.column(0).to_numpy(), np.asarray(batch.column(7).to_pylist())
+        digest, done = batch.column(0).to_numpy(), np.asarray(batch.column(8).to_pylist())
         open_ = np.flatnonzero(~done)
         own = digest[open_]
         again = np.concatenate(([last is not None and len(own) and own[0] == last], own[1:] == own[:-1])).astype(bool) if len(own) else np.zeros(0, bool)
@@ -104,10 +109,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = own[-1]
         marked = done.copy()
         marked[open_] = again
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 7)], names=UNITS[1:7]).filter(pa.array(marked))
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 8)], names=UNITS[1:8]).filter(pa.array(marked))
 
 
-def _spans(min_words: int):
+def spans_of(run: list[tuple], min_words: int | None) -> list[tuple]:
+    """The (start, end) to remove of a run of neighbouring repeated units (start, end, words, edges)."""
+    enough = sum(u[2] for u in run) >= (PIECE_WORDS if min_words is None else min_words)
+    if not enough and min_words is None:  # only its whole lines
+        begin = next((i for i, u in enumerate(run) if u[3] & FIRST), len(run))
+        end = next((i for i in range(len(run), 0, -1) if run[i - 1][3] & LAST), 0)
+        run = run[begin:end]
+        enough = bool(run)
+    return [(run[0][0], run[-1][1])] if enough else []
+
+
+def _spans(min_words: int | None):
     """Repeated units in order of (doc, row, at) to one row per document row: its spans, joined where neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +131,7 @@ def _spans(min_words: int):
         out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
-            spans = [{"start": a, "end": b} for a, b, w in runs if w >= min_words]
+            spans = [{"start": a, "end": b} for units in runs for a, b in spans_of(units, min_words)]
             if spans:
                 for column, value in zip(out, (*key, spans), strict=True):
                     column.append(value)
@@ -128,14 +144,14 @@ def _spans(min_words: int):
             return batch
 
         for batch in batches:
-            for doc, row, at, start, end, w in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for doc, row, at, *unit in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (doc, row) != key:
                     close()
                     key, last, runs = (doc, row), None, []
                 if last == at - 1:
-                    runs[-1] = (runs[-1][0], end, runs[-1][2] + w)
+                    runs[-1].append(unit)
                 elif last != at:
-                    runs.append((start, end, w))
+                    runs.append([unit])
                 last = at
             yield flush()
         close()
@@ -165,20 +181,21 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], names=["doc_id", "spans", "text"])
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """One row per row: doc_id, spans (array of start, end) that were removed, text (without the spans).
 
     The earliest occurrence is the one of the least identifier, then of the least text hash and offset; a null
     identifier ranks as the least integer. Null, empty and blank texts have no units and come back empty or as they
-    are. Rows with the same identifier and text count as one and share the result. Identifiers are integers; other
-    columns are ignored; an empty table gives an empty result.
+    are. ``min_words``, if given, is the least number of words of every span, of lines and sentences alike. Rows with
+    the same identifier and text count as one and share the result. Identifiers are integers; other columns are ignored;
+    an empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     doc, row = F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("row")
-    found = df.select(doc, row, text.cast("binary").alias("body")).mapInArrow(_unit_rows, "digest long, doc long, row long, at long, start long, end long, words long, repeated boolean")
+    found = df.select(doc, row, text.cast("binary").alias("body")).mapInArrow(_unit_rows, "digest long, doc long, row long, at long, start long, end long, words long, edges long, repeated boolean")
     settled = found.repartition("digest").sortWithinPartitions("digest", "doc", "row", "at")
-    repeats = settled.mapInArrow(_repeats, "doc long, row long, at long, start long, end long, words long")
+    repeats = settled.mapInArrow(_repeats, "doc long, row long, at long, start long, end long, words long, edges long")
     placed = repeats.repartition("doc").sortWithinPartitions("doc", "row", "at")
     spans = placed.mapInArrow(_spans(min_words), "doc long, row long, spans array<struct<start:bigint,end:bigint>>")
     texts = df.select(df[id_col].alias("doc_id"), text.alias("text"), doc, row)

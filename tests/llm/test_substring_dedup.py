@@ -74,3 +74,14 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(5, line), (5, line), (None, line + "!"), (7, line), (7, "b")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in sd.substring_dedup(df).collect()), key=str)
     assert got == [(5, ""), (5, ""), (7, ""), (7, "b"), (None, line + "!")]
+
+
+def test_short_repeated_lines_go_and_short_sentences_in_a_line_stay(spark):
+    rows = [
+        (1, "Licensed to all.\nYes. It is new here.\nShared. Twice."),
+        (2, "Licensed to all.\nAnother text. Yes. Goes on.\n\nShared. Twice."),
+        (3, "Begins here. Yes.\nLicensed to all.\r\nYes. Ends here."),
+        (4, "Licensed to all."),
+    ]
+    got = {r.doc_id: r.text for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Another text. Yes. Goes on.", 3: "Begins here. Yes.\nYes. Ends here.", 4: ""}
