@@ -60,13 +60,22 @@ def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return digest, start, end, n, FIRST * new[:-1] + LAST * new[1:]
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before it; the first does."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
     count = 0
 
     def combine() -> pa.RecordBatch:
         digest, doc, row, at, start, end, n, edges = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((start, row, doc, digest))
+        order = np.lexsort((at, row, doc, digest))
+        fresh = _changes(digest[order], doc[order], row[order], at[order])
+        order = order[fresh]
         digest = digest[order]
         repeated = np.concatenate(([False], digest[1:] == digest[:-1]))
         columns = [digest.view(np.int64), *(c[order] for c in (doc, row, at, start, end, n, edges)), repeated]
@@ -96,19 +105,18 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The units settled before, and those after the first of each digest."""
-    last = None
+    """The units settled before, and those after the first of each digest; units of equal rows count as one."""
+    last = np.zeros((4, 0), np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        digest, done = batch.column(0).to_numpy(), np.asarray(batch.column(8).to_pylist())
-        open_ = np.flatnonzero(~done)
-        own = digest[open_]
-        again = np.concatenate(([last is not None and len(own) and own[0] == last], own[1:] == own[:-1])).astype(bool) if len(own) else np.zeros(0, bool)
-        if len(own):
-            last = own[-1]
-        marked = done.copy()
-        marked[open_] = again
+        marked = np.asarray(batch.column(8).to_pylist())
+        open_ = np.flatnonzero(~marked)
+        if len(open_):
+            # digest, doc, row, at of the open units, after the last one of the batches before
+            own = np.concatenate([last, np.stack([batch.column(i).to_numpy() for i in range(4)])[:, open_]], axis=1)
+            marked[open_] = (~_changes(own[0]) & _changes(*own))[last.shape[1] :]
+            last = own[:, -1:]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 8)], names=UNITS[1:8]).filter(pa.array(marked))
 
 

@@ -85,3 +85,13 @@ def test_short_repeated_lines_go_and_short_sentences_in_a_line_stay(spark):
     ]
     got = {r.doc_id: r.text for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "Another text. Yes. Goes on.", 3: "Begins here. Yes.\nYes. Ends here.", 4: ""}
+
+
+@pytest.mark.parametrize(("chunk", "parts"), [(1 << 18, 1), (1, 4)])
+def test_identical_rows_keep_their_text(spark, monkeypatch, chunk, parts):
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, line), (5, line), (6, f"own\n{line}\n{line} x"), (6, f"own\n{line}\n{line} x"), (8, f"a\na\n{line} x"), (8, f"a\na\n{line} x"), (None, "b"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted(((r.doc_id, r.text) for r in sd.substring_dedup(df).collect()), key=str)
+    assert got == [(5, line)] * 2 + [(6, f"own\n{line} x")] * 2 + [(8, "a")] * 2 + [(None, "b")] * 2
