@@ -20,12 +20,12 @@ from skeinflow.llm.hashing import words
 from skeinflow.llm.staging import bound_batches
 
 #: Hash buckets of the trigrams as they stand and of their kinds.
-PLAIN, KINDS = 2048, 1024
+PLAIN, KINDS = 4096, 2048
 #: Least shares of repeated words of the repetition terms, after a first term for none.
 REPEATS = np.array([0.0, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64])
 TERMS = PLAIN + KINDS + len(REPEATS) + 1
 #: Most labelled rows that are fitted and voted on, by the hash of the identifier.
-SAMPLE = 2000
+SAMPLE = 4000
 #: Dimensions of the vectors; neighbours that vote; the power of the similarity that weighs a vote.
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 15, 4.0
 #: Length of the repetition terms beside the trigrams' length of 1.

@@ -37,3 +37,9 @@ def test_edge_cases(spark):
     assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
     assert {r.score for r in q.score(docs, q.train(docs, labels.filter("false"))).collect()} == {0.5}
     assert q.score(docs.filter("false"), q.train(docs.filter("false"), labels)).collect() == []
+
+
+def test_four_thousand_labels_vote(spark):
+    docs = spark.range(4100).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    model = q.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality"))
+    assert len(model.vectors) == 4000 and len(model.idf) == 4096 + 2048 + len(q.REPEATS) + 1
