@@ -9,13 +9,13 @@ text alone; they stay unless an equal or similar text has an identifier.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.bpe import encode_documents, read_ranks
 from skeinflow.llm.decontaminate import contaminated
 from skeinflow.llm.exact_dedup import exact_dedup
-from skeinflow.llm.ngram_join import jaccard_join
+from skeinflow.llm.ngram_join import jaccard_join, text_hash
 from skeinflow.llm.quality import learnable, score, train
 from skeinflow.llm.staging import stage_path
 
@@ -25,6 +25,15 @@ LEAST_QUALITY = 0.5
 WORDS, SIMILAR = 5, 80
 
 
+def _key(row_id: Column, digest: Column) -> Column:
+    return F.concat_ws(":", row_id.cast("string"), digest).alias("_key")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column _key of the identifier, if any, and the text's digest."""
+    return docs.select("*", _key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that may be learnt, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -34,24 +43,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest identifier."""
-    key = lambda row_id, digest: F.concat_ws(":", row_id.cast("string"), digest).alias("_key")
-    kept = exact_dedup(docs, keep="smallest").filter("kept").select(key(F.col("row_id"), F.col("text_sha256")))
-    keyed = docs.select("*", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    kept = exact_dedup(docs, keep="smallest").filter("kept").select(_key(F.col("row_id"), F.col("text_sha256")))
+    return _keyed(docs).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier."""
-    groups = jaccard_join(docs, k=WORDS, num=SIMILAR, den=100)
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    groups = jaccard_join(docs, k=WORDS, num=SIMILAR, den=100, with_hash=True)
+    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (text_hash(docs["text"]) == F.col("kept_hash"))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs, items).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")), "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = contaminated(keyed, items, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm.components import components
@@ -162,7 +162,7 @@ def _summaries(k: int, num: int, den: int):
                 rows.append((name, len(grams), own, *counts))
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "node", "n", "k", "cells_own", "cells_next"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "text_hash", "node", "n", "k", "cells_own", "cells_next"])
 
     return run
 
@@ -297,7 +297,7 @@ def _member_sets(k: int):
             for i, grams in shingles(_texts(batch), k):
                 grams, name = set_of(grams)
                 if name != nodes[i]:
-                    continue  # another text under the same identifier
+                    continue  # another text under the same identifier or hash
                 body = grams.tobytes()
                 for t in tasks[i]:
                     for column, value in zip(out, (*(t[c] for c in TASK), t["side"], name, weights[i], body), strict=True):
@@ -395,7 +395,8 @@ def _verify(num: int, den: int):
                 if now != key:
                     close()
                     key, rows = now, []
-                rows.append(row)
+                if not rows or rows[-1][1] != row[1]:  # a set comes once for each copy of its text without an identifier
+                    rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "degree"])
             out = ([], [], [])
         close()
@@ -427,21 +428,27 @@ def _tasks(members: DataFrame) -> DataFrame:
     return rows.withColumn("tasks", F.when(F.col("one"), alone).otherwise(F.concat(within, up, down)))
 
 
-def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_hash(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, n_links, for links at Jaccard >= num / den of k-word shingles.
 
     Words are lower-cased (A-Z) and separated by white space. A text with fewer than k words is one shingle; a null,
     empty or blank text has an empty set and links with nothing, so its component is its own identifier. component_id is
     the smallest identifier reachable by links; n_links counts the linked rows, copies included. Repeated rows count as
     copies of each other; a null identifier takes part but names no component. Identifiers are integers. Other columns
-    are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+    are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes. ``with_hash`` adds the
+    column text_hash (see ``text_hash``), which tells rows with one identifier, or none, apart.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    docs = df.select(df[text_col].cast("string").cast("binary").alias("text"), df[id_col].cast("long").alias("doc_id"))
+    docs = df.select(df[text_col].cast("string").cast("binary").alias("text"), df[id_col].cast("long").alias("doc_id"), text_hash(df[text_col]).alias("text_hash"))
 
-    own = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, node long, n long, k int, cells_own binary, cells_next binary"), "ngram-sets")
-    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
+    own = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, text_hash long, node long, n long, k int, cells_own binary, cells_next binary"), "ngram-sets")
+    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
 
     rows = docs.mapInArrow(_segment_rows(k, num, den), "sig long, node long")
     groups = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_groups, "group long, node long, scheme long")
@@ -452,11 +459,13 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     ties = shared.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_ties(num, den), "a long, b long")
     clusters = components(ties).withColumnRenamed("component", "cluster")
 
-    members = stage(nodes.filter("rep IS NOT NULL").join(clusters, "node"), "ngram-members")
-    dealt = _tasks(members).select(F.col("rep").alias("doc_id"), "node", "weight", "tasks")
+    members = stage(nodes.join(clusters, "node"), "ngram-members")
+    # a set's text is that of its least identifier, or without one that of its least hash
+    source = lambda c: (F.col(c).isNull().alias("unknown"), F.coalesce(c, "text_hash").alias("source"))
+    dealt = _tasks(members).select(*source("rep"), "node", "weight", "tasks")
     if (dealt.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_TASKS:
         dealt = F.broadcast(dealt)
-    texts = docs.join(dealt, "doc_id").select("text", "node", "weight", "tasks")
+    texts = docs.select("text", *source("doc_id")).join(dealt, ["unknown", "source"]).select("text", "node", "weight", "tasks")
     kinds = "cluster long, k1 int, h1 int, k2 int, h2 int, side int, node long, weight long, grams binary"
     placed = texts.mapInArrow(_member_sets(k), kinds).repartition(*TASK).sortWithinPartitions(*TASK, "node")
     found = stage(placed.mapInArrow(_verify(num, den), "a long, b long, degree long"), "ngram-links")
@@ -469,8 +478,8 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     info = nodes.join(linked, "node", "left").filter("weight > 1 OR degree IS NOT NULL")
     info = info.select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
     # read back, both sides of this join come from an exchange of their own, so a set with very many copies can be split
-    joined = own.select("doc_id", "node", "n").join(stage(info, "ngram-links"), "node", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = own.select("doc_id", "text_hash", "node", "n").join(stage(info, "ngram-links"), "node", "left")
+    return joined.select("doc_id", *(["text_hash"] if with_hash else []), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_hashes_do_not_depend_on_neighbours(monkeypatch):
     together = [g.tolist() for _, g in shingles(texts, 3)]
     alone = [next(shingles([t], 3))[1].tolist() for t in texts]
     assert together == alone
+
+
+def test_texts_linked_only_through_a_null_identifier(spark):
+    words = [f"w{i}" for i in range(110)]
+    texts = [" ".join(words[i : i + 100]) for i in (0, 5, 10)]
+    rows = [(3, texts[0]), (None, texts[1]), (None, texts[1]), (8, texts[2]), (None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard_join(df, 3, 90, 100).collect()), key=str)
+    assert got == [(3, 3, 2), (8, 3, 2), (None, 3, 3), (None, 3, 3), (None, None, 0)]

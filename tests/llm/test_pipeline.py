@@ -73,3 +73,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert cp.quality(spark, docs, SF).columns == docs.columns
     for _, stage in cp.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_rows_without_or_with_a_shared_identifier_are_told_apart(spark):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, f"{say('a')} {item}"), (None, say("b")), (5, f"{say('c')} {item}"), (5, say("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in cp.decontaminate(spark, docs, SF).collect()} == {rows[1], rows[3]}
+    rows = [(None, say("a")), (1, say("b")), (None, say("b") + " x"), (2, say("c")), (7, say("c") + " x"), (7, say("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in cp.near(spark, docs, SF).collect()} == {rows[0], rows[1], rows[3], rows[5]}
