@@ -15,9 +15,13 @@ from skeinflow.llm.staging import bound_batches
 
 #: Characters handed to the library at once; longer texts are cut at the next safe boundary.
 SPAN = 50_000
-#: Between these two characters the splitting patterns of byte-level BPE always end a match: no alternative runs from
-#: a non-space into a space, or from a letter or digit into another class. A space run itself is never cut.
-SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+#: How the splitting patterns end for which ``SAFE`` and ``WHITE_RUN`` hold; texts under other patterns are never cut.
+TAIL = r"\s+(?!\S)|\s+"
+#: Between these two characters such a pattern always ends a match: no alternative runs from a non-space into a space,
+#: or from a letter or digit into another class. Letters and digits are ASCII ones, since Unicode tables differ by library.
+SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])")
+#: Runs of white space that the library's pattern engine isn't asked to match, since its stack grows with them.
+WHITE_RUN = regex.compile(r"\s{1000,}")
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -45,11 +49,24 @@ def spans(text: str, span: int = SPAN) -> Iterator[str]:
     yield text[at:]
 
 
+def _encode_span(enc, text: str) -> list[int]:
+    """Ids of a text with white-space runs of any length: before a non-space such a run is one match of all but its last
+    character, at the text's end one of all of it, so these matches are handed to the library by themselves."""
+    ids: list[int] = []
+    at = 0
+    for run in WHITE_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def encode(enc, text: str, span: int = SPAN) -> list[int]:
     """Ids of a text without special tokens."""
-    if len(text) <= span:
+    if len(text) <= span or not enc._pat_str.endswith(TAIL):
         return enc.encode_ordinary(text)
-    return [token for part in spans(text, span) for token in enc.encode_ordinary(part)]
+    return [token for part in spans(text, span) for token in _encode_span(enc, part)]
 
 
 def read_ranks(path: str) -> bytes:
