@@ -60,6 +60,25 @@ def test_query_matches_brute_force(spark):
     assert got == want
 
 
-def test_empty_table(spark):
-    none = spark.createDataFrame([], "source string, lang string, text string, n_tokens int")
-    assert tc.count_tokens(none, {}, "x").collect() == []
+def test_sources_and_languages_can_be_revised(spark):
+    rollup = tc.TokenRollup(spark, stage_path(spark, "test"))
+    make = lambda *r: spark.createDataFrame(list(r), COUNTS)
+    rollup.commit("1", tc.inserts(make(("a", "en", "v", 4), ("a", "en", "v", 6))))
+    rollup.commit("2", tc.revisions(make(("a", "en", "v", 6)), make(("b", "de", "v", 6))))
+    assert rows(rollup.totals()) == {("a", "en", "v"): (1, 4), ("b", "de", "v"): (1, 6)}
+    for n in range(3):
+        rollup.fold()
+        assert not rollup.commit("1", tc.inserts(make(("a", "en", "v", 4))))
+    assert rows(rollup.totals()) == {("a", "en", "v"): (1, 4), ("b", "de", "v"): (1, 6)}
+
+
+def test_nulls_long_texts_and_clashing_columns(spark):
+    long = "word " * 100_000 + " " * 1_000_000
+    schema = "doc_id long, source string, lang string, text string, n_tokens int, row_id int, tokenizer_version int, n_docs int"
+    docs = spark.createDataFrame([(None, None, None, None, 1, 1, 1, 1), (1, "s", "en", long, 1, 1, 1, 1), (1, "s", "en", long, 1, 1, 1, 1), (2, "s", "en", "", 1, 1, 1, 1)], schema)
+    ranks = {"v": read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))}
+    got = [tuple(r) for r in tc.count_tokens(docs, ranks, public_tokenizers.PATTERN).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, None, "v", 0), *[(1, "s", "en", "v", got[1][4])] * 2, (2, "s", "en", "v", 0)], key=str) and got[1][4] > 1_000_000
+    assert {r.n_tokens for r in tc.estimate_tokens(docs, ["v"]).collect()} == {0, len(long) // 4}
+    none = docs.filter("false")
+    assert tc.count_tokens(none, ranks, public_tokenizers.PATTERN).collect() == tc.estimate_tokens(none, ["v"]).collect() == []
