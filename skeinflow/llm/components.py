@@ -5,34 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm.staging import stage
+from skeinflow.llm.staging import remove, stage_path
 
+#: Nodes with more edges than this, and than a thousandth of all edges, are joined by broadcast: 2,000 nodes at most.
+HOT, SHARE = 1000, 1000
 
-def _star(edges: DataFrame) -> DataFrame:
-    """edges (u, v): every v with u's least neighbour, itself included; only a minimum is kept for a node."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(low, "u")
+
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with u's least neighbour m, itself included; only a minimum is kept for a node."""
+    limit = max(HOT, total // SHARE)
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hot = F.broadcast(low.filter(F.col("n") > limit).select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
+    marked = edges.join(hot, F.col("u") == F.col("hot"), "left")
+    cold = marked.filter("hot IS NULL").select("u", "v").join(low.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return cold.select("u", "v", "m").unionByName(marked.filter("hot IS NOT NULL").select("u", "v", F.col("hot_m").alias("m")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long); the component is its least node.
 
-    Each step replaces edges by edges to the least known neighbour, so their number never grows; hot nodes take part
-    in joins with one row per node, which adaptive execution can split. Steps are written to the shared folder, and
-    two sums tell when nothing changes. Self-loops and repeated edges are harmless; no edges give no rows.
+    Each step replaces edges by edges to the least known neighbour, so their number never grows. A hot centre's rows
+    stay where they are and get its minimum by broadcast, the others meet by shuffle. Steps are written to the shared
+    folder, the one before last is removed, and two sums tell when nothing changes. Self-loops and repeated edges are
+    harmless; no edges give no rows.
     """
-    loops = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"))
-    now = stage(loops.distinct(), "edges")
-    seen = None
+    spark = edges.sparkSession
+    written: list[str] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        path = stage_path(spark, "edges")
+        df.write.parquet(path)
+        if written:
+            remove(spark, written.pop())
+        written.append(path)
+        return spark.read.schema("v long, u long").parquet(path)
+
+    now = step(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
+    total, seen = 2 * now.count(), None
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the least neighbour
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _star(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(now.filter("u = v").select("u", "v")).distinct()
         # small star: smaller neighbours and the node itself move to the least of them
-        starred = _star(large.select("u", "v"))
+        starred = _star(large.select("u", "v"), total)
         small = starred.filter("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v")))
-        now = stage(small.distinct(), "edges")
+        now = step(small.select("v", "u").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -15,10 +15,11 @@ The sum of the lesser counts bounds the overlap from above, so pairs that share
 off exactly, and what remains is tied together. The ties' connected components are candidate clusters, supersets of the
 true ones.
 
-Verification: the sets of a cluster meet once. Within a task partial overlaps are counted fragment by fragment of the
-order and summed per pair, and exact integer arithmetic decides. Clusters that exceed a block are dealt to pairs of
-blocks of the same or adjacent size classes. A task returns a spanning forest of its links and each set's number of
-links, so the output stays linear where thousands of copies link to each other.
+Verification: the sets of a cluster, or of two blocks of a large one, make a task, and a task is cut into fragments of
+the order by its number of n-grams. Every (task, fragment) counts the partial overlaps of its pairs separately, on
+whatever executor it lands; the partial counts are summed per pair, and exact integer arithmetic decides. Tasks of one
+fragment need no sum. A task returns a spanning forest of its links and each set's number of links, so the output stays
+linear where thousands of copies link to each other.
 
 Equal sets are one node throughout, so exact copies cost one count.
 """
@@ -38,18 +39,24 @@ from skeinflow.llm.components import components
 from skeinflow.llm.hashing import mix, shingles
 from skeinflow.llm.staging import bound_batches, stage
 
-#: Sets, and n-grams in all, of a block; a task holds two blocks.
-BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
+#: Sets, and n-grams in all, of a block of a cluster; a task holds two blocks.
+BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 23
+#: N-grams of a fragment of a task.
+FRAGMENT_GRAMS = 1 << 19
+#: Sets, and n-grams in all, of a block of a group that shares a segment.
+TIE_SETS, TIE_GRAMS = 4096, 1 << 23
 #: Orders tried before the weak segments of a set are used as well.
 ORDERS = 12
-#: Rows of a batch of segments.
+#: Rows of a batch of segments, and of a segment that are held to name its group by its members.
 CHUNK = 1 << 18
 #: N-grams per cell of the counts that bound an overlap.
 CELL = 8
-#: Columns of the order counted at once in verification.
-FRAGMENT = 2048
-#: Members' tasks that are broadcast to fetch the texts (about 50 bytes each); beyond it the texts are shuffled.
-BROADCAST_TASKS = 500_000
+#: Columns of the order counted at once.
+COLUMNS = 2048
+#: Bytes of n-grams in an output batch.
+OUT_BYTES = 4 << 20
+#: Members' tasks that are broadcast to fetch the texts (about 100 bytes each); beyond it the texts are shuffled.
+BROADCAST_TASKS = 200_000
 
 
 @cache
@@ -83,8 +90,11 @@ def cut(scheme: int, num: int, den: int) -> tuple[int, int, int]:
     if differ == 0:
         return 0, 0, 1
     best = (0.0, differ + 1, 0, 1)
+    steps = [0]
+    while steps[-1] < 2 * differ + 7:  # single steps first, then by parts of what is spared
+        steps.append(steps[-1] + 1 + steps[-1] // 256)
     for strong in (2, 1):
-        for spare in range(2 * differ + 8):
+        for spare in steps:
             chance = _settled(max(least * num // den, 1), differ + 1 + spare, spare, strong)
             if chance > best[0]:
                 best = (chance, differ + 1 + spare, spare, strong)
@@ -106,10 +116,6 @@ def cell_counts(grams: np.ndarray, scheme: int, num: int, den: int) -> bytes:
     return np.minimum(np.bincount(at.astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
 
 
-#: Low bits of a signature that name its scheme.
-SCHEME_BITS = 9
-
-
 def segments(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of the segments of a set (distinct hashes) under the cuts of its own and the next size class."""
     found = []
@@ -132,9 +138,7 @@ def segments(grams: np.ndarray, num: int, den: int) -> np.ndarray:
             if order == ORDERS - 1:
                 missing = np.setdiff1d(np.arange(fragments, dtype=np.uint64), at[first])
                 names += [name[~good], mix(mix(missing + seed) + np.uint64(1))]
-        if names:
-            low = np.uint64((1 << SCHEME_BITS) - 1)
-            found.append(np.concatenate(names) & ~low | np.uint64(scheme))
+        found += names
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -180,9 +184,14 @@ def _segment_rows(k: int, num: int, den: int):
                     continue
                 seen.add(name)
                 found = segments(grams, num, den)
-                sigs.append(found)
-                nodes.append(np.full(len(found), name, np.int64))
-                rows += len(found)
+                for at in range(0, len(found), CHUNK):
+                    part = found[at : at + CHUNK]
+                    sigs.append(part)
+                    nodes.append(np.full(len(part), name, np.int64))
+                    rows += len(part)
+                    if rows >= CHUNK and at + CHUNK < len(found):
+                        yield batch_of(sigs, nodes)
+                        sigs, nodes, rows = [], [], 0
                 if rows >= CHUNK:
                     yield batch_of(sigs, nodes)
                     sigs, nodes, rows, seen = [], [], 0, set()
@@ -193,28 +202,37 @@ def _segment_rows(k: int, num: int, den: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sig, node): (group, node, scheme) of the segments that several nodes share; a group is named
-    by its members, so segments with the same members are one group."""
+    """From rows in order of (sig, node): (group, node) of the segments that several nodes share.
+
+    A group is named by its members, so segments with the same members are one group; a segment with more than CHUNK
+    rows, which aren't held, is named by itself.
+    """
     sig = node = np.zeros(0, np.int64)
+    open_ = None  # the segment whose rows are passed on as they come
+
+    def out(group: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(node)], names=["group", "node"])
 
     def shared(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))) if len(sig) else np.zeros(0, bool)
         sig, node = sig[fresh], node[fresh]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(sig)))
-        scheme = sig & ((1 << SCHEME_BITS) - 1)
-        if len(first):
-            name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + mix(scheme[first].view(np.uint64)))
-        else:
-            name = np.zeros(0, np.uint64)
+        name = mix(np.add.reduceat(mix(node.view(np.uint64)), first)) if len(first) else np.zeros(0, np.uint64)
         many = np.repeat(size > 1, size)
-        group = np.repeat(name, size)[many].view(np.int64)
-        rows = np.unique(np.stack([group, node[many], scheme[many]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=["group", "node", "scheme"])
+        rows = np.unique(np.stack([np.repeat(name, size)[many].view(np.int64), node[many]]), axis=1)
+        return out(np.ascontiguousarray(rows[0]), np.ascontiguousarray(rows[1]))
 
     for batch in batches:
         sig = np.concatenate([sig, batch.column(0).to_numpy()])
         node = np.concatenate([node, batch.column(1).to_numpy()])
+        if open_ is not None:
+            end = int(np.searchsorted(sig, open_, "right"))
+            yield out(sig[:end], node[:end])
+            sig, node = sig[end:], node[end:]
+            if not len(sig):
+                continue
+            open_ = None
         if not len(sig):
             continue
         # the last segment may go on in the next batch
@@ -222,6 +240,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut_at:
             yield shared(sig[:cut_at], node[:cut_at])
             sig, node = sig[cut_at:], node[cut_at:]
+        if len(sig) > CHUNK:
+            open_ = sig[-1]
+            yield out(sig, node)
+            sig, node = sig[:0], node[:0]
     yield shared(sig, node)
 
 
@@ -250,100 +272,129 @@ def reachable(counts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.n
     return label
 
 
+TIE = ["group", "g1", "g2"]
+
+
 def _ties(num: int, den: int):
-    """Rows (group, node, n, counts) in order of the group to ties of each node with the first one it may reach."""
+    """Rows (TIE, node, n, k, cells_own, cells_next) in order of TIE to ties of each node with the first one it may reach."""
+
+    def tied(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        while len(rows) > 1:
+            # a segment's sets are cut for the class of the largest, so they are of that class or the one below
+            top = max(r[2] for r in rows)
+            mine = [r for r in rows if r[2] >= top - 1]
+            counts = np.stack([np.frombuffer(r[3] if r[2] == top else r[4], np.uint8) for r in mine])
+            label = reachable(counts, np.array([r[1] for r in mine], np.int64), num, den)
+            for i in np.flatnonzero(label != np.arange(len(mine))):
+                yield mine[label[i]][0], mine[i][0]
+            # others share a hash by accident and may be linked among themselves
+            rows = [r for r in rows if r[2] < top] if len(mine) < len(rows) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        out: tuple[list, list] = ([], [])
-
-        def close() -> None:
-            if len(rows) > 1:
-                counts = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
-                label = reachable(counts, np.array([r[1] for r in rows], np.int64), num, den)
-                for i in np.flatnonzero(label != np.arange(len(rows))):
-                    out[0].append(rows[label[i]][0])
-                    out[1].append(rows[i][0])
+        key, rows, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-            for column in out:
-                column.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array([pair[side] for pair in out], pa.int64()) for side in (0, 1)], names=["a", "b"])
+            out.clear()
             return batch
 
         for batch in batches:
-            for group, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if group != key:
-                    close()
-                    key, rows = group, []
-                rows.append(row)
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            values = zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True)
+            for now, row in zip(keys, values, strict=True):
+                if now != key:
+                    out.extend(tied(rows))
+                    key, rows = now, []
+                if not rows or rows[-1][0] != row[0]:
+                    rows.append(row)
             yield flush()
-        close()
+        out.extend(tied(rows))
         yield flush()
 
     return run
 
 
+def _tie_tasks(groups: DataFrame, counted: DataFrame) -> DataFrame:
+    """(TIE, node, n, k, cells) of the groups' members; a group beyond a block is dealt to pairs of blocks."""
+    sizes = groups.join(counted.select("node", "n"), "node").groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    large = sizes.select("group", F.ceil(F.greatest(F.col("sets") / TIE_SETS, F.col("grams") / TIE_GRAMS)).cast("int").alias("blocks")).filter("blocks > 1")
+    h = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "h").alias("g1"), F.greatest(o, "h").alias("g2")))
+    alone = F.array(F.struct(F.lit(0).alias("g1"), F.lit(0).alias("g2")))
+    dealt = groups.join(large, "group", "left").withColumn("h", h).select("group", "node", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("t"))
+    return dealt.select("group", "t.g1", "t.g2", "node").join(counted, "node").select(*TIE, "node", "n", "k", "cells_own", "cells_next")
+
+
 TASK = ["cluster", "k1", "h1", "k2", "h2"]
+#: A task's fragment and their number, and what a set brings to it.
+PLACED = "cluster long, k1 int, h1 int, k2 int, h2 int, frag int, frags int, side int, node long, n long, weight long, grams binary"
 
 
 def _member_sets(k: int):
-    """Rows (text, node, weight, tasks) to one row per task with the set's hashes."""
+    """Rows (text, node, weight, tasks) to one row per task and fragment with the set's hashes in it."""
+    kinds = [pa.int64(), *[pa.int32()] * 7, *[pa.int64()] * 3, pa.binary()]
+    names = [part.split()[0] for part in PLACED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+            for column in out:
+                column.clear()
+            return batch
+
         for batch in batches:
             nodes, weights, tasks = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            out: list[list] = [[] for _ in range(9)]
             for i, grams in shingles(_texts(batch), k):
                 grams, name = set_of(grams)
                 if name != nodes[i]:
                     continue  # another text under the same identifier or hash
-                body = grams.tobytes()
                 for t in tasks[i]:
-                    for column, value in zip(out, (*(t[c] for c in TASK), t["side"], name, weights[i], body), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[*TASK, "side", "node", "weight", "grams"])
+                    frags = t["frags"]
+                    at = ((grams >> np.uint64(32)) * np.uint64(frags)) >> np.uint64(32)
+                    cuts = np.searchsorted(at, np.arange(frags + 1))
+                    for f in np.flatnonzero(np.diff(cuts)):
+                        body = grams[cuts[f] : cuts[f + 1]].tobytes()
+                        for column, value in zip(out, (*(t[c] for c in TASK), f, frags, t["side"], name, len(grams), weights[i], body), strict=True):
+                            column.append(value)
+                        held += len(body) + 100
+                        if held >= OUT_BYTES:
+                            yield flush()
+                            held = 0
+        yield flush()
 
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, as partial counts over fragments of the order, summed per pair."""
-    sizes = [len(s) for s in sets]
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of ``left`` with ``right`` (default: itself), counted over some columns at a time."""
+    sets = left + (right or [])
+    width = len(left)
     everything = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(everything, kind="stable")
     value, owner = everything[order], owner[order]
     new = np.concatenate(([True], value[1:] != value[:-1]))
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], column[shared]
-    total = np.zeros((len(sets), len(sets)), np.float64)
+    total = np.zeros((width, len(right) if right else width), np.float64)
     if len(column):
         column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
-        cuts = np.searchsorted(column, np.arange(0, column[-1] + FRAGMENT + 1, FRAGMENT))
+        cuts = np.searchsorted(column, np.arange(0, column[-1] + COLUMNS + 1, COLUMNS))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
-                part = np.zeros((len(sets), FRAGMENT), np.float32)
-                part[owner[a:b], column[a:b] % FRAGMENT] = 1
-                total += part @ part.T
+                part = np.zeros((len(sets), COLUMNS), np.float32)
+                part[owner[a:b], column[a:b] % COLUMNS] = 1
+                total += part[:width] @ (part[width:] if right else part).T
     total = np.rint(total).astype(np.int64)
-    np.fill_diagonal(total, sizes)
+    if not right:
+        np.fill_diagonal(total, [len(s) for s in left])
     return total
 
 
-def links_of(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The matrix of links among the sets; where they come from two blocks (sides 1 and 2) only across these."""
-    common = overlaps(sets)
-    size = np.diag(common)
-    linked = den * common >= num * (size[:, None] + size[None, :] - common)
-    np.fill_diagonal(linked, False)
-    if sides.any():
-        linked &= sides[:, None] != sides[None, :]
-    return linked
-
-
 def forest(linked: np.ndarray) -> np.ndarray:
     """The least position connected with each one."""
     label = np.arange(len(linked))
@@ -356,51 +407,120 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(num: int, den: int):
-    def solve(rows: list[tuple]) -> tuple[list, list, list]:
-        own = {node: (side, weight, grams) for side, node, weight, grams in rows}
-        if len(own) < 2:
-            return [], [], []
-        nodes = sorted(own)
-        sets = [np.frombuffer(own[n][2], np.uint64) for n in nodes]
-        sides = np.array([own[n][0] for n in nodes])
-        if len(nodes) == 2:
-            common = len(np.intersect1d(*sets, assume_unique=True))
-            good = den * common >= num * (len(sets[0]) + len(sets[1]) - common)
-            linked = np.array([[False, good], [good, False]]) & (not sides.any() or sides[0] != sides[1])
-        else:
-            linked = links_of(sets, sides, num, den)
-        roots = forest(linked)
-        degree = linked @ np.array([own[n][1] for n in nodes], np.int64)
-        a, b, d = [], [], []
-        for i, node in enumerate(nodes):
-            if degree[i]:
-                a.append(node)
-                b.append(nodes[roots[i]])
-                d.append(int(degree[i]))
-        return a, b, d
+def links_of(left: np.ndarray, right: np.ndarray, common: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(node, first node connected with it, linked rows) of the sets of ``left`` and ``right``, whose rows are (node, n,
+    weight), by the sizes of their intersections; without ``right`` among those of ``left``."""
+    other = right if len(right) else left
+    linked = den * common >= num * (left[:, 1][:, None] + other[:, 1][None, :] - common)
+    if len(right):
+        every = np.concatenate([left, right])
+        both = np.zeros((len(every), len(every)), bool)
+        both[: len(left), len(left) :] = linked
+        both[len(left) :, : len(left)] = linked.T
+    else:
+        every, both = left, linked
+        np.fill_diagonal(both, False)
+    degree = both @ every[:, 2]
+    roots = forest(both)
+    return [(int(every[i, 0]), int(every[roots[i], 0]), int(degree[i])) for i in np.flatnonzero(degree)]
+
+
+PARTS = "a long, b long, degree long, cluster long, k1 int, h1 int, k2 int, h2 int, \"left\" binary, \"right\" binary, common binary".replace('"', "`")
+_PART_KINDS = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()] * 3
+_PART_NAMES = [part.split()[0].strip("`") for part in PARTS.split(", ")]
+
+
+def _partial(num: int, den: int):
+    """Rows of PLACED in order of task, fragment and node to PARTS: links of tasks with one fragment, else partial overlaps."""
+
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1, 2)]
+        left, right = (sides[0], []) if sides[0] else (sides[1], sides[2])
+        if not sides[0] and not (left and right):
+            return []
+        info = [np.array([r[1:4] for r in part], np.int64).reshape(-1, 3) for part in (left, right)]
+        grams = [[np.frombuffer(r[4], np.uint64) for r in part] for part in (left, right)]
+        common = overlaps(grams[0], grams[1] or None)
+        if key[6] == 1:
+            return [(*link, *[None] * 8) for link in links_of(*info, common, num, den)]
+        return [(None, None, None, *key[:5], info[0].tobytes(), info[1].tobytes(), common.astype(np.uint32).tobytes())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        out: tuple[list, list, list] = ([], [], [])
+        out: list[tuple] = []
+        held = 0
 
-        def close() -> None:
-            for column, values in zip(out, solve(rows), strict=True):
-                column.extend(values)
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((),) * len(_PART_NAMES)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART_KINDS, strict=True)], names=_PART_NAMES)
+            out.clear()
+            return batch
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
-            rest = zip(*(batch.column(i).to_pylist() for i in range(5, 9)), strict=True)
-            for now, row in zip(keys, rest, strict=True):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
+            values = zip(*(batch.column(i).to_pylist() for i in range(7, 12)), strict=True)
+            for now, row in zip(keys, values, strict=True):
                 if now != key:
-                    close()
+                    found = solve(key, rows) if rows else []
+                    out.extend(found)
+                    held += sum(len(x[10] or b"") + 50 for x in found)
                     key, rows = now, []
+                    if held >= OUT_BYTES:
+                        yield flush()
+                        held = 0
                 if not rows or rows[-1][1] != row[1]:  # a set comes once for each copy of its text without an identifier
                     rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "degree"])
-            out = ([], [], [])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "degree"])
+        if rows:
+            out.extend(solve(key, rows))
+        yield flush()
+
+    return run
+
+
+def _placed(ids: np.ndarray, info: np.ndarray) -> np.ndarray:
+    """``ids`` with the rows (node, n, weight) of ``info`` that it lacks, behind the others."""
+    return np.concatenate([ids, info[~np.isin(info[:, 0], ids[:, 0])]])
+
+
+def _positions(ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    order = np.argsort(ids[:, 0])
+    return order[np.searchsorted(ids[order, 0], nodes)]
+
+
+def _summed(num: int, den: int):
+    """Partial overlaps (TASK, left, right, common) in order of TASK, summed per pair, to links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, right, total = None, np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64), np.zeros((0, 0), np.int64)
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((),) * 3
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "degree"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *now, one, two, common = (batch.column(j)[i].as_py() for j in range(8))
+                one, two = (np.frombuffer(x, np.int64).reshape(-1, 3) for x in (one, two))
+                if now != key:
+                    if key is not None:
+                        out.extend(links_of(left, right, total, num, den))
+                    key, left, right, total = now, one[:0], two[:0], np.zeros((0, 0), np.int64)
+                left, right = _placed(left, one), _placed(right, two)
+                grown = np.zeros((len(left), len(right) or len(left)), np.int64)
+                grown[: total.shape[0], : total.shape[1]] = total
+                at = _positions(left, one[:, 0])
+                other = _positions(right, two[:, 0]) if len(two) else at
+                grown[np.ix_(at, other)] += np.frombuffer(common, np.uint32).reshape(len(at), len(other))
+                total = grown
+            yield flush()
+        if key is not None:
+            out.extend(links_of(left, right, total, num, den))
+        yield flush()
 
     return run
 
@@ -409,22 +529,24 @@ def _tasks(members: DataFrame) -> DataFrame:
     """members (node, cluster, k, n, ...) with the tasks in which each takes part."""
     cells = members.groupBy("cluster", "k").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     whole = cells.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("grams").alias("all_grams"))
-    cells = cells.join(whole, "cluster").select("cluster", "k", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), ((F.col("all_sets") <= BLOCK_SETS) & (F.col("all_grams") <= BLOCK_GRAMS)).alias("one"))
-    beside = lambda d, name: cells.select("cluster", (F.col("k") - d).alias("k"), F.col("blocks").alias(name))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    cells = cells.join(whole, "cluster").select("cluster", "k", blocks.alias("blocks"), F.ceil(F.col("grams") / blocks).alias("own"), "all_grams", ((F.col("all_sets") <= BLOCK_SETS) & (F.col("all_grams") <= BLOCK_GRAMS)).alias("one"))
+    beside = lambda d, name: cells.select("cluster", (F.col("k") - d).alias("k"), F.col("blocks").alias(name), F.col("own").alias(f"{name}_grams"))
     cells = cells.join(beside(1, "above"), ["cluster", "k"], "left").join(beside(-1, "below"), ["cluster", "k"], "left")
     rows = members.join(cells, ["cluster", "k"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     zero = F.lit(0)
     count = lambda c: F.when(F.coalesce(F.col(c), zero) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def task(k1, h1, k2, h2, side):
-        return F.struct(F.col("cluster").alias("cluster"), k1.cast("int").alias("k1"), h1.cast("int").alias("h1"), k2.cast("int").alias("k2"), h2.cast("int").alias("h2"), side.cast("int").alias("side"))
+    def task(k1, h1, k2, h2, side, grams):
+        parts = {"k1": k1, "h1": h1, "k2": k2, "h2": h2, "side": side, "frags": F.greatest(F.lit(1), F.ceil(grams / FRAGMENT_GRAMS))}
+        return F.struct(F.col("cluster").alias("cluster"), *[x.cast("int").alias(name) for name, x in parts.items()])
 
-    k, h = F.col("k"), F.col("h")
+    k, h, own = F.col("k"), F.col("h"), F.col("own")
     # sides: 0 within a block, else 1 and 2
-    within = F.transform(count("blocks"), lambda o: task(k, F.least(h, o), k, F.greatest(h, o), F.when(h == o, 0).when(h < o, 1).otherwise(2)))
-    up = F.transform(count("above"), lambda o: task(k, h, k + 1, o, F.lit(1)))
-    down = F.transform(count("below"), lambda o: task(k - 1, o, k, h, F.lit(2)))
-    alone = F.array(task(F.lit(-1), zero, F.lit(-1), zero, zero))
+    within = F.transform(count("blocks"), lambda o: task(k, F.least(h, o), k, F.greatest(h, o), F.when(h == o, 0).when(h < o, 1).otherwise(2), F.when(h == o, own).otherwise(own + own)))
+    up = F.transform(count("above"), lambda o: task(k, h, k + 1, o, F.lit(1), own + F.col("above_grams")))
+    down = F.transform(count("below"), lambda o: task(k - 1, o, k, h, F.lit(2), F.col("below_grams") + own))
+    alone = F.array(task(F.lit(-1), zero, F.lit(-1), zero, zero, F.col("all_grams")))
     return rows.withColumn("tasks", F.when(F.col("one"), alone).otherwise(F.concat(within, up, down)))
 
 
@@ -443,6 +565,8 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes. ``with_hash`` adds the
     column text_hash (see ``text_hash``), which tells rows with one identifier, or none, apart.
     """
+    if not 0 < num < den:
+        raise ValueError("0 < num < den is needed; equal sets are one node anyway")
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(df[text_col].cast("string").cast("binary").alias("text"), df[id_col].cast("long").alias("doc_id"), text_hash(df[text_col]).alias("text_hash"))
@@ -451,12 +575,10 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
 
     rows = docs.mapInArrow(_segment_rows(k, num, den), "sig long, node long")
-    groups = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_groups, "group long, node long, scheme long")
+    groups = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_groups, "group long, node long")
     groups = stage(groups.distinct(), "ngram-groups")
     counted = own.filter("n > 0").dropDuplicates(["node"]).select("node", "n", "k", "cells_own", "cells_next")
-    cell = F.when(F.col("k") == F.col("scheme"), F.col("cells_own")).otherwise(F.col("cells_next"))
-    shared = groups.join(counted, "node").select("group", "node", "n", cell.alias("counts"))
-    ties = shared.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_ties(num, den), "a long, b long")
+    ties = _tie_tasks(groups, counted).repartition(*TIE).sortWithinPartitions(*TIE, "node").mapInArrow(_ties(num, den), "a long, b long")
     clusters = components(ties).withColumnRenamed("component", "cluster")
 
     members = stage(nodes.join(clusters, "node"), "ngram-members")
@@ -466,9 +588,11 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     if (dealt.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_TASKS:
         dealt = F.broadcast(dealt)
     texts = docs.select("text", *source("doc_id")).join(dealt, ["unknown", "source"]).select("text", "node", "weight", "tasks")
-    kinds = "cluster long, k1 int, h1 int, k2 int, h2 int, side int, node long, weight long, grams binary"
-    placed = texts.mapInArrow(_member_sets(k), kinds).repartition(*TASK).sortWithinPartitions(*TASK, "node")
-    found = stage(placed.mapInArrow(_verify(num, den), "a long, b long, degree long"), "ngram-links")
+    placed = texts.mapInArrow(_member_sets(k), PLACED).repartition(*TASK, "frag").sortWithinPartitions(*TASK, "frag", "node")
+    parts = stage(placed.mapInArrow(_partial(num, den), PARTS), "ngram-parts")
+    torn = parts.filter("cluster IS NOT NULL").select(*TASK, "left", "right", "common")
+    summed = stage(torn.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(_summed(num, den), "a long, b long, degree long"), "ngram-links")
+    found = parts.filter("cluster IS NULL").select("a", "b", "degree").unionByName(summed)
 
     reached = components(found.select("a", "b"))
     named = reached.join(nodes.select("node", "rep"), "node")

@@ -59,7 +59,8 @@ def corpus(seed, vocabulary=400):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_matches_brute_force(spark, monkeypatch, k, num, den, blocks):
     if blocks:
-        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+        for name, value in {"BLOCK_SETS": 2, "FRAGMENT_GRAMS": 30, "TIE_SETS": 2, "CHUNK": 3, "OUT_BYTES": 500}.items():
+            monkeypatch.setattr(ngram_join, name, value)
         monkeypatch.setattr(ngram_join, "BROADCAST_TASKS", 0)
     rows = corpus(k)
     df = spark.createDataFrame([(d, t, "n", 1) for d, t in rows], "doc_id long, text string, node string, cluster int")
@@ -84,12 +85,47 @@ def test_linked_sizes_are_in_adjacent_classes():
             assert b - a <= 1
 
 
-def test_overlaps_sum_fragments(monkeypatch):
-    monkeypatch.setattr(ngram_join, "FRAGMENT", 8)
+def test_overlaps_sum_columns(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 8)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
     got = overlaps(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30))
+    assert (overlaps(sets[:20], sets[20:]) == got[:20, 20:]).all()
+
+
+@pytest.mark.parametrize("fragment", [1 << 19, 5000])
+def test_long_sets_at_a_high_threshold(spark, monkeypatch, fragment):
+    monkeypatch.setattr(ngram_join, "FRAGMENT_GRAMS", fragment)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    rows = [(1, " ".join(base)), (4, "other " * 50)]
+    for doc, changes in ((2, 20), (3, 35), (5, 45), (6, 400)):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), changes):
+            copy[at] = f"x{doc}_{at}"
+        rows.append((doc, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 99, 100).collect()}
+    want = brute(rows, 3, 99, 100)
+    assert got == want and want[2][2] > 0 and want[6][2] == 0
+
+
+def test_wrong_thresholds(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for num in (0, 100, 101):
+        with pytest.raises(ValueError):
+            jaccard_join(df, 3, num, 100)
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_components_of_hot_centres_and_chains(spark, monkeypatch, hot):
+    from skeinflow.llm import components as c
+
+    monkeypatch.setattr(c, "HOT", hot)
+    rows = [(5000, i) for i in range(5001, 7000)] + [(i, i + 1) for i in range(100, 160)] + [(7000, 6000), (9, 9), (20, 21), (21, 20)]
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {i: 5000 for i in range(5000, 7001)} | {i: 100 for i in range(100, 161)} | {9: 9, 20: 20, 21: 20}
+    assert c.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_hashes_do_not_depend_on_neighbours(monkeypatch):
