@@ -1,18 +1,24 @@
 """HTML main-text extraction by consensus host paths.
 
 First pass: every page is cut into containers, each with a score for the prose that it holds. A container's path is
-generalised: tags and classes from the body down, digits and generated parts left out, so pages of a template agree.
-The pages of a host vote in Spark: a page gives its best container's path one vote, weighted by the container's share of
-the page's score. The host's paths, best first, are joined back, and every page is extracted again below the first of
-them that it has; a page with none of them, and a page without a host, uses its own best container.
+generalised: tags and classes from the body down, digits and generated parts left out, so pages of a template agree; it
+is known by a digest, so a page of any depth costs as much as its length. The pages of a host vote in Spark: a page
+gives its best container's path one vote, weighted by the container's share of the page's prose. The host's winning
+paths, best first, are joined back, and every page is extracted again below the first of them that it has; a page with
+none of them, and a page without a host, uses its own best container.
+
+Markup is read as browsers read it: attributes in quotes may hold any character, a quote elsewhere is text, a slash in
+an unquoted value belongs to it, stray end tags close nothing around them. Reading takes time linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,16 +26,20 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm.staging import bound_batches, stage
 
-#: Winning paths kept for a host.
-PATHS = 3
-
-#: Open elements below which a path gets no further steps.
-DEEP = 100
-#: Hosts whose paths are broadcast (about 200 bytes each); beyond it the pages are shuffled by host.
-BROADCAST_HOSTS = 200_000
-
-#: Elements whose content is raw text and never part of the prose.
-RAW = frozenset("script style noscript template iframe svg math object textarea title xmp noembed noframes".split())
+#: A path wins if two pages of its host at least, and one in SHARE, voted for it; so a host has at most SHARE of them.
+SHARE = 1000
+#: Winning paths that are broadcast (about 100 bytes each); beyond it the pages are shuffled by host.
+BROADCAST_PATHS = 200_000
+
+#: Elements whose content is raw text up to their end tag, and never part of the prose.
+RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
+#: Elements of other languages, in which a slash ends an element, and those of a page that end them.
+FOREIGN = frozenset("svg math".split())
+BREAKOUT = frozenset("body blockquote center div dl dt h1 h2 h3 h4 h5 h6 li main article section nav footer ol p pre table ul".split())
+#: Elements that a page's head can hold.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: What a start tag of a table's parts ends, up to the table around it.
+ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "tbody"), "thead": ("td", "th", "tr", "tbody"), "tfoot": ("td", "th", "tr", "tbody")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text.
 BLOCKS = frozenset(
@@ -37,7 +47,7 @@ BLOCKS = frozenset(
     "option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never part of the article.
-OUTSIDE = frozenset("aside button dialog footer form head header input menu nav search select".split())
+OUTSIDE = frozenset("aside button dialog footer form head header input math menu nav object search select svg template".split())
 #: Elements that can hold the article.
 HOLDERS = frozenset("article body center div main section table tbody td tr".split())
 #: Words of a class, identifier or role that mark what surrounds an article.
@@ -54,21 +64,23 @@ STRONG = frozenset("ad ads adv advert adverts comment comments promo promoted re
 #: Words of a class or identifier that mark an article's container.
 GOOD = frozenset("article articlebody body content entry main mainbody post story text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-#: A tag or comment that the page's end cuts off.
-UNFINISHED = re.compile(r"<(?:/?[a-zA-Z]|!--)[^>]*\Z")
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'<>/]+)")
+TAG = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*")
+GAP = re.compile(r"[ \t\n\f\r/]*")
+NAME = re.compile(r"=?[^ \t\n\f\r/>=]*")
+EQUALS = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*")
+VALUE = re.compile(r"[^ \t\n\f\r>]*")
+COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.S)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    step: str
     parent: Node | None
     outside: bool
     good: bool = False
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str]] | None = None
     prose: int = 0  # words outside links, those of the nodes below included once a page is read
 
 
@@ -77,6 +89,30 @@ def generalised(tag: str, classes: str) -> str:
     return ".".join([tag, *sorted({c.lower() for c in classes.split() if not any(x.isdigit() for x in c)})])
 
 
+def below(path: str, step: str) -> str:
+    """The digest of a path that goes on by a step."""
+    return blake2b(f"{path}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def path_of(node: Node) -> str:
+    steps = []
+    while node is not None:
+        steps.append(node.step)
+        node = node.parent
+    path = ""
+    for step in reversed(steps):
+        path = below(path, step)
+    return path
+
+
+def paths_of(nodes: list[Node]) -> list[str]:
+    """The paths of all nodes, parents standing before their children."""
+    known: dict[int, str] = {}
+    for node in nodes:
+        known[id(node)] = below(known[id(node.parent)] if node.parent is not None else "", node.step)
+    return [known[id(node)] for node in nodes]
+
+
 def surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
     """(an element that surrounds the article, one that is named as its container)"""
     marks = {w.lower() for w in SPLIT.split(" ".join(attributes.get(a, "") for a in ("class", "id", "role"))) if w}
@@ -89,80 +125,194 @@ def surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
     return hidden or tag in OUTSIDE or bool(marks & (MARKS - WEAK if good else MARKS)), good
 
 
+def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """(attributes, whether a slash ends the tag, the place after it) of a tag from behind its name; None if the page ends
+    before the tag does. Of attributes with one name the first counts."""
+    found: dict[str, str] = {}
+    n = len(page)
+    while True:
+        gap = GAP.match(page, at)
+        at = gap.end()
+        if at >= n:
+            return None
+        if page[at] == ">":
+            return found, gap.group().endswith("/"), at + 1
+        m = NAME.match(page, at)
+        name, value, at = m.group().lower(), "", m.end()
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = VALUE.match(page, at)
+                value, at = m.group(), m.end()
+        found.setdefault(name, value)
+
+
+class _Reader:
+    """Open elements and blocks of a page that is being read."""
+
+    def __init__(self) -> None:
+        self.body = Node("body", "body", None, outside=False)
+        self.nodes = [self.body]
+        # open elements that make a container or stand between it and another of their name
+        self.stack: list[tuple[str, Node]] = []
+        self.opened: dict[str, list[int]] = defaultdict(list)
+        self.special: list[int] = []
+        self.text: list[str] = []
+        self.owner, self.link, self.linked, self.order = self.body, False, 0, 0
+
+    def top(self) -> Node:
+        return self.stack[-1][1] if self.stack else self.body
+
+    def last(self, *tags: str) -> int:
+        return max((self.opened[t][-1] for t in tags if self.opened.get(t)), default=-1)
+
+    def push(self, tag: str, node: Node) -> None:
+        self.opened[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.special.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self, length: int) -> None:
+        while len(self.stack) > length:
+            tag, _ = self.stack.pop()
+            self.opened[tag].pop()
+            if self.special and self.special[-1] == len(self.stack):
+                self.special.pop()
+
+    def flush(self) -> None:
+        words = "".join(self.text).split()
+        if words:
+            if self.owner.blocks is None:
+                self.owner.blocks = []
+            self.owner.blocks.append((self.order, " ".join(words)))
+            self.owner.prose += max(0, len(words) - self.linked)
+            self.order += 1
+        self.text.clear()
+        self.linked = 0
+
+    def say(self, piece: str) -> None:
+        if self.opened.get("head") and piece.strip():
+            self.pop(self.opened["head"][0])
+        now = self.top()
+        if now.outside:
+            return
+        if now is not self.owner:
+            self.flush()
+            self.owner = now
+        self.text.append(piece)
+        if self.link:
+            self.linked += len(piece.split())
+
+    def start(self, tag: str, found: dict[str, str], closed: bool) -> None:
+        if self.opened.get("head") and tag not in HEAD:
+            self.pop(self.opened["head"][0])
+        if tag in BLOCKS and not self.top().outside:
+            self.flush()
+        if tag in ("html", "body") or tag in VOID:
+            return
+        if self.opened.get("svg") or self.opened.get("math"):
+            if tag in BREAKOUT:
+                self.pop(min(self.opened[t][0] for t in FOREIGN if self.opened.get(t)))
+            elif closed:
+                return
+        elif closed and tag in FOREIGN:
+            return
+        if tag in ENDS and (at := self.last(*ENDS[tag])) > (table := self.last("table")):
+            while (at := self.last(*ENDS[tag])) > table:
+                self.pop(at)
+        if tag == "a":
+            self.link = True
+        around = self.top()
+        outside, good = surrounds(tag, found)
+        if (tag in HOLDERS or outside) and not around.outside:
+            node = Node(tag, generalised(tag, found.get("class", "")), around, outside, good)
+            self.nodes.append(node)
+            self.push(tag, node)
+        elif tag in HOLDERS or tag in ("th", "caption") or self.opened.get(tag):
+            self.push(tag, around)
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS and tag not in HOLDERS and tag not in OUTSIDE and not self.top().outside:  # whether these are open isn't known
+            self.flush()
+        if tag == "a":
+            self.link = False
+        if not self.opened.get(tag) or tag in ("body", "html"):
+            return
+        at = self.opened[tag][-1]
+        if tag in ENDS:
+            around = self.last("table")
+        elif tag == "table":
+            around = self.last("template")
+        elif tag in BLOCKS or tag in FOREIGN:
+            around = self.last("td", "th", "caption", "table", "template", "object")
+        else:
+            around = self.special[-1] if self.special else -1
+        if at >= around:
+            if tag in BLOCKS and not self.top().outside:
+                self.flush()
+            self.pop(at)
+
+
 def parse(page: str) -> list[Node]:
     """The containers of a page in page order, the body first, each with the blocks (position, text) right in it.
 
-    Unclosed elements end with the element around them; a tag cut off by the page's end is text no more than markup.
+    Unclosed elements end with the element around them; what stands in a tag, comment or script that the page's end
+    cuts off is no text.
     """
-    body = Node("body", "body", None, outside=False)
-    nodes, stack = [body], [("html", body)]
-    text: list[str] = []
-    owner, links, linked, order, at = body, 0, 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked, order
-        words = "".join(text).split()
-        if words:
-            owner.blocks.append((order, " ".join(words)))
-            owner.prose += max(0, len(words) - linked)
-            order += 1
-        text.clear()
-        linked = 0
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None and "<" in page[at:] and UNFINISHED.search(page, at):
-            piece = page[at : UNFINISHED.search(page, at).start()]
-        else:
-            piece = page[at : m.start() if m else len(page)]
-        if piece and not stack[-1][1].outside:
-            if stack[-1][1] is not owner:
-                flush()
-                owner = stack[-1][1]
-            piece = entities.unescape(piece)
-            text.append(piece)
-            if links:
-                linked += len(piece.split())
-        if m is None:
-            break
-        at = m.end()
-        if m.group(2) is None:
+    read = _Reader()
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            read.say(entities.unescape(page[at : lt if lt >= 0 else n]))
+            if lt < 0:
+                break
+        at = lt + 1
+        if page.startswith("!--", at):
+            m = COMMENT.match(page, lt)
+            if m is None:
+                break
+            at = m.end()
             continue
-        tag, rest = m.group(2).lower(), m.group(3)
-        if tag in BLOCKS:
-            flush()
-        if m.group(1):
-            if tag == "a":
-                links = max(0, links - 1)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        closing = page.startswith("/", at)
+        name = TAG.match(page, at + closing)
+        if name is None:
+            if page.startswith(("!", "?"), at) or closing and at + 1 < n:
+                end = page.find(">", at)
+                if end < 0:
                     break
+                at = end + 1
+            else:
+                read.say("<")
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if tag in VOID or rest.endswith("/"):
-            continue
-        links += tag == "a"
-        attributes = {(n or b).lower(): d or s or u for n, d, s, u, b in ATTRIBUTE.findall(rest)} if rest.strip() else {}
-        around = stack[-1][1]
-        outside, good = surrounds(tag, attributes)
-        if tag == "body" or not (tag in HOLDERS or outside):
-            stack.append((tag, around))
-        elif around.outside:
-            stack.append((tag, around))
+        tag, at = name.group().lower(), name.end()
+        if page.startswith(">", at):
+            found, closed, at = {}, False, at + 1
+        elif (rest := attributes(page, at)) is not None:
+            found, closed, at = rest
         else:
-            path = f"{around.path}/{generalised(tag, attributes.get('class', ''))}" if len(stack) <= DEEP else around.path
-            node = Node(tag, path, around, outside, good)
-            nodes.append(node)
-            stack.append((tag, node))
-    flush()
-    for node in reversed(nodes):
+            break
+        if closing:
+            read.end(tag)
+            continue
+        read.start(tag, found, closed)
+        if tag in RAW and not (closed and (read.opened.get("svg") or read.opened.get("math"))):
+            close = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\f\r/>])[^>]*>", re.I).search(page, at)
+            if close is None:
+                break
+            read.pop(read.opened[tag][-1]) if read.opened.get(tag) else None
+            at = close.end()
+    read.flush()
+    for node in reversed(read.nodes):
         if node.parent is not None and not node.outside:
             node.parent.prose += node.prose
-    return nodes
+    return read.nodes
 
 
 def best(nodes: list[Node]) -> Node:
@@ -177,12 +327,16 @@ def best(nodes: list[Node]) -> Node:
     named = [n for n in inside if n.good and 2 * n.prose >= body.prose > 0]
     if named:
         return min(named, key=lambda n: n.prose)
+    fullest: dict[int, Node] = {}
+    for node in inside[1:]:
+        if id(node.parent) not in fullest or node.prose > fullest[id(node.parent)].prose:
+            fullest[id(node.parent)] = node
     now = body
     while True:
-        below = max((n for n in inside if n.parent is now), key=lambda n: n.prose, default=None)
-        if below is None or 10 * below.prose < 7 * now.prose or not below.prose:
+        next_ = fullest.get(id(now))
+        if next_ is None or 10 * next_.prose < 7 * now.prose or not next_.prose:
             return now
-        now = below
+        now = next_
 
 
 def text_below(nodes: list[Node], roots: list[Node]) -> str:
@@ -194,18 +348,22 @@ def text_below(nodes: list[Node], roots: list[Node]) -> str:
             continue
         if id(node) in chosen or node.parent is not None and id(node.parent) in chosen:
             chosen.add(id(node))
-            blocks += node.blocks
+            blocks += node.blocks or ()
     return " ".join(text for _, text in sorted(blocks))
 
 
 def extract(page: str, paths: list[str]) -> str:
     """The text below the first of ``paths`` that the page has with some text, else of its own best container."""
     nodes = parse(page)
-    for path in paths:
-        roots = [n for n in nodes if n.path == path and not n.outside]
-        text = text_below(nodes, roots) if roots else ""
-        if text:
-            return text
+    if paths:
+        wanted, held = set(paths), defaultdict(list)
+        for node, path in zip(nodes, paths_of(nodes), strict=True):
+            if path in wanted and not node.outside:
+                held[path].append(node)
+        for path in paths:
+            text = text_below(nodes, held[path]) if path in held else ""
+            if text:
+                return text
     return text_below(nodes, [best(nodes)])
 
 
@@ -215,7 +373,7 @@ def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(1).to_pylist():
             nodes = parse(page)
             chosen = best(nodes)
-            paths.append(chosen.path)
+            paths.append(path_of(chosen))
             shares.append(chosen.prose / nodes[0].prose if nodes[0].prose else 0.0)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
 
@@ -227,11 +385,16 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, paths) from pages (host, html): each host's PATHS paths with the most votes, ties by name."""
+    """(host, paths) from pages (host, html): each host's winning paths by their votes, ties by name.
+
+    Votes are summed per (host, path) before paths of a host meet, and only winners are listed.
+    """
     votes = pages.filter("host IS NOT NULL").mapInArrow(_ballots, "host string, path string, share double")
-    counted = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1000).cast("long")).alias("votes"))
-    ranked = counted.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))).alias("all"))
-    return ranked.select("host", F.transform(F.slice("all", 1, PATHS), lambda x: x["path"]).alias("paths"))
+    counted = stage(votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1000).cast("long")).alias("votes"), F.count("*").alias("n")), "host-votes")
+    whole = counted.groupBy("host").agg(F.sum("n").alias("pages"))
+    winners = counted.join(whole, "host").filter((F.col("n") > 1) & (F.col("n") * SHARE >= F.col("pages")))
+    ranked = winners.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))).alias("all"))
+    return ranked.select("host", F.transform("all", lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -244,11 +407,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(pages[url_col], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), F.nullif(host, F.lit("")).alias("host"))
     winners = stage(consensus(rows.select("host", "html")), "host-paths")
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    if (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_PATHS:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:  # pages without a host stay where they are
+        joined = rows.filter("host IS NOT NULL").join(winners, "host", "left").unionByName(rows.filter("host IS NULL").withColumn("paths", F.lit(None).cast("array<string>")))
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,15 @@
 import re
+import time
 from html import unescape
+from html.parser import HTMLParser
 
-from skeinflow.llm.html_text import extract, main_text, parse
+import pytest
+from hypothesis import given
+from hypothesis import settings as hyp
+from hypothesis import strategies as st
+
+from skeinflow.llm import html_text
+from skeinflow.llm.html_text import OUTSIDE, extract, main_text, parse
 
 PROSE = "The quick brown fox jumps over the lazy dog and then runs on through the wide green field."
 HARD = f"""<!DOCTYPE html><html><head><title>No</title><style>p>b{{}}</style><script>var t="</p><p>no";</script></head>
@@ -33,6 +41,106 @@ def test_broken_pages():
     assert extract(deep, []) == "x"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p title=it's>Hello</p> you", "Hello you"),
+    ('<p title="oops>Hello</p><p class="x">you</p>', "you"),
+    ('<p title="oops>Hello', ""),
+    ("<p 'x\">Hello", "Hello"),
+    ("<p a=b/>Hello<a href=http://x.example/>link</a> end", "Hellolink end"),
+    ("<article>one</b></i></section></td>two</article>", "onetwo"),
+    ("<article><b><div>one</b></div>two</article>", "one two"),
+    ("<article><span class=hidden>no<span>no</span>no</span>yes</article>", "yes"),
+    ("<article><nav><div>no</div>no</nav><div>yes</div></article>", "yes"),
+    ("<div>a</nav></article></span>b</div>", "ab"),
+    ("<head><title>no</title><p>yes", "yes"),
+    ("<head><meta charset=x>no head", "no head"),
+    ("<article>a<svg/>b<svg><path d='x'/><text>no</text></svg>c</article>", "abc"),
+    ("<article>a<svg><path d='x'><div>b</div></article>", "a b"),
+    ("<article>a<template><div>no<template>no</template>no</div>no</template>b</article>", "ab"),
+    ("<article><script>if (a</b) '</article>' </SCRIPT\n >a<!--> b --> c<!-- - > no --!>d<!doctype x><?php no?></ no>e</>f</article>", "a b --> cdef"),
+    ("<article>a<table><tr><td>b<td>c<tr><td>d<table><tr><td>e</tr></table>f</table>g</article>", "a b c d e f g"),
+    ("<article>a < b &lt; <3 &amp;amp; <</article>", "a < b < <3 &amp; <"),
+    ("a<br/>b<hr>c<wbr>d<img src='>'>e", "a b cde"),
+    ("</body></html>late", "late"),
+])
+def test_markup_is_read_as_browsers_read_it(page, want):
+    assert extract(page, []) == want
+
+
+class Plain(HTMLParser):
+    """The blocks of well-formed pages, read by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.text = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in OUTSIDE or tag == "script"
+        if tag in ("div", "p", "li", "br", "article", "section", "nav", "aside", "form"):
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in OUTSIDE or tag == "script"
+        if tag in ("div", "p", "li", "article", "section", "nav", "aside", "form"):
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.text.append(data)
+
+
+LEAF = st.sampled_from(["word", " two words ", "&amp;", "&eacute;t&#233;", "<br>", "<img alt='>' src=a/b>", "<!-- no -->", "x &lt; y", "<script>no < </scrip></script>", "\n"])
+TREE = st.recursive(LEAF, lambda inner: st.tuples(st.sampled_from(["div", "p", "b", "span", "a", "li", "section", "nav", "aside", "form"]), st.sampled_from(["", " class='c1 lead'", ' title="a > b"', " data-x=y/"]), st.lists(inner, max_size=4)).map(lambda t: f"<{t[0]}{t[1]}>{''.join(t[2])}</{t[0]}>"), max_leaves=25)
+
+
+@hyp(max_examples=300, deadline=None)
+@given(st.lists(TREE, max_size=6))
+def test_agrees_with_another_parser(parts):
+    page = "<body><article>" + "".join(parts) + "</article></body>"
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    text = html_text.text_below(nodes := parse(page), nodes[:1])
+    assert text.split() == "".join(plain.text).split()
+
+
+@hyp(max_examples=200, deadline=None)
+@given(st.text(alphabet="<>/!-=\"' abdiv&;#\n", max_size=80))
+def test_any_text_is_read(page):
+    text = extract(page, [])
+    assert " ".join(text.split()) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<div>x" + "</span></td></p>" * 100_000, "<b>x" * 200_000, "<p title='" * 100_000, "<" * 1_000_000, "<!--" * 300_000,
+    "<a " + "a " * 500_000, "<table><tr><td>" * 60_000, "<span class=ad><span>" * 50_000, "<script>" * 100_000, "</" * 400_000, "<div><span class=hidden>x</div>" * 30_000,
+])
+def test_long_and_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    extract(page, ["no such path"])
+    assert time.process_time() - began < 20
+
+
+def test_depth_has_no_end():
+    inner = "<div>" * 5000
+    page = f"{inner}<div class=lead><p>{PROSE}</p></div><div class=other><p>side</p></div>"
+    nodes = parse(page)
+    path = html_text.path_of(next(n for n in nodes if n.step == "div.lead"))
+    assert extract(page, [path]) == PROSE and html_text.paths_of(nodes).count(path) == 1
+
+
+def test_every_template_of_a_host_wins(spark, monkeypatch):
+    # alone, the teaser would win every last page of a template
+    page = lambda t, i, prose: f"<body><div class='teaser{t}'><p>{PROSE * 4}</p></div><div class='lead{t}'><p>page {i} {prose}</p></div>"
+    names = ["a", "b", "c", "d", "e", "f"]
+    rows = [(t * 10 + i, "http://a.example/x", page(n, i, PROSE * 20 if i < 3 else "short")) for t, n in enumerate(names) for i in range(4)] + [(99, None, page("a", 9, "short"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert [got[t * 10 + 3] for t in range(6)] == ["page 3 short"] * 6 and got[99].startswith(PROSE)
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", 0)
+    assert {r.page_id: r.text for r in main_text(df).collect()} == got
+
+
 def test_consensus_of_host(spark):
     good = [f"<body><div class='teaser'><p>{PROSE}</p></div><div class='c{i}x lead'><p>page {i} {PROSE} {PROSE} {PROSE} {PROSE}</p></div>" for i in range(9)]
     # alone, the longer teaser would win this page
