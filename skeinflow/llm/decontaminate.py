@@ -2,11 +2,13 @@
 
 MinHash estimates Jaccard similarity, which says little about a short item inside a long document. So both sides are
 partitioned by size: items into classes of doubling width w, documents into windows of 2w shingles that advance by w,
-minima of tiles of w taken once and shared by all classes. An item that lies in a document lies in one of its windows,
-where the Jaccard similarity is bounded from below whatever the document's length; that bound sets the number of hash
-functions, each a band of its own, for a chance to miss of at most MISS. A passage torn into a few parts is still found
-through the window of any part. Every document is then judged by the exact share of the item's distinct shingles that
-it holds anywhere, in integers.
+minima of tiles of w taken once and shared by all classes. A function finds an item when the item's least shingle is in
+the document and is the least of its window. However the item is torn, the document holds num / den of its shingles, so
+the least is there with this chance, and its window adds 2w shingles at most to the item's; that bounds the chance from
+below whatever the document's length and sets the number of hash functions, each a band of its own, for a chance to
+miss of at most MISS. Every candidate is then judged by the exact share of the item's distinct shingles that the
+document holds anywhere, in integers. ``exhaustive`` judges every document by all items that share a shingle with it
+instead, and misses nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from skeinflow.llm.hashing import ALNUM, PIECE, batches_of, mix, shingles
 from skeinflow.llm.staging import bound_batches
 
-#: Most chance to miss an item that stands whole in a document, and most hash functions.
-MISS, FUNCTIONS = 1e-7, 96
+#: Most chance to miss an item, if hash functions are independent.
+MISS = 1e-7
 #: Bytes of items held by a task at once; more items are searched in several passes over the documents.
 PASS_BYTES = 8 << 20
 
@@ -46,16 +48,18 @@ def _factors(n: int) -> np.ndarray:
 
 
 def _functions(width: int, num: int, den: int) -> int:
-    least = width // 2 + 1 if width > 1 else 1
-    held = -(-least * num // den)
-    window = 1 if width == 1 else 2 * width
-    jaccard = held / (window + least - held)
-    return 1 if jaccard >= 1 else min(FUNCTIONS, ceil(log(MISS) / log(1 - jaccard)))
+    """Hash functions of a class of items of more than ``width`` / 2 shingles and ``width`` at most."""
+    if width == 1:
+        return 1
+    least = width // 2 + 1
+    chance = num / den * least / (least + 2 * width)
+    return ceil(log(MISS) / log(1 - chance))
 
 
 def build_index(items: list[tuple[object, str]], k: int, num: int, den: int) -> Index:
+    """The index of items (identifier, lower-cased text)."""
     ids, sets = [], []
-    for i, grams in shingles([(text or "").lower().encode() for _, text in items], k, ALNUM):
+    for i, grams in shingles([(text or "").encode() for _, text in items], k, ALNUM):
         if len(grams):
             ids.append(items[i][0])
             sets.append(np.unique(grams))
@@ -109,18 +113,19 @@ def candidates(index: Index, stream: np.ndarray, bounds: np.ndarray) -> set[tupl
     return found
 
 
-def verified(index: Index, grams: np.ndarray, items: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """(item, shared shingles) for those of ``items`` whose share in the text suffices."""
+def verified(index: Index, grams: np.ndarray, items: list[int] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """(item, shared shingles) for those of ``items`` (None: of all) whose share in the text suffices."""
     grams = np.unique(grams)
     at = np.searchsorted(index.grams, grams)
     hit = at[index.grams[np.minimum(at, len(index.grams) - 1)] == grams]
     shared = np.zeros(len(index.ids), np.int64)
     for a, b in zip(index.starts[hit], index.starts[hit + 1], strict=True):
         shared[index.owners[a:b]] += 1
-    return [(i, int(shared[i])) for i in sorted(items) if den * shared[i] >= num * index.sizes[i]]
+    wanted = sorted(items) if items is not None else np.flatnonzero(shared).tolist()
+    return [(i, int(shared[i])) for i in wanted if den * shared[i] >= num * index.sizes[i]]
 
 
-def _search(shared, k: int, num: int, den: int, item_kind: pa.DataType):
+def _search(shared, k: int, num: int, den: int, item_kind: pa.DataType, exhaustive: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -128,10 +133,13 @@ def _search(shared, k: int, num: int, den: int, item_kind: pa.DataType):
             rows, items, sizes, counts = [], [], [], []
             for first, end in batches_of(texts, PIECE):
                 grams = [g for _, g in shingles(texts[first:end], k, ALNUM)]
-                bounds = np.cumsum([0] + [len(g) for g in grams])
-                wanted: dict[int, list[int]] = {}
-                for t, i in candidates(index, np.concatenate(grams), bounds):
-                    wanted.setdefault(t, []).append(i)
+                wanted: dict[int, list[int] | None] = {}
+                if exhaustive:
+                    wanted = {t: None for t, g in enumerate(grams) if len(g)}
+                else:
+                    bounds = np.cumsum([0] + [len(g) for g in grams])
+                    for t, i in candidates(index, np.concatenate(grams), bounds):
+                        wanted.setdefault(t, []).append(i)
                 for t, mine in sorted(wanted.items()):
                     for i, n in verified(index, grams[t], mine, num, den):
                         rows.append(first + t)
@@ -147,22 +155,25 @@ def _search(shared, k: int, num: int, den: int, item_kind: pa.DataType):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", exhaustive: bool = False) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment for items of which a document holds num / den or more.
 
     Both texts are lower-cased; words are runs of letters and digits (every non-ASCII character counts as one). An item
     with fewer than k words is one shingle, found in documents that consist of these words alone; items and documents
     that are null, empty or without words match nothing. Repeated documents give a row each; repeated items with one
     identifier give one. Other columns are ignored; empty tables give no rows. The items of a pass are broadcast, their
-    bytes bounded by PASS_BYTES; more items take more passes.
+    bytes bounded by PASS_BYTES; more items take more passes. ``exhaustive`` leaves out the search and judges every
+    document by all items.
     """
+    if not 0 < num <= den:
+        raise ValueError("0 < num <= den is needed")
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     bound_batches(spark)
     kind, item_type = docs.schema[id_col].dataType, items.schema[item_id].dataType
     rows = docs.select(docs[id_col].alias("doc_id"), F.lower(docs[text_col].cast("string")).cast("binary").alias("text"))
-    texts = items.select(items[item_id].alias("id"), items[item_text].cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    texts = items.select(items[item_id].alias("id"), F.lower(items[item_text].cast("string")).alias("text")).filter("text IS NOT NULL").distinct()
     passes = ceil((texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) / PASS_BYTES)
     schema = f"doc_id {kind.simpleString()}, item_id {item_type.simpleString()}, n_item_shingles long, n_shared long, containment double"
     out = None
@@ -170,7 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, d
         part = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p)
         index = build_index([(r.id, r.text) for r in part.collect()], k, num, den)
         if index.ids:
-            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), k, num, den, to_arrow_type(item_type)), schema)
+            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), k, num, den, to_arrow_type(item_type), exhaustive), schema)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -43,6 +43,58 @@ def test_matches_brute_force(spark, monkeypatch, pass_bytes):
     assert len(got) > 60
 
 
+def torn(rng, n, parts, share):
+    """An item of ``n`` words and a long document that holds ``share`` of its shingles in about ``parts`` far parts."""
+    words = [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    cuts = sorted(rng.sample(range(6, n - 5), parts - 1)) if parts > 1 else []
+    say = lambda m: " ".join(f"f{rng.randrange(10**6)}" for _ in range(m))
+    # each part overlaps the next by four words, so a tear alone loses nothing; then words are lost at random
+    pieces = [" ".join(words[max(0, a - 4) : b]) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+    body = f"{say(800)} " + f" {say(rng.randint(300, 900))} ".join(rng.sample(pieces, len(pieces))) + f" {say(800)}"
+    kept = body.split()
+    for at in rng.sample(range(n), n):
+        trial = [w for w in kept if w != words[at]]
+        if 100 * len(grams(" ".join(words)) & grams(" ".join(trial))) < share * (n - 4):
+            break
+        kept = trial
+    return " ".join(words), " ".join(kept)
+
+
+@pytest.mark.parametrize("num", [80, 50])
+def test_torn_items_are_found(spark, num):
+    rng = random.Random(num)
+    pairs = [torn(rng, rng.choice([17, 20, 30, 45, 70, 130]), rng.randint(1, 6) if i % 2 else 1, num) for i in range(60)]
+    items = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pairs)], "doc_id long, text string")
+    want = {(i, i) for i, (a, b) in enumerate(pairs) if 100 * len(grams(a) & grams(b)) >= num * len(grams(a))}
+    assert len(want) >= 55
+    found = {(r.doc_id, r.item_id) for r in contaminated(docs, items, num=num).collect()}
+    exact = {(r.doc_id, r.item_id) for r in contaminated(docs, items, num=num, exhaustive=True).collect()}
+    assert exact == want and found == want
+
+
+def test_exhaustive_way_matches_the_search(spark):
+    docs, items = cases()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, contaminated(d, i, exhaustive=True).collect())) == sorted(map(tuple, contaminated(d, i).collect()))
+    with pytest.raises(ValueError):
+        contaminated(d, i, num=0)
+
+
+def test_hash_functions_keep_the_promise():
+    for num in (100, 80, 60, 50, 20):
+        for width in (2, 8, 64, 4096):
+            least = width // 2 + 1
+            assert (1 - num / 100 * least / (least + 2 * width)) ** decontaminate._functions(width, num, 100) <= decontaminate.MISS
+
+
+def test_both_sides_are_lower_cased_alike(spark):
+    text = "ΑΣΣ İIı ẞß ΌΣΟΣ Ǆ words here"
+    docs = spark.createDataFrame([(1, text), (2, text.lower())], "doc_id long, text string")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert 1 in {r.doc_id for r in contaminated(docs, items).collect()}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
