@@ -175,12 +175,25 @@ def _cut(text: str, spans: list[dict]) -> str:
         kept.append(text[at : s["start"]])
         at = s["end"]
     kept.append(text[at:])
-    out = kept[0]
-    for part in kept[1:]:
-        left, right = out.rstrip(), part.lstrip()
-        gap = out[len(left) :] + part[: len(part) - len(right)]
-        out = left + (("\n" if "\n" in gap else " ") if left and right else "") + right
-    return out
+    if len(kept) == 1:
+        return text
+    # each kept part's words, and the white space between two of them, one of which may be blank
+    out, gap = [], kept[0][: len(kept[0]) - len(kept[0].lstrip())]
+    for i, part in enumerate(kept):
+        body = part.strip()
+        if body:
+            lead = part[: len(part) - len(part.lstrip())]
+            if out:
+                out.append("\n" if "\n" in gap or "\n" in lead else " ")
+            elif i == 0:
+                out.append(lead)
+            out.append(body)
+            gap = part[len(part.rstrip()) :]
+        else:
+            gap += part
+    if out and kept[-1].strip():
+        out.append(gap)
+    return "".join(out)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +217,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = df.select(doc, row, text.cast("binary").alias("body")).mapInArrow(_unit_rows, "digest long, doc long, row long, at long, start long, end long, words long, edges long, repeated boolean")
     settled = found.repartition("digest").sortWithinPartitions("digest", "doc", "row", "at")
     repeats = settled.mapInArrow(_repeats, "doc long, row long, at long, start long, end long, words long, edges long")
-    placed = repeats.repartition("doc").sortWithinPartitions("doc", "row", "at")
+    placed = repeats.repartition("doc", "row").sortWithinPartitions("doc", "row", "at")
     spans = placed.mapInArrow(_spans(min_words), "doc long, row long, spans array<struct<start:bigint,end:bigint>>")
     texts = df.select(df[id_col].alias("doc_id"), text.alias("text"), doc, row)
     joined = texts.join(spans, ["doc", "row"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))

@@ -95,3 +95,12 @@ def test_identical_rows_keep_their_text(spark, monkeypatch, chunk, parts):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = sorted(((r.doc_id, r.text) for r in sd.substring_dedup(df).collect()), key=str)
     assert got == [(5, line)] * 2 + [(6, f"own\n{line} x")] * 2 + [(8, "a")] * 2 + [(None, "b")] * 2
+
+
+def test_cutting_takes_linear_time():
+    text = "keep me. drop it! " * 100_000
+    spans = [{"start": i * 18 + 9, "end": i * 18 + 17} for i in range(100_000)]
+    assert sd._cut(text, spans) == "keep me. " * 99_999 + "keep me."
+    assert sd._cut("a\nb\nc", [{"start": 2, "end": 3}]) == "a\nc"
+    assert sd._cut(" a b ", [{"start": 1, "end": 2}]) == "b "
+    assert sd._cut("x", []) == "x" and sd._cut("x", [{"start": 0, "end": 1}]) == ""
