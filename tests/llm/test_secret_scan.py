@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from skeinflow.llm import secret_scan as ss
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -31,7 +33,9 @@ def test_matches_brute_force(spark):
     assert got == {i: brute(t) for i, t in rows}
 
 
-def test_ledger_scans_only_what_is_unseen(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_ledger_scans_only_what_is_unseen(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ss, "BROADCAST_BLOBS", broadcast)
     one = spark.createDataFrame([("p", 1, "token=abcdefghijkl"), ("q", 1, "clean")], "doc_id string, version int, text string")
     two = spark.createDataFrame([("p", 2, "token=abcdefghijkl!"), ("r", 1, "clean"), ("r", 2, "clean")], one.schema)
     ledger = ss.stage(ss.scan(one), "test")
@@ -50,3 +54,15 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = ss.report(ss.versions(df), ss.scan(df))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_query_fills_the_ledger_twice(spark, monkeypatch):
+    seen = []
+    real = ss.scan
+    monkeypatch.setattr(ss, "scan", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.spans for r in ss.op5_secret_scan(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute(t)) for i, t in docs.items()}
+    first, second = ({r.blob for r in df.collect()} for df in seen)
+    assert first and second and not first & second and len(first | second) == len({t or "" for t in docs.values()})
