@@ -4,8 +4,8 @@ Rows are range-partitioned by (the first 64 bytes, a 64-bit hash, the identifier
 sampled splitters, whose keys are thus short whatever the texts are, and sorted externally by (those bytes, the hash,
 the whole text, the identifier). Equal texts then stand next to each other, and a streaming pass compares whole
 neighbours. The identifier is part of the partitioning, so a text with a third of all rows spreads over many tasks.
-A run of equal texts that crosses a partition's border leaves one summary row per piece, two per partition at most;
-these are merged by SHA-256 and broadcast back.
+A run of equal texts that crosses a partition's border, or is longer than a piece, leaves one summary row per piece;
+these are merged by SHA-256 and joined back.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,49 +21,76 @@ from pyspark.sql import types as T
 
 from skeinflow.llm.staging import bound_batches, stage
 
-#: Rows in an output batch of the neighbour pass.
-OUT_ROWS = 20_000
+#: Rows in an output batch of the neighbour pass, and most rows of a run held as one piece.
+OUT_ROWS, PIECE_ROWS = 20_000, 100_000
+#: Texts with several pieces that are broadcast back (about 150 bytes each); beyond it their rows are shuffled.
+BROADCAST_RUNS = 500_000
 
 
 def _neighbours(keep_largest: bool, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["row_id", "text_sha256", "run_keep", "run_size", "run_kept", "piece", "at_border"]
+    types = [id_type, pa.string(), id_type, pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        out: list[list] = [[] for _ in names]
-        text, ids, pieces = None, [], 0
-
-        def close(last: bool) -> None:
-            nonlocal pieces
-            n = len(ids)
-            known = [i for i, x in enumerate(ids) if x is not None]
-            at = n - 1 if not known else known[-1] if keep_largest else known[0]
-            digest = hashlib.sha256(text).hexdigest()
-            border = last or pieces == 0
-            for column, values in zip(out, (ids, [digest] * n, [ids[at]] * n, [n] * n, [i == at for i in range(n)], [(part << 1) + (pieces > 0)] * n, [border] * n), strict=True):
-                column.extend(values)
-            pieces += 1
+        out: list[tuple] = []  # (digest, rows, the kept row, piece, whether at a border) of the closed runs, and their rows
+        rows: list[pa.Array] = []
+        first = key = text = None  # (head, hash) of the partition's first row, of the open run, and its text
+        ids: list[pa.Array] = []
+        held = pieces = closed = 0
+        torn = False  # the open run shares its hash with another text or has left a piece
+
+        def close(border: bool) -> None:
+            nonlocal pieces, held, ids, closed
+            at = 0
+            if held > 1:
+                known = pa.concat_arrays(ids).is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+                at = held - 1 if not len(known) else int(known[-1] if keep_largest else known[0])
+            # a partition has fewer than 2**32 pieces, and their numbers follow the order of rows
+            out.append((hashlib.sha256(text).hexdigest(), held, closed + at, (part << 32) + pieces, border or key == first))
+            rows.extend(ids)
+            closed += held
+            pieces, held, ids = pieces + 1, 0, []
 
         def flush() -> pa.RecordBatch:
-            types = [id_type, pa.string(), id_type, pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-            for column in out:
-                column.clear()
-            return batch
+            nonlocal closed
+            digests, sizes, keeps, numbers, borders = zip(*out, strict=True)
+            own, run = pa.concat_arrays(rows), np.repeat(np.arange(len(out)), sizes)
+            at = np.array(keeps, np.int64)
+            kept = np.zeros(len(own), bool)
+            kept[at] = True
+            columns = [own, pa.array(digests).take(pa.array(run)), own.take(pa.array(at[run])), np.array(sizes, np.int64)[run], kept, np.array(numbers, np.int64)[run], np.array(borders)[run]]
+            out.clear()
+            rows.clear()
+            closed = 0
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            for row_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None and body != text:
-                    close(last=False)
-                    ids = []
-                    if len(out[0]) >= OUT_ROWS:
+            bodies, hashes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            begin = 0
+            for i, body in enumerate(bodies):
+                same = body == text
+                if same and held + i - begin < PIECE_ROWS:
+                    continue
+                if i > begin:
+                    ids.append(batch.column(0).slice(begin, i - begin))
+                    held += i - begin
+                    begin = i
+                now = (body[:64], hashes[i])
+                if text is not None:
+                    collides = not same and now == key
+                    close(border=torn or same or collides)
+                    torn = same or collides
+                    if closed >= OUT_ROWS:
                         yield flush()
-                text = body
-                ids.append(row_id)
+                text, key, first = body, now, first or now
+            if len(bodies) > begin:
+                ids.append(batch.column(0).slice(begin, len(bodies) - begin))
+                held += len(bodies) - begin
         if text is not None:
-            close(last=True)
+            close(border=True)
             yield flush()
 
     return run
@@ -85,7 +113,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     body = (normalise(text) if normalise else text).cast("binary")
     keyed = df.select(df[id_col].alias("row_id"), body.alias("body"))
     keyed = keyed.select("row_id", "body", F.substring("body", 1, 64).alias("head"), F.xxhash64("body").alias("h"))
-    ordered = keyed.repartitionByRange("head", "h", "row_id").sortWithinPartitions("head", "h", "body", "row_id").select("row_id", "body")
+    ordered = keyed.repartitionByRange("head", "h", "row_id").sortWithinPartitions("head", "h", "body", "row_id").select("row_id", "body", "h")
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -100,17 +128,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     best = F.max(F.struct(F.col("run_keep").isNotNull().alias("known"), F.col("run_keep").alias("id"), F.col("piece").alias("piece"))) if largest else F.min(rank)
     pieces = runs.filter("at_border AND run_kept")
     merged = pieces.groupBy("text_sha256").agg(F.count("*").alias("n"), F.sum("run_size").alias("all_size"), best.alias("best")).filter("n > 1")
-    # Two rows per partition at most, whatever the data are.
-    merged = F.broadcast(merged.select(F.col("text_sha256").alias("sha"), "all_size", F.col("best.id").alias("all_keep"), F.col("best.piece").alias("best_piece")))
-    joined = runs.join(merged, (F.col("text_sha256") == F.col("sha")) & F.col("at_border"), "left")
+    merged = stage(merged.select(F.col("text_sha256").alias("sha"), "all_size", F.col("best.id").alias("all_keep"), F.col("best.piece").alias("best_piece")), "exact-runs")
+    if merged.count() <= BROADCAST_RUNS:
+        merged = F.broadcast(merged)
+    joined = runs.filter("at_border").join(merged, F.col("text_sha256") == F.col("sha"), "left")
     crosses = F.col("sha").isNotNull()
-    return joined.select(
+    whole = ["row_id", "keep_id", "group_size", "kept", "text_sha256"]
+    border = joined.select(
         "row_id",
         F.when(crosses, F.col("all_keep")).otherwise(F.col("run_keep")).alias("keep_id"),
         F.when(crosses, F.col("all_size")).otherwise(F.col("run_size")).alias("group_size"),
         (F.col("run_kept") & (~crosses | (F.col("piece") == F.col("best_piece")))).alias("kept"),
         "text_sha256",
     )
+    inner = runs.filter("NOT at_border").select("row_id", F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), F.col("run_kept").alias("kept"), "text_sha256")
+    return inner.select(*whole).unionByName(border)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
