@@ -563,7 +563,8 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     the smallest identifier reachable by links; n_links counts the linked rows, copies included. Repeated rows count as
     copies of each other; a null identifier takes part but names no component. Identifiers are integers. Other columns
     are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes. ``with_hash`` adds the
-    column text_hash (see ``text_hash``), which tells rows with one identifier, or none, apart.
+    columns text_hash (see ``text_hash``), which tells rows with one identifier, or none, apart, and component_hash, the
+    least text_hash among the component's rows of component_id (of all its rows, if none has an identifier).
     """
     if not 0 < num < den:
         raise ValueError("0 < num < den is needed; equal sets are one node anyway")
@@ -572,7 +573,9 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     docs = df.select(df[text_col].cast("string").cast("binary").alias("text"), df[id_col].cast("long").alias("doc_id"), text_hash(df[text_col]).alias("text_hash"))
 
     own = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, text_hash long, node long, n long, k int, cells_own binary, cells_next binary"), "ngram-sets")
-    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
+    # a set is known by its row of the least identifier, or without one by that of the least text hash
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash"))
+    nodes = own.filter("n > 0").groupBy("node").agg(first.alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("k").alias("k"))
 
     rows = docs.mapInArrow(_segment_rows(k, num, den), "sig long, node long")
     groups = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_groups, "group long, node long")
@@ -582,12 +585,11 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     clusters = components(ties).withColumnRenamed("component", "cluster")
 
     members = stage(nodes.join(clusters, "node"), "ngram-members")
-    # a set's text is that of its least identifier, or without one that of its least hash
-    source = lambda c: (F.col(c).isNull().alias("unknown"), F.coalesce(c, "text_hash").alias("source"))
-    dealt = _tasks(members).select(*source("rep"), "node", "weight", "tasks")
+    dealt = _tasks(members).select("rep.unknown", F.coalesce("rep.doc_id", F.lit(0).cast("long")).alias("known"), "rep.text_hash", "node", "weight", "tasks")
     if (dealt.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_TASKS:
         dealt = F.broadcast(dealt)
-    texts = docs.select("text", *source("doc_id")).join(dealt, ["unknown", "source"]).select("text", "node", "weight", "tasks")
+    texts = docs.select("text", F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("known"), "text_hash")
+    texts = texts.join(dealt, ["unknown", "known", "text_hash"]).select("text", "node", "weight", "tasks")
     placed = texts.mapInArrow(_member_sets(k), PLACED).repartition(*TASK, "frag").sortWithinPartitions(*TASK, "frag", "node")
     parts = stage(placed.mapInArrow(_partial(num, den), PARTS), "ngram-parts")
     torn = parts.filter("cluster IS NOT NULL").select(*TASK, "left", "right", "common")
@@ -596,14 +598,17 @@ def jaccard_join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
 
     reached = components(found.select("a", "b"))
     named = reached.join(nodes.select("node", "rep"), "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
     degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
-    linked = named.join(least, "component").join(degrees, "node", "left").select("node", "component_id", "degree")
+    linked = named.join(least, "component").join(degrees, "node", "left").select("node", "least", "degree")
     info = nodes.join(linked, "node", "left").filter("weight > 1 OR degree IS NOT NULL")
-    info = info.select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+    info = info.select("node", F.coalesce("least", "rep").alias("least"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
     # read back, both sides of this join come from an exchange of their own, so a set with very many copies can be split
     joined = own.select("doc_id", "text_hash", "node", "n").join(stage(info, "ngram-links"), "node", "left")
-    return joined.select("doc_id", *(["text_hash"] if with_hash else []), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = F.col("least").isNull() | (F.col("n") == 0)
+    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least.doc_id", "doc_id")).alias("component_id")
+    hashes = ["text_hash", F.when(alone, F.col("text_hash")).otherwise(F.col("least.text_hash")).alias("component_hash")] if with_hash else []
+    return joined.select("doc_id", *hashes, F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -146,3 +146,13 @@ def test_texts_linked_only_through_a_null_identifier(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard_join(df, 3, 90, 100).collect()), key=str)
     assert got == [(3, 3, 2), (8, 3, 2), (None, 3, 3), (None, 3, 3), (None, None, 0)]
+
+
+def test_a_component_is_known_by_one_row(spark):
+    words = [f"w{i}" for i in range(110)]
+    texts = [" ".join(words[i : i + 100]) for i in (0, 5, 10)]
+    rows = [(3, texts[0]), (3, texts[1]), (None, texts[2]), (None, "z"), (None, "z"), (None, None), (8, "q")]
+    found = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, with_hash=True).collect()
+    firsts = [r for r in found if r.doc_id == r.component_id and r.text_hash == r.component_hash]
+    assert sorted(str(r.doc_id) for r in firsts) == ["3", "8", "None", "None", "None"]
+    assert len({(r.component_id, r.component_hash) for r in found}) == 4
