@@ -30,8 +30,8 @@ SAMPLE = 4000
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 15, 4.0
 #: Length of the repetition terms beside the trigrams' length of 1.
 FORM_WEIGHT = np.float32(0.4)
-#: Documents projected and compared at once.
-BLOCK = 512
+#: Rows projected and compared at once.
+BLOCK = 128
 
 
 def _kinds() -> np.ndarray:
@@ -98,18 +98,38 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.concatenate([_unit(damped[:, :form]), FORM_WEIGHT * _unit(damped[:, form:])], axis=1)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, idf: np.ndarray) -> Model:
-    """Singular vectors by subspace iteration from a fixed start; ``counts`` is overwritten."""
-    rows = counts.astype(np.float32, copy=False)
-    for at in range(0, len(rows), BLOCK):  # in place, so a sample stands in memory once
-        rows[at : at + BLOCK] = _weigh(rows[at : at + BLOCK], idf)
+@dataclass
+class Counts:
+    """Counts of many rows without their zeros: of row i the terms and counts from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def weighed(self, idf: np.ndarray) -> Iterator[np.ndarray]:
+        """The weighed rows in dense blocks, so a sample never stands in memory with its zeros."""
+        for at in range(0, len(self.starts) - 1, BLOCK):
+            bounds = self.starts[at : at + BLOCK + 1]
+            block = np.zeros((len(bounds) - 1, TERMS), np.float32)
+            inside = slice(bounds[0], bounds[-1])
+            block[np.repeat(np.arange(len(block)), np.diff(bounds)), self.terms[inside]] = self.counts[inside]
+            yield _weigh(block, idf)
+
+
+def fit(counts: Counts, labels: np.ndarray, idf: np.ndarray) -> Model:
+    """Singular vectors by subspace iteration from a fixed start."""
+    n = len(counts.starts) - 1
     rng = np.random.default_rng(0)
-    axes = np.linalg.qr(rng.standard_normal((rows.shape[1], min(DIMENSIONS + 16, *rows.shape))))[0].astype(np.float32)
+    axes = np.linalg.qr(rng.standard_normal((TERMS, min(DIMENSIONS + 16, n, TERMS))))[0].astype(np.float32)
     for _ in range(4):
-        axes = np.linalg.qr(rows.T @ (rows @ axes))[0].astype(np.float32)
-    _, _, turn = np.linalg.svd(rows @ axes, full_matrices=False)
-    axes = np.ascontiguousarray(axes @ turn[:DIMENSIONS].T)
-    return Model(idf, axes, _unit(rows @ axes), labels.astype(np.float64))
+        turned = np.zeros(axes.shape, np.float32)
+        for block in counts.weighed(idf):
+            turned += block.T @ (block @ axes)
+        axes = np.linalg.qr(turned)[0].astype(np.float32)
+    latent = np.concatenate([block @ axes for block in counts.weighed(idf)])
+    _, _, turn = np.linalg.svd(latent, full_matrices=False)
+    turn = turn[:DIMENSIONS].T
+    return Model(idf, np.ascontiguousarray(axes @ turn), _unit(latent @ turn), labels.astype(np.float64))
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +144,20 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [np.minimum(term_counts(x or b""), 65_535).astype(np.uint16).tobytes() for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["at", "label", "counts"])
+        terms, counts = [], []
+        for text in batch.column(0).to_pylist():
+            every = term_counts(text or b"")
+            held = np.flatnonzero(every)
+            terms.append(held.astype(np.uint16).tobytes())
+            counts.append(every[held].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["at", "label", "terms", "counts"])
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` rows of ``labelled`` (id_col, label_col), those of the least hash; idf covers all of ``docs``.
 
-    Null labels and identifiers are left out; without labelled rows every score is 0.5.
+    Null labels and identifiers are left out. Of labels that share an identifier the greatest counts, of documents that
+    do the one with the least text hash, so an identifier gives one row. Without labelled rows every score is 0.5.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -143,21 +169,20 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
     chosen = labelled.select(labelled[id_col].alias("id"), labelled[label_col].cast("double").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(docs[id_col].alias("id"), text).join(F.broadcast(chosen), "id").select("text", F.xxhash64("id", "text").alias("at"), "label")
-    fitted = sorted(((r.at, r.label, bytes(r.counts)) for r in rows.mapInArrow(_sample_counts, "at long, label double, counts binary").collect()))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(text, F.lit(b"")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"), F.max("label").alias("label"))
+    rows = rows.select("text", F.xxhash64("id", "text").alias("at"), "label")
+    fitted = sorted(rows.mapInArrow(_sample_counts, "at long, label double, terms binary, counts binary").collect(), key=lambda r: (r.at, r.label))
     if not fitted:
         empty = np.zeros((0, DIMENSIONS), np.float32)
         return Model(idf, np.zeros((TERMS, DIMENSIONS), np.float32), empty, np.zeros(0))
-    found = np.array([label for _, label, _ in fitted])
-    counts = np.empty((len(fitted), TERMS), np.float32)
-    for i in range(len(fitted)):
-        counts[i] = np.frombuffer(fitted[i][2], np.uint16)
-        fitted[i] = ()
-    return fit(counts, found, idf)
+    terms = [np.frombuffer(r.terms, np.uint16) for r in fitted]
+    counts = Counts(np.cumsum([0, *map(len, terms)]), np.concatenate(terms), np.concatenate([np.frombuffer(r.counts, np.float32) for r in fitted]))
+    return fit(counts, np.array([r.label for r in fitted]), idf)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1) from the text alone; null and empty texts have the score of no terms at all."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1) from the text alone, in place of one of this name, if any; null and
+    empty texts have the score of no terms at all."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -169,7 +194,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             blocks = [own.score(np.stack([term_counts((x or "").encode()) for x in bodies[i : i + BLOCK]])) for i in range(0, len(bodies), BLOCK)]
             yield pd.Series(np.concatenate(blocks) if blocks else np.zeros(0))
 
-    return docs.withColumn("score", F.pandas_udf(scored, "double")(docs[text_col]))
+    return docs.withColumn(score_col, F.pandas_udf(scored, "double")(docs[text_col].cast("string")))
 
 
 def learnable(id_column):

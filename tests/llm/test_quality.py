@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skeinflow.llm import quality as q
 
@@ -16,18 +17,75 @@ def test_held_out_accuracy_and_whole_table(spark):
     assert np.mean([p == y for p, y in held]) >= 0.97
 
 
-def test_score_matches_unblocked_vote(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(200)
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = q.train(docs, labels, sample=60)
-    assert len(model.vectors) <= 60
-    rows = q.score(docs, model).collect()
-    for r in rows[:40]:
-        v = q._weigh(q.term_counts((r.text or "").encode())[None], model.idf) @ model.axes
-        near = (v / max(np.linalg.norm(v), 1e-30) @ model.vectors.T)[0]
-        best = np.argsort(-near)[: q.NEIGHBOURS]
-        weight = np.maximum(near[best], 0).astype(float) ** q.SHARPNESS
-        assert abs(r.score - (weight * model.labels[best]).sum() / weight.sum()) < 1e-3
+def brute_terms(text):
+    """Term numbers and counts, byte by byte."""
+    raw, found = list(text.encode()), {}
+    kind = [97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in raw]
+    for at, bits, codes in ((0, 12, raw), (4096, 11, kind)):
+        for i in range(len(raw) - 2):
+            h = (codes[i] * 0x9E3779B1 + codes[i + 1] * 0x85EBCA77 + codes[i + 2] * 0xC2B2AE3D) % 2**32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % 2**32
+            found[at + (h >> (32 - bits))] = found.get(at + (h >> (32 - bits)), 0) + 1
+    words = text.lower().split()
+    if words:
+        share = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)
+        found[4096 + 2048 + sum(r < share for r in (0, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64))] = 1
+    return found
+
+
+def brute_scores(texts, labels):
+    """Scores of all texts from a dense decomposition of the labelled ones; ``labels`` by position."""
+    every = [brute_terms(t) for t in texts]
+    size = 4096 + 2048 + 9
+    idf = np.array([np.log((1 + len(texts)) / (1 + n)) + 1 for n in (sum(t in e for e in every) for t in range(size))])
+    rows = np.zeros((len(texts), size))
+    for i, e in enumerate(every):
+        for t, n in e.items():
+            rows[i, t] = np.log(1 + n) * idf[t]
+    norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    rows = np.concatenate([norm(rows[:, :6144]), 0.4 * norm(rows[:, 6144:])], axis=1)
+    _, _, axes = np.linalg.svd(rows[list(labels)], full_matrices=False)
+    latent = norm(rows @ axes[:64].T)
+    near = latent @ latent[list(labels)].T
+    out = []
+    for row in near:
+        best = np.argsort(-row, kind="stable")[:15]
+        weight = np.maximum(row[best], 0) ** 4
+        out.append((weight * np.array(list(labels.values()))[best]).sum() / weight.sum() if weight.sum() else np.mean(list(labels.values())))
+    return np.array(out)
+
+
+def test_scores_match_a_dense_decomposition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy(F.length("text"), "doc_id").limit(120)
+    rows = docs.collect()
+    texts = [r.text for r in rows]
+    labels = {i: i % 3 % 2 for i in range(0, 120, 2)}
+    labelled = spark.createDataFrame([(rows[i].doc_id, y) for i, y in labels.items()], "doc_id long, quality int")
+    model = q.train(docs, labelled)
+    assert len(model.vectors) == 60
+    got = {r.doc_id: r.score for r in q.score(docs, model).collect()}
+    want = brute_scores(texts, labels)
+    # equal similarities of repeated texts may bring in either neighbour
+    assert np.mean([abs(got[r.doc_id] - w) < 1e-3 for r, w in zip(rows, want, strict=True)]) >= 0.95
+
+
+def test_one_row_for_an_identifier_and_no_clipped_counts(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "aaa" * 100_000), (3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    model = q.train(docs, labels, sample=2)
+    assert len(model.vectors) == 2
+    model = q.train(docs, labels)
+    assert len(model.vectors) == 3 and sorted(model.labels) == [0, 1, 1]
+    long = q._unit(model.weigh(q.term_counts(b"aaa" * 100_000)[None]) @ model.axes)
+    assert (model.vectors @ long[0]).max() > 0.9999
+
+
+def test_a_column_of_the_score_is_replaced_or_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine")], "doc_id long, text string, score string")
+    model = q.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert q.score(docs, model).dtypes[-1] == ("score", "double")
+    assert q.score(docs, model, score_col="s").first().score == "mine"
 
 
 def test_edge_cases(spark):
