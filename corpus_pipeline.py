@@ -1,9 +1,10 @@
 """A corpus pipeline over the operators of skeinflow.llm.
 
 Each stage takes the table that its predecessor wrote and returns what it keeps, in the columns of documents; the last
-returns the tokens of what remains. A null text counts as empty, empty tables stay empty, further columns are carried
-along, and identical repeated rows shrink to one in the second stage. Rows without an identifier are told apart by their
-text alone; they stay unless an equal or similar text has an identifier.
+returns the tokens of what remains. A null text counts as empty, empty tables stay empty, and further columns of any
+name are carried along. A row is known by its identifier and the digest of its text: of rows that agree in both, one
+stays after the second stage, that of the least JSON of its other columns. So no row goes, or stays, for what another
+row of its identifier, or another row without one, holds.
 """
 
 from __future__ import annotations
@@ -25,42 +26,60 @@ LEAST_QUALITY = 0.5
 WORDS, SIMILAR = 5, 80
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def _key(row_id: Column, digest: Column) -> Column:
-    return F.concat_ws(":", row_id.cast("string"), digest).alias("_key")
+    return F.concat_ws(":", row_id.cast("string"), digest.cast("string"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column _key of the identifier, if any, and the text's digest."""
-    return docs.select("*", _key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+def _digest(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that may be learnt, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = train(docs, labels.filter(learnable(F.col("doc_id"))))
-    return score(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    name = _fresh(docs, "score")
+    return score(docs, model, score_col=name).filter(F.col(name) >= LEAST_QUALITY).select(*_own(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest identifier."""
-    kept = exact_dedup(docs, keep="smallest").filter("kept").select(_key(F.col("row_id"), F.col("text_sha256")))
-    return _keyed(docs).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = _fresh(docs, "key")
+    kept = exact_dedup(docs, keep="smallest").filter("kept").select(_key(F.col("row_id"), F.col("text_sha256")).alias(key))
+    found = docs.withColumn(key, _key(docs["doc_id"], _digest(docs))).join(kept, key, "left_semi")
+    others = [c for c, name in zip(_own(docs), docs.columns, strict=True) if name not in ("doc_id", "text")]
+    order = F.to_json(F.struct(F.lit(0).alias("_"), *others))
+    one = found.select(F.col(key), F.struct(*_own(docs)).alias("row"), order.alias("order")).groupBy(key).agg(F.min_by("row", "order").alias("row"))
+    return one.select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier."""
+    key = _fresh(docs, "key")
     groups = jaccard_join(docs, k=WORDS, num=SIMILAR, den=100, with_hash=True)
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (text_hash(docs["text"]) == F.col("kept_hash"))
-    return docs.join(kept, same, "left_semi").select(*docs.columns)
+    kept = groups.filter("doc_id <=> component_id AND text_hash = component_hash").select(_key(F.col("doc_id"), F.col("text_hash")).alias(key)).distinct()
+    return docs.withColumn(key, _key(docs["doc_id"], text_hash(docs["text"]))).join(kept, key, "left_semi").select(*_own(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = _keyed(docs)
-    found = contaminated(keyed, items, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
+    key = _fresh(docs, "key")
+    keyed = docs.withColumn(key, _key(docs["doc_id"], _digest(docs)))
+    found = contaminated(keyed, items, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*_own(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
