@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline as cp
 from skeinflow.llm.bpe import encoder, read_ranks
@@ -84,3 +85,26 @@ def test_rows_without_or_with_a_shared_identifier_are_told_apart(spark):
     rows = [(None, say("a")), (1, say("b")), (None, say("b") + " x"), (2, say("c")), (7, say("c") + " x"), (7, say("d"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in cp.near(spark, docs, SF).collect()} == {rows[0], rows[1], rows[3], rows[5]}
+
+
+def test_columns_of_any_name_and_ties(spark):
+    names = ["score", "key", "_key", "key_", "kept_id", "found_id", "node", "row", "order", "a.b", "row_id", "text_sha256", "text_hash", "component_id", "id", "label", "h"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(n, T.StringType()) for n in names]])
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(d, t, *[f"{n}{x}" for n in names]) for d, t, x in ((1, text, "b"), (1, text, "a"), (2, text + " x", "c"), (None, text + " y", "d"), (3, "something else", "e"), (4, None, "f"))]
+    docs = spark.createDataFrame(rows, schema)
+    exact = cp.exact(spark, docs, SF)
+    assert exact.columns == docs.columns and sorted(map(tuple, exact.collect()), key=str) == sorted(rows[1:], key=str)
+    near = cp.near(spark, exact, SF)
+    assert near.columns == docs.columns and sorted(map(tuple, near.collect()), key=str) == sorted([rows[1], rows[4], rows[5]], key=str)
+    assert sorted(map(tuple, cp.decontaminate(spark, near, SF).collect()), key=str) == sorted(map(tuple, near.collect()), key=str)
+    assert cp.quality(spark, docs, SF).columns == docs.columns and cp.quality(spark, docs, SF).count() in range(7)
+    assert cp.tokens(spark, near, SF).count() == 3
+
+
+def test_one_of_near_copies_without_identifiers_stays(spark):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, say("a")), (None, say("a") + " x"), (None, say("b")), (7, say("c")), (7, say("c") + " x"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in cp.near(spark, docs, SF).collect()]
+    assert sorted((t or "")[:2] for t in got) == ["", "", "a0", "b0", "c0"]
