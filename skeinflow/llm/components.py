@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.llm.staging import remove, stage_path
 
-#: Nodes with more edges than this, and than a thousandth of all edges, are joined by broadcast: 2,000 nodes at most.
-HOT, SHARE = 1000, 1000
+#: Edges from which nodes with very many of them are joined by broadcast: those with more than a thousandth of all edges,
+#: 1,000 nodes at most.
+HOT_FROM, SHARE = 1_000_000, 1000
 
 
 def _star(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with u's least neighbour m, itself included; only a minimum is kept for a node."""
-    limit = max(HOT, total // SHARE)
+    """edges (u, v) with u's least neighbour m, itself included."""
+    if total < HOT_FROM:  # a task may hold all of a node's edges
+        return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    limit = total // SHARE
+    # only a minimum is kept for a node
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     hot = F.broadcast(low.filter(F.col("n") > limit).select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
     marked = edges.join(hot, F.col("u") == F.col("hot"), "left")
@@ -24,10 +28,10 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long); the component is its least node.
 
-    Each step replaces edges by edges to the least known neighbour, so their number never grows. A hot centre's rows
-    stay where they are and get its minimum by broadcast, the others meet by shuffle. Steps are written to the shared
-    folder, the one before last is removed, and two sums tell when nothing changes. Self-loops and repeated edges are
-    harmless; no edges give no rows.
+    Each step replaces edges by edges to the least known neighbour, so their number never grows. Of many edges a hot
+    centre's rows stay where they are and get its minimum by broadcast, the others meet by shuffle. Steps are written to
+    the shared folder, the one before is removed, and two sums tell when nothing changes. Self-loops and repeated edges
+    are harmless; no edges give no rows.
     """
     spark = edges.sparkSession
     written: list[str] = []
@@ -43,13 +47,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = step(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
     total, seen = 2 * now.count(), None
     for _ in range(rounds):
+        # large star: larger neighbours move to the least neighbour; loops stay
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: larger neighbours move to the least neighbour
-        large = _star(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(now.filter("u = v").select("u", "v")).distinct()
+        large = _star(both, total).filter("v > u OR v = u").select(F.col("v").alias("u"), F.when(F.col("v") > F.col("u"), F.col("m")).otherwise(F.col("v")).alias("v"))
+        now = step(large.select("v", "u").distinct())
         # small star: smaller neighbours and the node itself move to the least of them
-        starred = _star(large.select("u", "v"), total)
-        small = starred.filter("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v")))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small = _star(now.select("u", "v"), total).select(F.inline(pairs))
         now = step(small.select("v", "u").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -117,11 +117,11 @@ def test_wrong_thresholds(spark):
             jaccard_join(df, 3, num, 100)
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [0, 1_000_000])
 def test_components_of_hot_centres_and_chains(spark, monkeypatch, hot):
     from skeinflow.llm import components as c
 
-    monkeypatch.setattr(c, "HOT", hot)
+    monkeypatch.setattr(c, "HOT_FROM", hot)
     rows = [(5000, i) for i in range(5001, 7000)] + [(i, i + 1) for i in range(100, 160)] + [(7000, 6000), (9, 9), (20, 21), (21, 20)]
     got = {r.node: r.component for r in c.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 5000 for i in range(5000, 7001)} | {i: 100 for i in range(100, 161)} | {9: 9, 20: 20, 21: 20}
