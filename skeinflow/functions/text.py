@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +16,26 @@ PHONE, PHONE_MARK = r"\+?1?[\s.\-]?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}", "[PHO
 #: Tokens of a chunk, tokens shared with the next, fewest tokens of a chunk.
 CHUNK, OVERLAP, LEAST = 500, 50, 50
 #: Words of the offline scorer.
-POSITIVE = ("gain", "growth", "strong", "beat", "record", "the", "und", "de")
-NEGATIVE = ("loss", "weak", "miss", "decline", "idiot", "stupid", "worthless", "pathetic")
+POSITIVE = (
+    "achieve", "advance", "beat", "benefit", "best", "better", "boost", "exceed", "favorable", "gain", "gains", "good", "grow", "growth", "improve", "improved", "improvement", "increase", "increased", "innovative",
+    "leading", "opportunity", "outperform", "positive", "profit", "profitable", "progress", "rebound", "record", "recovery", "rise", "robust", "solid", "strength", "strong", "stronger", "success", "successful", "surge", "upgrade",
+)
+NEGATIVE = (
+    "adverse", "against", "bad", "bankruptcy", "breach", "closure", "concern", "decline", "decrease", "default", "deficit", "delay", "disappointing", "dispute", "downgrade", "drop", "fail", "failure", "fall", "fraud",
+    "idiot", "impairment", "investigation", "lawsuit", "litigation", "lose", "loss", "losses", "miss", "negative", "pathetic", "penalty", "recall", "risk", "shortage", "stupid", "weak", "weakness", "worse", "worthless",
+)
 #: White space between tokens.
 BLANK = "[ \\t\\n\\r]+"
 
 
+@cache
+def _encoding(ranks_file: bytes, pattern: str):
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks_file.splitlines() if line)}
+    return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def mask_pii(text: Column) -> Column:
     """E-mail addresses, then phone numbers, replaced by their marks; null becomes empty."""
     masked = F.regexp_replace(F.coalesce(text, F.lit("")), EMAIL, EMAIL_MARK)
@@ -40,6 +59,31 @@ def chunks(df: DataFrame, text_col: str, size: int = CHUNK, overlap: int = OVERL
     return rows.withColumn("n_tokens", F.size(part).cast("long")).withColumn("body_chunk", F.array_join(part, " ")).withColumn("chunk_index", F.col("chunk_index").cast("long")).drop("_words", "_start")
 
 
+def token_chunks(df: DataFrame, text_col: str, ranks_file: bytes, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """``chunks`` by byte-pair tokens of a local rank file: chunk_index, n_tokens, body_chunk.
+
+    A chunk's text is its tokens' bytes; a character cut at a chunk's edge becomes the replacement character. Null,
+    empty and blank texts have no chunk.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(ranks_file)
+    step = size - overlap
+
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = _encoding(shared.value, pattern)
+        kind = pa.list_(pa.struct([("n_tokens", pa.int64()), ("body_chunk", pa.string())]))
+        for texts in batches:
+            rows = []
+            for text in texts.to_pylist():
+                ids = enc.encode_ordinary(text) if text and text.strip() else []
+                parts = [ids[at : at + size] for at in range(0, max(0, len(ids) - least + 1), step)]
+                rows.append([{"n_tokens": len(p), "body_chunk": enc.decode(p)} for p in parts])
+            yield pa.array(rows, kind)
+
+    found = F.arrow_udf(cut, "array<struct<n_tokens:bigint,body_chunk:string>>", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
+    rows = df.select("*", F.posexplode(found).alias("_at", "_chunk"))
+    return rows.select(*df.columns, F.col("_at").cast("long").alias("chunk_index"), "_chunk.n_tokens", "_chunk.body_chunk")
+
+
 def _hits(words: Column, known: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known))).cast("long")
 
