@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.keys import sanitised
+from skeinflow.functions.keys import article_id, sanitised
 from skeinflow.operators.upsert import upsert
 
 
@@ -98,5 +98,99 @@ def read_json_documents(spark: SparkSession, path: str, schema: str, quarantine:
     return rows.filter(~bad).drop(quarantine), rows.filter(bad)
 
 
+#: The fields of landed files, as text.
+PRICES = "date string, open string, high string, low string, close string, adj_close string, volume string"
+INCOME = "symbol string, date string, revenue string, grossProfit string, operatingIncome string, netIncome string, ebitda string"
+BALANCE = "symbol string, date string, totalAssets string, totalLiabilities string, totalStockholdersEquity string, totalDebt string, cashAndCashEquivalents string"
+CASH_FLOW = "symbol string, date string, freeCashFlow string, operatingCashFlow string"
+NEWS = "symbol string, publishedDate string, title string, site string, url string, text string"
+PRESS = "symbol string, publishedDate string, title string, text string"
+#: Quarters of a statement that are kept; characters below which a filing's body counts as a summary only.
+QUARTERS, SHORT_BODY = 24, 200
+
+
+def read_prices(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.[a-z]+$", kind: str = "parquet") -> DataFrame:
+    """Landed daily bars as raw text rows (symbol, trade_date, open, high, low, close, adj_close, volume).
+
+    Column names are sanitised, those of two levels to their first. The symbol is group 1 of ``pattern`` in the file's
+    path where no column holds it. Missing prices of the day stay null, a missing adj_close or volume is blank, and a
+    volume is whole.
+    """
+    rows = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {})).load(path)
+    names = {c: sanitised(c.strip("()").replace("'", "").split(",")[0].strip()) for c in rows.columns}
+    file = F.col("_metadata.file_path")
+    flat = rows.select(file.alias("_file"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    has = lambda c: F.col(c) if c in flat.columns else F.lit(None).cast("string")
+    day = F.date_format("date", "yyyy-MM-dd") if dict(flat.dtypes)["date"].startswith(("date", "timestamp")) else F.col("date").cast("string")
+    symbol = F.coalesce(has("symbol"), F.regexp_extract("_file", pattern, 1))
+    blank = lambda c: F.coalesce(F.when(F.lower(has(c).cast("string")) != "nan", has(c).cast("string")), F.lit(""))
+    volume = F.coalesce(F.expr("try_cast(try_cast(_volume AS double) AS bigint)").cast("string"), F.lit(""))
+    out = flat.withColumn("_volume", blank("volume"))
+    return out.select(symbol.alias("symbol"), day.alias("trade_date"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")], blank("adj_close").alias("adj_close"), volume.alias("volume"))
+
+
+def read_statements(spark: SparkSession, path: str, schema: str, quarters: int = QUARTERS) -> tuple[DataFrame, DataFrame]:
+    """(rows under sanitised names, the latest ``quarters`` of each symbol; unreadable documents) of landed statements."""
+    good, bad = read_json_documents(spark, path, schema)
+    rows = good.select(*[F.col(c).alias(sanitised(c)) for c in good.columns]).filter("symbol IS NOT NULL AND date IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= quarters).drop("_place"), bad
+
+
+def read_articles(spark: SparkSession, path: str, schema: str = NEWS) -> tuple[DataFrame, DataFrame]:
+    """(article_id, symbol, published_at, title, site, url, body; unreadable documents) of landed news (NEWS) or press (PRESS)."""
+    good, bad = read_json_documents(spark, path, schema)
+    has = lambda c: F.col(c) if c in good.columns else F.lit(None).cast("string").alias(c)
+    what = [F.col("url")] if "url" in good.columns else [F.col("title"), F.col("text")]
+    return good.select(article_id(F.col("symbol"), F.col("publishedDate"), *what).alias("article_id"), "symbol", F.col("publishedDate").alias("published_at"), "title", has("site"), has("url"), F.col("text").alias("body")), bad
+
+
+def whole_bodies(df: DataFrame, *bodies: str, least: int = SHORT_BODY) -> DataFrame:
+    """``df`` with a column body: the first of ``bodies`` with ``least`` characters, else the last that isn't empty, else blank."""
+    long = [F.when(F.length(b) >= least, F.col(b)) for b in bodies]
+    some = [F.when(F.length(b) > 0, F.col(b)) for b in reversed(bodies)]
+    return df.withColumn("body", F.coalesce(*long, *some, F.lit("")))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a file of JSON lines; blank and unreadable lines go."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def ensure_databases(spark: SparkSession, *names: str) -> None:
+    """Makes the layers' databases where they are absent."""
+    for name in names:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+
+
+#: The columns of a table of scored articles.
+SCORED = "{key} string, symbol string, company_key string, published_at string, trade_date date, pos_prob decimal(8,5), neu_prob decimal(8,5), neg_prob decimal(8,5), finbert_score decimal(8,5)"
+
+
+def ensure_table(spark: SparkSession, name: str, schema: str) -> None:
+    """Makes an empty Parquet table where it is absent."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+
+
+def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
+    """Replaces a table of the catalog by ``df``."""
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+
+
+def land_and_log(df: DataFrame, path: str, log: DataFrame | None, source: str, symbol: str | None, window_key: str, land=land_parquet) -> DataFrame:
+    """Lands ``df`` and returns the log with the landing's audit row: its rows, and the checksum of the folder's manifest.
+
+    The landed files are counted and hashed, so the row says what is there.
+    """
+    spark = df.sparkSession
+    land(df, path)
+    found = manifest_checksum(checksums(spark, path).filter(~F.element_at(F.split("file", "/"), -1).startswith("_"))).first()
+    n = df.count() if land is not land_parquet else spark.read.schema(df.schema).parquet(path).count()
+    row = audit_row(spark, source, symbol, window_key, path, n, found.sha256)
+    return log_ingest(log, row) if log is not None else row
+
+
 def recent(df: DataFrame, day: str, today: date, months: int) -> DataFrame:
     return df.filter(F.col(day) >= F.lit(today - timedelta(30 * months)))
