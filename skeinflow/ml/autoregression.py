@@ -1,4 +1,8 @@
-"""Autoregressive forecasts of five days, one fit per company and fold."""
+"""Forecasts of five days by autoregression and moving averages, one fit per company and fold.
+
+Up to LAGS lags of the series and of its errors, after a difference if the series wanders; without intercept. Errors
+come from a long autoregression first (Hannan and Rissanen, 1982), and the orders are chosen by an information criterion.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +13,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fewest returns, the returns whose deviation scales a forecast, days ahead, longest lag.
-FEWEST, RECENT, AHEAD, LAGS = 60, 60, 5, 2
-#: Every STEPth test day is predicted.
-STEP = 5
+#: Fewest returns, the returns whose deviation scales a forecast, days ahead, longest lags, differences.
+FEWEST, RECENT, AHEAD, LAGS, DIFFERENCES = 60, 60, 5, 2, 1
+#: Test days of a company and fold that are predicted at most, evenly thinned.
+MOST = 20
+#: The 5 % point of the test of level stationarity (Kwiatkowski et al., 1992).
+WANDERS = 0.463
+
+
+def wanders(series: np.ndarray) -> bool:
+    """Whether level stationarity is rejected."""
+    n = len(series)
+    e = series - series.mean()
+    lags = int(12 * (n / 100) ** 0.25)
+    long_run = (e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))) / n
+    return long_run > 0 and float((np.cumsum(e) ** 2).sum()) / n**2 / long_run > WANDERS
+
+
+def _lagged(x: np.ndarray, lags: int, first: int) -> np.ndarray:
+    return np.stack([x[first - i : len(x) - i] for i in range(1, lags + 1)], axis=1) if lags else np.zeros((len(x) - first, 0))
+
+
+def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(x, y, rcond=None)[0] if x.shape[1] else np.zeros(0)
 
 
-def fit(series: np.ndarray) -> np.ndarray:
-    """Coefficients without intercept of the lag (0 to LAGS) with the least information criterion, by least squares."""
-    best: tuple[float, np.ndarray] | None = None
+def fit(series: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """(weights of the lags, of the errors, differences taken, errors) with the least information criterion."""
+    d = 0
+    while d < DIFFERENCES and wanders(series):
+        series, d = np.diff(series), d + 1
+    long = min(10, len(series) // 10)
+    rough = np.concatenate([np.zeros(long), series[long:] - _lagged(series, long, long) @ _least_squares(_lagged(series, long, long), series[long:])])
+    first = long + LAGS
+    best: tuple | None = None
     for p in range(LAGS + 1):
-        y = series[LAGS:]
-        x = np.stack([series[LAGS - i : len(series) - i] for i in range(1, p + 1)], axis=1) if p else np.zeros((len(y), 0))
-        beta = np.linalg.lstsq(x, y, rcond=None)[0] if p else np.zeros(0)
-        error = max(float(((y - x @ beta) ** 2).mean()), 1e-300)
-        criterion = len(y) * math.log(error) + 2 * (p + 1)
-        if best is None or criterion < best[0]:
-            best = (criterion, beta)
-    return best[1]
+        for q in range(LAGS + 1):
+            x = np.concatenate([_lagged(series, p, first), _lagged(rough, q, first)], axis=1)
+            beta = _least_squares(x, series[first:])
+            error = max(float(((series[first:] - x @ beta) ** 2).mean()), 1e-300)
+            criterion = (len(series) - first) * math.log(error) + 2 * (p + q + 1)
+            if best is None or criterion < best[0]:
+                best = (criterion, beta[:p], beta[p:])
+    _, lags, errors = best
+    left = np.zeros(len(series))
+    for t in range(len(series)):
+        left[t] = series[t] - sum(b * series[t - 1 - i] for i, b in enumerate(lags) if t > i) - sum(b * left[t - 1 - i] for i, b in enumerate(errors) if t > i)
+    return lags, errors, d, left
+
+
+def forecast(series: np.ndarray, ahead: int = AHEAD) -> np.ndarray:
+    """The next values of the series."""
+    lags, errors, d, left = fit(series)
+    past, shocks = list(np.diff(series) if d else series), list(left)
+    out = []
+    for _ in range(ahead):
+        step = sum(b * past[-1 - i] for i, b in enumerate(lags)) + sum(b * shocks[-1 - i] for i, b in enumerate(errors))
+        past.append(step)
+        shocks.append(0.0)
+        out.append(step)
+    return series[-1] + np.cumsum(out) if d else np.array(out, float)
+
+
+def thinned(n: int, most: int = MOST) -> np.ndarray:
+    """Which of ``n`` rows are predicted: every (n // most)th, ``most`` of them at most."""
+    return np.arange(0, n, max(1, n // most))[:most] if n > most else np.arange(n)
 
 
 def probability(series: np.ndarray) -> float:
@@ -34,18 +85,13 @@ def probability(series: np.ndarray) -> float:
     series = series[~np.isnan(series)]
     if len(series) < FEWEST:
         return 0.5
-    beta = fit(series)
-    past, total = list(series[-LAGS:]), 0.0
-    for _ in range(AHEAD):
-        step = float(sum(b * past[-1 - i] for i, b in enumerate(beta)))
-        past.append(step)
-        total += step
+    total = float(forecast(series).sum())
     scale = max(float(series[-RECENT:].std(ddof=1)) * math.sqrt(AHEAD), 1e-6)
     return 1 / (1 + math.exp(-min(max(total / scale, -700), 700)))
 
 
 def walk_forward(panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """date_key, company_key, model_rung (0), fold_id, prob_up, predicted_class of every STEPth test day of a company."""
+    """date_key, company_key, model_rung (0), fold_id, prob_up, predicted_class of a company's thinned test days."""
     every = folds.select(F.collect_list(F.struct(*folds.columns)).alias("folds"))
     near = lambda f: F.col("trade_date").between(f["train_start"], f["train_end"]) | F.col("trade_date").between(f["test_start"], f["test_end"])
     rows = panel.select("date_key", "company_key", "trade_date", "log_ret_1d").crossJoin(F.broadcast(every)).select("*", F.explode(F.filter("folds", near)).alias("f"))
@@ -53,7 +99,8 @@ def walk_forward(panel: DataFrame, folds: DataFrame) -> DataFrame:
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("trade_date")
-        test = part[part["test"]].iloc[::STEP]
+        test = part[part["test"]]
+        test = test.iloc[thinned(len(test))]
         p = round(probability(part[~part["test"]]["log_ret_1d"].to_numpy(float)), 5)
         return pd.DataFrame({"date_key": test["date_key"], "company_key": test["company_key"], "model_rung": 0, "fold_id": test["fold_id"], "prob_up": p, "predicted_class": int(p > 0.5)})
 

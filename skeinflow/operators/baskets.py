@@ -26,4 +26,4 @@ def turnover(now: Column, before: Column, k: int) -> Column:
 
 def compounded(ret: Column, window) -> Column:
     """(1 + r1)(1 + r2)... - 1 up to each row, multiplied in order; ``window`` is ordered, from the first row to this."""
-    return F.aggregate(F.collect_list(ret).over(window), F.lit(1.0), lambda acc, r: acc * (1 + r)) - 1
+    return F.product(1 + ret).over(window) - 1

@@ -286,19 +286,29 @@ def sentiment_full_outer(spark, d):
     return sentiment.full_outer(sentiment.news_daily(s), sentiment.press_daily(s))
 
 
+@query("SELECT symbol, pc_date AS as_of_date, " + ", ".join(f"v{i}" for i in range(1, 65)) + " FROM pooled")
+def embedding_pool(spark, d):
+    return fixtures.pooled_vectors(spark, d)
+
+
 @query("SELECT symbol, pc_date AS as_of_date, filing_pc1, filing_pc2, filing_pc3, filing_pc4, filing_pc5 FROM pcs")
+def embedding_projection(spark, d):
+    return fixtures.projected_facts(spark, d)
+
+
+@query()
 def embedding_facts(spark, d):
     return fixtures.embedding_facts(spark, d)
 
 
 @query("SELECT * FROM panel")
 def feature_panel(spark, d):
-    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.embedding_facts(spark, d), dims.dim_company(spark, d), SECTORS)
+    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.projected_facts(spark, d), dims.dim_company(spark, d), SECTORS, bucket=F.year("_at"))
 
 
 @query("SELECT * FROM panel_b")
 def feature_panel_b(spark, d):
-    return panel.feature_panel_b(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_full_outer(spark, d), fixtures.embedding_facts(spark, d), dims.dim_company(spark, d))
+    return panel.feature_panel_b(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_full_outer(spark, d), fixtures.projected_facts(spark, d), dims.dim_company(spark, d))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (as_of_date > trade_date) AS n_leaks FROM panel")
@@ -344,11 +354,11 @@ def cosine_top_k(spark, d):
 
 @query("""
     SELECT query_id, vec_id AS item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS BIGINT) AS rank FROM (
-      SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM asked CROSS JOIN embeddings WHERE label IN (1, 3) AND vec_id <= 1000)
+      SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM asked CROSS JOIN embeddings WHERE label IN (1, 3))
     QUALIFY rank <= 5""")
 def cosine_filtered(spark, d):
     vectors = table(spark, d, "embeddings")
-    return cosine_topk(vectors.filter("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 5, where=F.col("label").isin(1, 3) & (F.col("vec_id") <= 1000))
+    return cosine_topk(vectors.filter("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 5, where=F.col("label").isin(1, 3))
 
 
 @query("""
@@ -367,23 +377,75 @@ def rag_citations(spark, d):
     return cited.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("label")), "chunk_id").select("query_id", "chunk_id", "rank_position", "label")
 
 
-def _bodies(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("body_id"), F.col("text").alias("body"))
+@query("""
+    SELECT count(*) AS n_queries, round(CAST(sum(CAST(round(rr * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 9) AS mrr, round(CAST(sum(CAST(round(precision * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 9) AS precision FROM (
+      SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0) AS rr, count(*) FILTER (hit) / 5.0::DOUBLE AS precision
+      FROM (SELECT n.*, e.label = a.q_label AS hit FROM nearest n JOIN asked a USING (query_id) JOIN embeddings e ON e.vec_id = n.item_id WHERE rank <= 5) GROUP BY query_id)""")
+def retrieval_summary(spark, d):
+    return retrieval.summary(retrieval_eval(spark, d))
+
+
+def _questions(spark, d):
+    """The benchmark's items as questions, some of them without a symbol, a day or a filing type."""
+    i = F.col("item_id")
+    symbol = F.when(i % 4 != 0, F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (i % 4).cast("int")))
+    day = F.when(i % 5 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (i % 40 * 50).cast("int")))
+    return table(spark, d, "benchmark").select(i.alias("query_id"), F.substring("text", 1, 300).alias("question"), symbol.alias("symbol"), day.alias("as_of_date"), F.when(i % 3 == 0, F.array(F.lit("8K"))).alias("source_types"), (i % 3).alias("rung"))
+
+
+def _chunks(spark, d):
+    docs = table(spark, d, "documents")
+    parts = [retrieval.with_vectors(retrieval.chunk_table(docs.filter(f), kind), kind) for kind, f in (("10K", "doc_id % 4 <> 0"), ("8K", "doc_id % 4 = 0"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT chunk_key, symbol, source_type, CAST(dim AS BIGINT) AS dim, round(CAST(w AS DOUBLE) / sqrt(CAST(sum(w * w) OVER (PARTITION BY chunk_key) AS DOUBLE)), 9) AS x FROM chunk_words WHERE w <> 0")
+def chunk_embeddings(spark, d):
+    """The vectors of all chunks, a row per dimension in use."""
+    rows = _chunks(spark, d).select("chunk_key", "symbol", "source_type", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0")
+    return rows.select("chunk_key", "symbol", "source_type", F.col("dim").cast("long").alias("dim"), F.round("x", 9).alias("x"))
+
+
+@query("SELECT query_id, item_id, similarity, rank FROM retrieved")
+def question_retrieval(spark, d):
+    return retrieval.retrieve(_questions(spark, d), _chunks(spark, d), 5)
 
 
 @query("""
-    SELECT query_id, 'The rung-2 model predicts UP on 2001-06-01 with probability 0.61. For ''what changed'' the nearest passages are ' || string_agg('[' || item_id || ']', ', ' ORDER BY rank) || '. Excerpts:\n\n'
-      || string_agg('[' || item_id || '] sim=' || format('{:.3f}', similarity) || ': ' || coalesce(substr(text, 1, 280), '') || '...', '\n\n' ORDER BY rank) AS response
-    FROM nearest LEFT JOIN documents ON doc_id = item_id WHERE rank <= 3 GROUP BY query_id""".replace("\\n", "' || chr(10) || '"))
-def rag_fallback_text(spark, d):
-    return retrieval.fallback_text(_found(spark, d), _bodies(spark, d), "what changed", 0.61, True, 2, "2001-06-01")
+    SELECT CAST(query_id AS BIGINT) AS query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0) AS rr, count(*) FILTER (hit) / 5.0::DOUBLE AS precision, count(*) FILTER (hit) AS n_hits
+    FROM (SELECT q.query_id, rank, coalesce(contains(item_id, '10K-' || coalesce(q.symbol, 'en')), false) AS hit FROM questions q LEFT JOIN retrieved USING (query_id)) GROUP BY query_id""")
+def question_eval(spark, d):
+    asked = _questions(spark, d)
+    expected = asked.select("query_id", F.concat(F.lit("10K-"), F.coalesce("symbol", F.lit("en"))).alias("expected_substring"))
+    return retrieval.scored_questions(retrieval.retrieve(asked, _chunks(spark, d), 5), expected, 5)
 
 
 @query("""
-    SELECT query_id, 'Attributions:\n  - bb_z: -0.3000\n  - roe: +0.1250\n\nChunks:\n' || string_agg('[' || item_id || ']: ' || coalesce(substr(text, 1, 600), ''), '\n\n' ORDER BY rank) || '\n\nQuestion: what changed' AS prompt
-    FROM nearest LEFT JOIN documents ON doc_id = item_id GROUP BY query_id""".replace("\\n", "' || chr(10) || '"))
-def rag_prompt(spark, d):
-    return retrieval.prompt(_found(spark, d), _bodies(spark, d), {"roe": 0.125, "bb_z": -0.3}, "what changed")
+    SELECT q.query_id, q.rung, CASE WHEN n IS NULL THEN 'no-retrieval' ELSE 'template-fallback' END AS source, coalesce(ids, '') AS ids,
+      CASE WHEN n IS NULL THEN 'Nothing is on file for ' || coalesce(q.symbol, 'any company') || ' up to ' || coalesce(q.as_of_date::VARCHAR, 'any day') || '.'
+        ELSE 'The rung-' || q.rung || ' model predicts ' || coalesce(q.symbol, 'any company') || CASE WHEN coalesce(p.predicted_class, 0) = 1 THEN ' UP' ELSE ' DOWN' END || ' on ' || coalesce(q.as_of_date::VARCHAR, 'any day') || ' with probability '
+          || format('{:.2f}', coalesce(p.prob_up, 0.5::DOUBLE)) || '. For ' || chr(39) || question || chr(39) || ' the nearest passages are ' || cites || '. Excerpts:\n\n' || quotes END AS response
+    FROM questions q LEFT JOIN (
+      SELECT query_id, count(*) AS n, string_agg(item_id, ',' ORDER BY rank) AS ids, string_agg('[' || item_id || ']', ', ' ORDER BY rank) FILTER (rank <= 3) AS cites,
+        string_agg('[' || item_id || '] sim=' || format('{:.3f}', similarity) || ': ' || substr(body_chunk, 1, 280) || '...', '\n\n' ORDER BY rank) FILTER (rank <= 3) AS quotes
+      FROM retrieved JOIN all_chunks ON chunk_key = item_id GROUP BY query_id) f USING (query_id)
+    LEFT JOIN (SELECT ['de', 'en', 'es', 'fr'][CAST(n_nationkey % 4 AS BIGINT) + 1] AS symbol, trade_date, model_rung, prob_up, predicted_class FROM preds JOIN nation ON n_name = preds.symbol WHERE n_nationkey < 4) p
+      ON p.symbol IS NOT DISTINCT FROM q.symbol AND p.trade_date = q.as_of_date AND p.model_rung = q.rung""".replace("\\n", "' || chr(10) || '"))
+def rag_answers(spark, d):
+    asked = _questions(spark, d)
+    symbols = table(spark, d, "nation").filter("n_nationkey < 4").select(F.col("n_name").alias("symbol"), F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("n_nationkey") % 4).cast("int")).alias("lang"))
+    known = _predictions(spark, d).join(symbols, "symbol").select(F.col("lang").alias("symbol"), "trade_date", "model_rung", "prob_up", "predicted_class", F.lit(None).cast("string").alias("attributions"))
+    out = retrieval.answers(asked, _chunks(spark, d), known, 5)
+    return out.select("query_id", "rung", "source", F.array_join("top_k_chunk_ids", ",").alias("ids"), "response")
+
+
+@query()
+def chunk_documents_bpe(spark, d):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    return txt.token_chunks(table(spark, d, "documents").select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN).select("doc_id", "chunk_index", "n_tokens", "body_chunk")
 
 
 # --- folds, evaluation, backtest
@@ -434,6 +496,19 @@ def wilcoxon_statistic(spark, d):
     return evaluation.rung_test(fold_auc(spark, d))
 
 
+@query("""
+    SELECT * FROM (
+      SELECT model_rung, fold_id, 'accuracy' AS metric, CAST(count(*) FILTER (predicted_class = y_5d_up) AS DOUBLE) / count(*) AS value FROM assigned GROUP BY ALL
+      UNION ALL SELECT model_rung, fold_id, 'n_test_rows', CAST(count(*) AS DOUBLE) FROM assigned GROUP BY ALL UNION ALL SELECT model_rung, fold_id, 'test_auc', auc FROM aucs)""")
+def run_metrics(spark, d):
+    return evaluation.run_metrics(_assigned(spark, d))
+
+
+@query()
+def wilcoxon_chance(spark, d):
+    return evaluation.rung_chance(fold_auc(spark, d))
+
+
 def _traded(spark, d):
     """The synthetic bars jump by hundreds of per cent a day, so baskets trade at the 50-row average."""
     return price_features(spark, d).withColumn("close_px", F.col("sma_50"))
@@ -443,6 +518,13 @@ def _pnl(spark, d):
     return evaluation.backtest(_assigned(spark, d), _traded(spark, d))
 
 
+def _kept_pnl(spark, d):
+    """The backtest as a stage table, for what reads it more than once."""
+    from skeinflow.sources.shared import stage
+
+    return stage(_pnl(spark, d), "pnl")
+
+
 @query("SELECT * FROM pnl")
 def backtest_pnl(spark, d):
     return _pnl(spark, d)
@@ -459,17 +541,16 @@ def backtest_pnl_b(spark, d):
 
 
 def _bench(spark, d, pnl):
-    span = pnl.agg(F.min("trade_date"), F.max("trade_date")).first()
-    return evaluation.benchmark(_traded(spark, d), *span)
+    return evaluation.benchmark(_traded(spark, d), pnl)
 
 
 @query("SELECT * FROM bench")
 def benchmark_eqw(spark, d):
-    return _bench(spark, d, _pnl(spark, d))
+    return _bench(spark, d, _kept_pnl(spark, d))
 
 
 def _pnl_bench(spark, d):
-    pnl = _pnl(spark, d)
+    pnl = _kept_pnl(spark, d)
     return evaluation.with_benchmark(pnl, _bench(spark, d, pnl))
 
 
@@ -535,6 +616,43 @@ def report_latest(spark, d):
     return reports.latest_at_rung(_predictions(spark, d), dims.dim_company(spark, d))
 
 
+@query("SELECT symbol, sector_name FROM companies")
+def lookup_companies(spark, d):
+    return reports.companies(dims.dim_company(spark, d))
+
+
+@query("SELECT DISTINCT trade_date FROM preds WHERE symbol = (SELECT min(n_name) FROM nation)")
+def lookup_days(spark, d):
+    return reports.days_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name")).first()[0])
+
+
+@query("SELECT model_rung, prob_up, predicted_class FROM preds WHERE symbol = (SELECT min(n_name) FROM nation) AND trade_date = DATE '2000-01-11'")
+def lookup_predictions(spark, d):
+    return reports.predictions_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name")).first()[0], "2000-01-11")
+
+
+_LATEST = "SELECT p.*, sector_name FROM preds p JOIN companies USING (company_key) WHERE trade_date = (SELECT max(trade_date) FROM preds WHERE model_rung = 2)"
+
+
+def _panels(spark, d):
+    return reports.panels(report_latest(spark, d))
+
+
+@query(f"SELECT model_rung, trade_date, symbol, sector_name, prob_up FROM ({_LATEST}) QUALIFY row_number() OVER (PARTITION BY model_rung ORDER BY prob_up DESC, symbol) <= 5")
+def panel_top5(spark, d):
+    return _panels(spark, d)["top5"]
+
+
+@query(f"SELECT sector_name, CAST(sum(CAST(round(prob_up * 1e5) AS BIGINT)) AS DOUBLE) / count(*) / 1e5 AS avg_prob, count(*) AS n FROM ({_LATEST}) WHERE model_rung = 2 GROUP BY sector_name")
+def panel_sectors(spark, d):
+    return _panels(spark, d)["sectors"]
+
+
+@query(f"SELECT symbol, prob_up, prob_up >= CASE WHEN len(ps) >= 5 THEN ps[5] ELSE ps[-1] END AS in_top FROM (SELECT symbol, prob_up, list_reverse_sort(list(prob_up) OVER ()) AS ps FROM ({_LATEST}) WHERE model_rung = 2)")
+def panel_distribution(spark, d):
+    return _panels(spark, d)["distribution"]
+
+
 WEIGHTS = {"bb_z": 1.0, "vol_20d": -2.0, "log_ret_1d": 100.0, "macd_hist": 0.001}
 
 
@@ -594,19 +712,61 @@ def rung0_ar(spark, d):
 STRUCTURED = [*panel.PRICE_FEATURES, *panel.RATIOS, *panel.PROXIES]
 
 
+def _fitted_panel(spark, d):
+    """The panel with the true components of the filings."""
+    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.embedding_facts(spark, d).drop("company_key", "fact_embedding_key"), dims.dim_company(spark, d), SECTORS, bucket=F.year("_at"))
+
+
+def _flags():
+    return [f"is_{s.lower().replace(' ', '_')}" for s in SECTORS]
+
+
+@query()
+def feature_panel_pca(spark, d):
+    return _fitted_panel(spark, d)
+
+
 @query()
 def rung1_trees(spark, d):
     from skeinflow.ml import trees
 
-    return trees.walk_forward(feature_panel(spark, d), _folds(spark), STRUCTURED, 1)
+    return trees.walk_forward(feature_panel(spark, d), _folds(spark), STRUCTURED, 1, trees.RUNG_1)
 
 
 @query()
 def rung2_trees(spark, d):
     from skeinflow.ml import trees
 
-    flags = [f"is_{s.lower().replace(' ', '_')}" for s in SECTORS]
-    return trees.walk_forward(feature_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *flags, *panel.CROSSES], 2)
+    return trees.walk_forward(_fitted_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *_flags(), *panel.CROSSES], 2, trees.RUNG_2)
+
+
+def _kept(spark, d):
+    """The fitted rungs' predictions from the table that they are kept in, with their labels."""
+    from skeinflow.sources.shared import stage, stage_path
+
+    path = stage_path(spark, "predictions")
+    for rung in (rung0_ar, rung1_trees, rung2_trees):
+        kept = evaluation.keep_predictions(rung(spark, d), path)
+    days = stage(feature_panel(spark, d).select("date_key", "company_key", "symbol", "trade_date", "y_5d_up"), "panel-days")
+    return evaluation.labelled(kept.drop("trade_date"), days).join(days.select("date_key", "trade_date").distinct(), "date_key")
+
+
+@query()
+def fitted_backtest(spark, d):
+    """The backtest on the fitted rungs' own predictions."""
+    return evaluation.backtest(_kept(spark, d), _traded(spark, d))
+
+
+@query()
+def fitted_metrics(spark, d):
+    return evaluation.run_metrics(_kept(spark, d))
+
+
+@query()
+def attribution_json(spark, d):
+    """The attributions of the first rung's rows, through JSON and back."""
+    rows = rung1_trees(spark, d).filter("attributions IS NOT NULL").withColumn("key", F.concat_ws("|", "fold_id", "date_key", "company_key"))
+    return reports.attribution_top(rows.select("key", reports.decoded(F.col("attributions")).alias("w")), "key", "w", 10)
 
 
 @query(f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions.keys import date_key
 from skeinflow.operators.baskets import compounded, every_nth, top_k, turnover
-from skeinflow.operators.metrics import auc, wilcoxon
+from skeinflow.operators.metrics import auc, signed_rank_test, wilcoxon
 
 #: Names of a basket, days between rebalances, cost of a full turnover in basis points.
 TOP, EVERY, COST = 5, 5, 5
@@ -37,6 +37,46 @@ def rung_test(aucs: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
     return wilcoxon(a.join(b, "fold_id").withColumn("d", F.round(F.col(f"auc_{second}") - F.col(f"auc_{first}"), 9)), "d")
 
 
+PREDICTIONS = "date_key string, company_key string, trade_date date, model_rung long, fold_id string, prob_up double, predicted_class long, attributions string"
+
+
+def keep_predictions(df: DataFrame, path: str) -> DataFrame:
+    """Replaces the rungs that ``df`` holds in the table of predictions and returns the table."""
+    from skeinflow.sources.landing import replace_slice
+
+    fields = [p.split() for p in PREDICTIONS.split(", ")]
+    rows = df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast({"long": "bigint"}.get(t, t)).alias(n) for n, t in fields])
+    replace_slice(rows, path, "model_rung")
+    return df.sparkSession.read.schema(PREDICTIONS).parquet(path)
+
+
+def labelled(predictions: DataFrame, panel: DataFrame) -> DataFrame:
+    """Predictions with their symbol and label from the panel."""
+    return predictions.drop("symbol", "y_5d_up").join(panel.select("date_key", "company_key", "symbol", "y_5d_up"), ["date_key", "company_key"])
+
+
+def run_metrics(assigned: DataFrame) -> DataFrame:
+    """(model_rung, fold_id, metric, value) of every fold: test_auc (where both labels occur), accuracy, n_test_rows."""
+    right, n = F.sum((F.col("predicted_class") == F.col("y_5d_up")).cast("long")), F.count("*")
+    plain = assigned.groupBy("model_rung", "fold_id").agg((right.cast("double") / n.cast("double")).alias("accuracy"), n.cast("double").alias("n_test_rows"))
+    both = plain.join(fold_auc(assigned).select("model_rung", "fold_id", F.col("auc").alias("test_auc")), ["model_rung", "fold_id"], "left")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("test_auc", "accuracy", "n_test_rows")]))
+    return both.select("model_rung", "fold_id", pairs.alias("m")).select("model_rung", "fold_id", "m.*").filter("value IS NOT NULL")
+
+
+def run_params(models: DataFrame, rung: int, family: str, n_features: int) -> DataFrame:
+    """(model_rung, fold_id, metric, value) of the folds' models: features, fitted rows, and each feature's importance."""
+    base = models.select(F.lit(rung).cast("long").alias("model_rung"), "fold_id", "n_rows", "importances")
+    flat = F.map_concat(F.create_map(F.lit("n_features"), F.lit(float(n_features)), F.lit("n_fit_rows"), F.col("n_rows").cast("double")), F.map_from_entries(F.transform(F.map_entries("importances"), lambda e: F.struct(F.concat(F.lit("fi_"), e["key"]).alias("key"), e["value"].alias("value")))))
+    return base.select("model_rung", "fold_id", F.explode(flat).alias("metric", "value")).withColumn("family", F.lit(family)).select("model_rung", "fold_id", "family", "metric", "value")
+
+
+def rung_chance(aucs: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
+    """The signed-rank test of two rungs with its p-value; fewer than three common folds give no rows."""
+    a, b = (aucs.filter(F.col("model_rung") == r).select("fold_id", F.col("auc").alias(f"auc_{r}")) for r in (first, second))
+    return signed_rank_test(a.join(b, "fold_id").withColumn("d", F.round(F.col(f"auc_{second}") - F.col(f"auc_{first}"), 9)), "d")
+
+
 def forward_returns(prices: DataFrame, ahead: int = 5) -> DataFrame:
     later = F.lead("close_px", ahead).over(Window.partitionBy("company_key").orderBy("trade_date"))
     return prices.select("company_key", "trade_date", F.when(F.col("close_px") > 0, (later - F.col("close_px")) / F.col("close_px")).alias("fwd_ret"))
@@ -70,15 +110,16 @@ def backtest_log(panel: DataFrame, predictions: DataFrame) -> DataFrame:
     return days.select("model_rung", "trade_date", F.round(F.col("ret") - cost, DIGITS).alias("net_ret"))
 
 
-def benchmark(prices: DataFrame, first, last) -> DataFrame:
-    """trade_date, benchmark_cum: the universe's equal-weight daily return, compounded from ``first`` to ``last``.
+def benchmark(prices: DataFrame, pnl: DataFrame) -> DataFrame:
+    """trade_date, benchmark_cum: the universe's equal-weight daily return, compounded from ``pnl``'s first day to its last.
 
     One row per day, so the compounding window is small.
     """
     before = F.lag("close_px").over(Window.partitionBy("symbol").orderBy("trade_date"))
     ret = prices.select("trade_date", F.when(before > 0, F.round((F.col("close_px") - before) / before * 1e9).cast("long")).alias("r")).filter("r IS NOT NULL")
     days = ret.groupBy("trade_date").agg((F.sum("r").cast("double") / F.count("r").cast("double") / F.lit(1e9)).alias("day"))
-    days = days.filter(F.col("trade_date").between(first, last))
+    span = pnl.agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))  # one row
+    days = days.crossJoin(F.broadcast(span)).filter(F.col("trade_date").between(F.col("first"), F.col("last")))
     cum = compounded(F.col("day"), Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))
     return days.select("trade_date", F.round(cum, DIGITS).alias("benchmark_cum"))
 

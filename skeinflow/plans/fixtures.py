@@ -59,12 +59,38 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(nation), F.pmod("user_id", F.lit(25)) == nation.n_nationkey).select("event_id", F.col("n_name").alias("symbol"), "trade_date", "kind", "accession", "pos", "neu", "neg", "score")
 
 
-def embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, as_of_date, filing_pc1..5: vectors pooled per (company, filing)."""
+#: Dimensions of the vectors.
+DIMS = 64
+
+
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, as_of_date, v1..v64: vectors averaged per (company, filing)."""
     from skeinflow.operators.vectors import mean_pool
 
     vectors, nation = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "nation")
     rows = vectors.select("label", "vec_id", "embedding").join(F.broadcast(nation), F.col("label") == nation.n_nationkey)
     rows = rows.select(F.col("n_name").alias("symbol"), F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("vec_id") % 40 * 60).cast("int")).alias("as_of_date"), "embedding")
-    pooled = mean_pool(rows, ["symbol", "as_of_date"], "embedding", 5)
-    return pooled.select("symbol", "as_of_date", *[F.col(f"v{i}").alias(f"filing_pc{i}") for i in range(1, 6)])
+    return mean_pool(rows, ["symbol", "as_of_date"], "embedding", DIMS)
+
+
+def projected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, as_of_date, filing_pc1..5: pooled vectors on five fixed axes, the i-th of which adds every fifth dimension
+    from i on. They take the components' place where SQL has to follow."""
+    whole = lambda j: F.round(F.col(f"v{j}") * 1e6).cast("long")
+    axis = lambda i: sum((whole(j) for j in range(i + 5, DIMS + 1, 5)), whole(i)).cast("double") / F.lit(1e6)
+    return pooled_vectors(spark, sf_dir).select("symbol", "as_of_date", *[axis(i).alias(f"filing_pc{i}") for i in range(1, 6)])
+
+
+def embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fact_embedding_key (1000 on, by company and filing), company_key, symbol, as_of_date, filing_pc1..5: the principal
+    components of the pooled vectors, fitted on all filings."""
+    from skeinflow.functions.keys import name_key
+    from skeinflow.ml.pca import components
+    from skeinflow.operators.numbering import number_rows
+
+    pooled = pooled_vectors(spark, sf_dir).select(name_key(F.col("symbol")).alias("company_key"), "symbol", "as_of_date", F.array(*[f"v{i}" for i in range(1, DIMS + 1)]).alias("vector"))
+    if pooled.isEmpty():
+        return spark.createDataFrame([], "fact_embedding_key long, company_key string, symbol string, as_of_date date, " + ", ".join(f"filing_pc{i} double" for i in range(1, 6)))
+    found, _ = components(pooled, "vector")
+    numbered = number_rows(found, "company_key", ["as_of_date"], "fact_embedding_key", 1000)
+    return numbered.select("fact_embedding_key", "company_key", "symbol", "as_of_date", *[f"filing_pc{i}" for i in range(1, 6)])

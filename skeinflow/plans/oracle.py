@@ -90,10 +90,13 @@ RELATIONS: dict[str, str] = {
     + """, CAST(sum(n_news) OVER w3 AS BIGINT) AS n_news_3d, CAST(sum(n_8k) OVER w30 AS BIGINT) AS n_8k_30d,
           coalesce(CAST(news_score - lag(news_score, 5) OVER (PARTITION BY company_key ORDER BY full_date) AS DOUBLE) / 1e6, 0.0::DOUBLE) AS news_mean_change_5d, full_date AS as_of_date
         FROM grid WINDOW w3 AS (PARTITION BY company_key ORDER BY full_date ROWS 2 PRECEDING), w30 AS (PARTITION BY company_key ORDER BY full_date ROWS 29 PRECEDING)""",
-    "pcs": """
+    "pooled": """
         SELECT n_name AS symbol, DATE '1995-01-01' + CAST(vec_id % 40 * 60 AS INTEGER) AS pc_date, """
-    + ", ".join(f"CAST(sum(CAST(round(CAST(embedding[{i}] AS DOUBLE) * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS filing_pc{i}" for i in range(1, 6))
-    + " FROM embeddings JOIN nation ON label = n_nationkey GROUP BY ALL",
+    + ", ".join(f"CAST(sum(CAST(round(CAST(embedding[{i}] AS DOUBLE) * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS v{i}" for i in range(1, 65))
+    + """ FROM embeddings JOIN nation ON label = n_nationkey GROUP BY ALL""",
+    "pcs": "SELECT symbol, pc_date, "
+    + ", ".join("CAST(" + " + ".join(f"CAST(round(v{j} * 1e6) AS BIGINT)" for j in range(i, 65, 5)) + f" AS DOUBLE) / 1e6 AS filing_pc{i}" for i in range(1, 6))
+    + " FROM pooled",
     "asof_funds": "SELECT p.*, f.* EXCLUDE (symbol, company_key, as_of_date) FROM prices p ASOF LEFT JOIN funds f ON p.symbol = f.symbol AND p.trade_date >= f.filing_date",
     "asof_all": f"""
         SELECT a.*, pc_date, {', '.join(PCS)}, lead(close_px, 5) OVER (PARTITION BY a.symbol ORDER BY trade_date) AS ahead
@@ -160,6 +163,25 @@ RELATIONS: dict[str, str] = {
         SELECT '10K-' || lang || '-' || d::VARCHAR || '-' || right(doc_id::VARCHAR, 6) || '-c' || format('{:02d}', i) AS chunk_key, doc_id::VARCHAR AS accession, lang AS symbol, i AS chunk_index, CAST(len(w[i * 450 + 1 : i * 450 + 500]) AS BIGINT) AS n_tokens,
           array_to_string(w[i * 450 + 1 : i * 450 + 500], ' ') AS body_chunk, d AS as_of_date
         FROM (SELECT *, DATE '1995-01-01' + CAST(doc_id % 2000 AS INTEGER) AS d, unnest(range(0, CASE WHEN len(w) >= 50 THEN (len(w) - 50) // 450 + 1 ELSE 0 END)) AS i FROM words_docs)""",
+    "all_chunks": """
+        SELECT replace(chunk_key, '10K-', t || '-') AS chunk_key, symbol, as_of_date, t AS source_type, body_chunk FROM (SELECT *, CASE WHEN CAST(accession AS BIGINT) % 4 = 0 THEN '8K' ELSE '10K' END AS t FROM chunk_rows)""",
+    "chunk_words": """
+        SELECT chunk_key, symbol, as_of_date, source_type, body_chunk, ('0x' || substr(m, 1, 8))::BIGINT % 384 AS dim, sum(CASE WHEN substr(m, 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END) AS w FROM (
+          SELECT *, md5(unnest(string_split(lower(body_chunk), ' '))) AS m FROM all_chunks) GROUP BY ALL""",
+    "questions": """
+        SELECT item_id AS query_id, substr(text, 1, 300) AS question, CASE WHEN item_id % 4 = 0 THEN NULL ELSE ['de', 'en', 'es', 'fr'][item_id % 4 + 1] END AS symbol,
+          CASE WHEN item_id % 5 = 0 THEN NULL ELSE DATE '1996-01-01' + CAST(item_id % 40 * 50 AS INTEGER) END AS as_of_date, CASE WHEN item_id % 3 = 0 THEN ['8K'] END AS source_types, CAST(item_id % 3 AS BIGINT) AS rung FROM benchmark""",
+    "question_words": r"""
+        SELECT query_id, ('0x' || substr(m, 1, 8))::BIGINT % 384 AS dim, sum(CASE WHEN substr(m, 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END) AS w FROM (
+          SELECT query_id, md5(unnest(list_filter(regexp_split_to_array(lower(question), '[ \t\n\r]+'), lambda x: x <> ''))) AS m FROM questions) GROUP BY ALL""",
+    "retrieved": """
+        SELECT query_id, chunk_key AS item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_key) AS BIGINT) AS rank FROM (
+          SELECT q.query_id, c.chunk_key, round(coalesce(dot, 0) / CASE WHEN q.len * c.len > 0 THEN sqrt(CAST(q.len AS DOUBLE)) * sqrt(CAST(c.len AS DOUBLE)) ELSE 1 END, 9) AS similarity
+          FROM (SELECT questions.*, coalesce(len, 0) AS len FROM questions LEFT JOIN (SELECT query_id, sum(w * w) AS len FROM question_words GROUP BY ALL) USING (query_id)) q
+          JOIN (SELECT chunk_key, symbol, as_of_date, source_type, sum(w * w) AS len FROM chunk_words GROUP BY ALL) c
+            ON (q.symbol IS NULL OR q.symbol = c.symbol) AND (q.as_of_date IS NULL OR c.as_of_date <= q.as_of_date) AND (q.source_types IS NULL OR list_contains(q.source_types, c.source_type))
+          LEFT JOIN (SELECT query_id, chunk_key, sum(a.w * b.w) AS dot FROM question_words a JOIN chunk_words b USING (dim) GROUP BY ALL) d ON d.query_id = q.query_id AND d.chunk_key = c.chunk_key)
+        QUALIFY rank <= 5""",
     "asked": "SELECT vec_id AS query_id, embedding AS q, label AS q_label FROM embeddings WHERE vec_id % 50 = 0",
     "nearest": """
         SELECT query_id, item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS BIGINT) AS rank FROM (

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators.asof import asof_join
 from skeinflow.operators.numbering import number_rows
 
+#: The features' names by group.
 PRICE_FEATURES = ["log_ret_1d", "sma_5", "sma_20", "sma_50", "ema_12", "ema_26", "rsi_14", "macd_hist", "bb_z", "vol_20d"]
 RATIOS = ["roe", "roa", "debt_eq", "gross_margin", "op_margin", "asset_turnover"]
 PROXIES = ["pe_ttm_proxy", "pb_proxy", "ebitda_to_ev_proxy", "fcf_to_assets"]
@@ -22,18 +23,18 @@ def sector_flags(companies: DataFrame, sectors: list[str]) -> DataFrame:
     return companies.select("*", *[F.when(F.col("sector_name") == s, 1).otherwise(0).cast("long").alias(f"is_{s.lower().replace(' ', '_')}") for s in sectors])
 
 
-def feature_panel(prices: DataFrame, fundamentals: DataFrame, sentiment: DataFrame, pcs: DataFrame | None, companies: DataFrame, sectors: list[str], tail: str = "zero") -> DataFrame:
+def feature_panel(prices: DataFrame, fundamentals: DataFrame, sentiment: DataFrame, pcs: DataFrame | None, companies: DataFrame, sectors: list[str], tail: str = "zero", bucket: Column | None = None) -> DataFrame:
     """One row per bar with all features, the target and the latest date of what it is made of.
 
-    ``tail`` decides the label of the last AHEAD bars of a company: "zero" or "null". Without ``pcs`` their columns are 0.
+    ``tail`` decides the label of the last AHEAD bars of a company: "zero" or "null". Without ``pcs`` their columns are 0. ``bucket`` splits long series in the as-of joins.
     """
     used = ["net_income_ttm", "total_equity", "ebitda_ttm", "total_assets", "cash", "total_debt", "free_cash_flow_ttm", *RATIOS]
     target = F.lead("close_px", AHEAD).over(Window.partitionBy("symbol").orderBy("trade_date"))
-    rows = asof_join(prices.withColumn("ahead", target), fundamentals, ["symbol"], "trade_date", "filing_date", used)
+    rows = asof_join(prices.withColumn("ahead", target), fundamentals, ["symbol"], "trade_date", "filing_date", used, bucket=bucket)
     if pcs is None:
         rows = rows.withColumns({c: F.lit(0.0) for c in PCS}).withColumn("pc_date", F.lit(None).cast("date"))
     else:
-        rows = asof_join(rows, pcs.withColumnRenamed("as_of_date", "pc_date"), ["symbol"], "trade_date", "pc_date", PCS)
+        rows = asof_join(rows, pcs.withColumnRenamed("as_of_date", "pc_date"), ["symbol"], "trade_date", "pc_date", PCS, bucket=bucket)
     flags = sector_flags(companies, sectors)
     own = [c for c in flags.columns if c.startswith("is_")]
     rows = rows.join(F.broadcast(flags.select("company_key", "sector_key", *own)), "company_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators.baskets import top_k
@@ -35,7 +35,10 @@ def sectors(predictions: DataFrame, companies: DataFrame) -> DataFrame:
 
 def distribution(predictions: DataFrame) -> DataFrame:
     """symbol, prob_up, in_top: on the latest day, with those that reach the fifth best value (the least, if fewer)."""
-    rows = _latest(predictions, [2]).select("symbol", "prob_up")
+    return _cut_off(_latest(predictions, [2]).select("symbol", "prob_up"))
+
+
+def _cut_off(rows: DataFrame) -> DataFrame:
     best = rows.agg(F.sort_array(F.collect_list("prob_up"), asc=False).alias("p"))  # one value per company of a day
     cutoff = best.select(F.when(F.size("p") >= 5, F.get("p", F.lit(4))).otherwise(F.array_min("p")).alias("cutoff"))
     return rows.crossJoin(F.broadcast(cutoff)).select("symbol", "prob_up", (F.col("prob_up") >= F.col("cutoff")).alias("in_top"))
@@ -60,6 +63,47 @@ def latest_at_rung(predictions: DataFrame, companies: DataFrame, rung: int = 2)
     return predictions.join(F.broadcast(day), "trade_date").join(F.broadcast(companies.select("company_key", "sector_name")), "company_key").select("trade_date", "symbol", "sector_name", "model_rung", "prob_up", "predicted_class")
 
 
+def companies(dim_company: DataFrame) -> DataFrame:
+    """symbol, sector_name of every company, by symbol."""
+    return dim_company.select("symbol", "sector_name").orderBy("symbol")
+
+
+def days_of(predictions: DataFrame, symbol: str) -> DataFrame:
+    """The days on which a company has predictions, latest first."""
+    return predictions.filter(F.col("symbol") == symbol).select("trade_date").distinct().orderBy(F.desc("trade_date"))
+
+
+def predictions_of(predictions: DataFrame, symbol: str, day: str) -> DataFrame:
+    """model_rung, prob_up, predicted_class (and attributions, if there) of a company on a day, by rung; no rows if none."""
+    rows = predictions.filter((F.col("symbol") == symbol) & (F.col("trade_date") == F.lit(day).cast("date")))
+    return rows.select("model_rung", "prob_up", "predicted_class", *[c for c in ("attributions",) if c in rows.columns]).orderBy("model_rung")
+
+
+def panels(latest: DataFrame) -> dict[str, DataFrame]:
+    """The three panels on the latest frame (``latest_at_rung``): top five per rung, sector means and distribution of rung 2."""
+    two = latest.filter("model_rung = 2")
+    whole = F.round(F.col("prob_up") * 1e5).cast("long")
+    return {
+        "top5": top_k(latest, ["model_rung"], [F.desc("prob_up"), F.col("symbol")], 5).select("model_rung", "trade_date", "symbol", "sector_name", "prob_up"),
+        "sectors": two.groupBy("sector_name").agg((F.sum(whole).cast("double") / F.count("*").cast("double") / F.lit(1e5)).alias("avg_prob"), F.count("*").alias("n")),
+        "distribution": _cut_off(two.select("symbol", "prob_up")),
+    }
+
+
+def datasets(predictions: DataFrame, dim_company: DataFrame, pnl: DataFrame, aucs: DataFrame) -> dict[str, DataFrame]:
+    """The datasets of all charts in their order; those without rows are left out."""
+    made = {
+        "cumulative": cumulative(pnl), "top5": top5(predictions, dim_company), "sectors": sectors(predictions, dim_company),
+        "distribution": distribution(predictions), "fold_auc": aucs.filter("model_rung IN (1, 2)"), "rung_pivot": rung_pivot(predictions),
+    }
+    return {name: df for name, df in made.items() if not df.isEmpty()}
+
+
+def decoded(attributions: Column) -> Column:
+    """Attributions from JSON to a map; null and unreadable text give null."""
+    return F.from_json(attributions, "map<string,double>")
+
+
 def attribution_top(df: DataFrame, key: str, weights: str, n: int = 10) -> DataFrame:
     """(key, feature, weight, place): the n weights largest by size of a map, in order of their values."""
     entries = F.slice(F.array_sort(F.transform(F.map_entries(weights), lambda e: F.struct((-F.abs(e["value"])).alias("o"), e["key"].alias("feature"), e["value"].alias("weight")))), 1, n)
