@@ -757,11 +757,6 @@ def fitted_backtest(spark, d):
     return evaluation.backtest(_kept(spark, d), _traded(spark, d))
 
 
-@query()
-def fitted_metrics(spark, d):
-    return evaluation.run_metrics(_kept(spark, d))
-
-
 @query()
 def attribution_json(spark, d):
     """The attributions of the first rung's rows, through JSON and back."""

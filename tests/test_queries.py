@@ -27,14 +27,15 @@ def plain(value):
     return repr(value) if isinstance(value, float) else str(value)
 
 
-#: Long chains over the panel; one of each kind is enough here, the rest run in the driver's own comparison.
+#: Long chains over the panel: run with SKEINFLOW_SLOW=1; one of each kind is enough otherwise.
 SLOW = {
     "fold_accuracy", "fold_assignment", "fold_auc", "benchmark_eqw", "backtest_pnl", "backtest_pnl_b", "backtest_summary", "backtest_with_benchmark", "report_sector", "report_distribution", "report_latest",
-    "report_top5", "report_rung_pivot", "report_lookup", "leakage_guard", "predictions", "rung0_ar", "rung1_trees", "rung2_trees",
+    "report_top5", "report_rung_pivot", "report_lookup", "leakage_guard", "predictions", "rung0_ar", "rung1_trees", "rung2_trees", "run_metrics", "wilcoxon_chance", "lookup_days", "lookup_predictions",
+    "panel_top5", "panel_sectors", "panel_distribution", "feature_panel_pca", "fitted_backtest", "attribution_json",
 }
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW or os.environ.get("SKEINFLOW_SLOW")])
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     rows = df.collect()
