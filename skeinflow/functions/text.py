@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -88,6 +88,34 @@ def _hits(words: Column, known: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known))).cast("long")
 
 
+#: Words of a text that a model gets.
+SCORED_WORDS = 512
+
+#: Three shares (negative, neutral, positive) of each text, that sum to one.
+Scorer = Callable[[list[str]], list[tuple[float, float, float]]]
+
+
+def model_sentiment(text: Column, make: Callable[[], Scorer]) -> Column:
+    """``lexicon_sentiment``'s struct by a model; ``make`` loads it once in each Python worker.
+
+    Blank texts are neutral and don't reach the model, which sees the first SCORED_WORDS words; shares are rounded to
+    five digits.
+    """
+    kind = pa.struct([(c, pa.float64()) for c in ("pos_prob", "neu_prob", "neg_prob", "score")])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = make()
+        for texts in batches:
+            cut = [" ".join((t or "").split()[:SCORED_WORDS]) for t in texts.to_pylist()]
+            asked = [i for i, t in enumerate(cut) if t]
+            rows = [(0.0, 1.0, 0.0)] * len(cut)
+            for i, row in zip(asked, scorer([cut[i] for i in asked]) if asked else [], strict=True):
+                rows[i] = row
+            yield pa.array([{"pos_prob": round(p, 5), "neu_prob": round(n, 5), "neg_prob": round(g, 5), "score": round(p - g, 5)} for g, n, p in rows], kind)
+
+    return F.arrow_udf(run, "struct<pos_prob:double,neu_prob:double,neg_prob:double,score:double>", F.ArrowUDFType.SCALAR_ITER)(text)
+
+
 def lexicon_sentiment(text: Column) -> Column:
     """struct(pos_prob, neu_prob, neg_prob, score): shares of the words found in the lexicon; blank texts are neutral.
 

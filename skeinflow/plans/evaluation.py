@@ -73,8 +73,18 @@ def run_params(models: DataFrame, rung: int, family: str, n_features: int) -> Da
 
 def rung_chance(aucs: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
     """The signed-rank test of two rungs with its p-value; fewer than three common folds give no rows."""
-    a, b = (aucs.filter(F.col("model_rung") == r).select("fold_id", F.col("auc").alias(f"auc_{r}")) for r in (first, second))
-    return signed_rank_test(a.join(b, "fold_id").withColumn("d", F.round(F.col(f"auc_{second}") - F.col(f"auc_{first}"), 9)), "d")
+    a, b = (aucs.filter(F.col("model_rung") == r).select("fold_id", F.col("auc").alias(name)) for r, name in ((first, "one"), (second, "two")))
+    return signed_rank_test(a.join(b, "fold_id").withColumn("d", F.round(F.col("two") - F.col("one"), 9)), "d")
+
+
+def drive_rung(panel: DataFrame, folds: DataFrame, features: list[str], rung: int, use, path: str, against: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fits and predicts all folds of a rung, keeps its predictions at ``path`` in place of earlier ones, and returns (the
+    table of predictions, the rungs' fold metrics, the signed-rank test against rung ``against``: no rows without it)."""
+    from skeinflow.ml import trees
+
+    kept = keep_predictions(trees.walk_forward(panel, folds, features, rung, use), path)
+    rows = labelled(kept, panel)
+    return kept, run_metrics(rows), rung_chance(fold_auc(rows), against, rung)
 
 
 def forward_returns(prices: DataFrame, ahead: int = 5) -> DataFrame:

@@ -37,7 +37,7 @@ def feature_panel(prices: DataFrame, fundamentals: DataFrame, sentiment: DataFra
         rows = asof_join(rows, pcs.withColumnRenamed("as_of_date", "pc_date"), ["symbol"], "trade_date", "pc_date", PCS, bucket=bucket)
     flags = sector_flags(companies, sectors)
     own = [c for c in flags.columns if c.startswith("is_")]
-    rows = rows.join(F.broadcast(flags.select("company_key", "sector_key", *own)), "company_key")
+    rows = rows.join(flags.select("company_key", "sector_key", *own), "company_key")
     rows = rows.join(sentiment.select("date_key", "company_key", *SENTIMENT, F.col("as_of_date").alias("s_date")), ["date_key", "company_key"], "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long") if c.startswith("n_") else F.lit(0.0)) for c in SENTIMENT} | {c: F.coalesce(c, F.lit(0.0)) for c in PCS}
     rows = rows.withColumns(zero)
@@ -68,7 +68,7 @@ def feature_panel_b(prices: DataFrame, fundamentals: DataFrame, daily: DataFrame
     year = F.year("_at")
     rows = asof_join(prices.withColumn("ahead", ahead), fundamentals, ["symbol"], "trade_date", "filing_date", RATIOS, bucket=year)
     rows = asof_join(rows, pcs.withColumnRenamed("as_of_date", "pc_date"), ["symbol"], "trade_date", "pc_date", PCS, bucket=year)
-    rows = rows.join(F.broadcast(companies.select("company_key")), "company_key", "left_semi").join(daily, ["symbol", "trade_date"], "left")
+    rows = rows.join(companies.select("company_key"), "company_key", "left_semi").join(daily, ["symbol", "trade_date"], "left")
     known = F.col("ahead").isNotNull() & (F.col("close_px") > 0)
     features = [c for c in PRICE_FEATURES if c != "rsi_14"]
     return rows.select(

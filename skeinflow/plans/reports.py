@@ -23,12 +23,12 @@ def cumulative(pnl: DataFrame) -> DataFrame:
 def top5(predictions: DataFrame, companies: DataFrame) -> DataFrame:
     """The five likeliest of each rung on that rung's own latest day."""
     latest = predictions.groupBy("model_rung").agg(F.max("trade_date").alias("trade_date"))
-    rows = predictions.join(F.broadcast(latest), ["model_rung", "trade_date"]).join(F.broadcast(companies.select("company_key", "sector_name")), "company_key")
+    rows = predictions.join(F.broadcast(latest), ["model_rung", "trade_date"]).join(companies.select("company_key", "sector_name"), "company_key")
     return top_k(rows, ["model_rung"], [F.desc("prob_up"), F.col("symbol")], 5).select("model_rung", "trade_date", "symbol", "sector_name", "prob_up")
 
 
 def sectors(predictions: DataFrame, companies: DataFrame) -> DataFrame:
-    rows = _latest(predictions, [2]).join(F.broadcast(companies.select("company_key", "sector_name")), "company_key")
+    rows = _latest(predictions, [2]).join(companies.select("company_key", "sector_name"), "company_key")
     whole = F.round(F.col("prob_up") * 1e5).cast("long")
     return rows.groupBy("sector_name").agg((F.sum(whole).cast("double") / F.count("*").cast("double") / F.lit(1e5)).alias("avg_prob"), F.count("*").alias("n"))
 
@@ -60,7 +60,7 @@ def lookup(predictions: DataFrame, symbols: DataFrame, day: str) -> DataFrame:
 def latest_at_rung(predictions: DataFrame, companies: DataFrame, rung: int = 2) -> DataFrame:
     """All rungs' predictions on the latest day of one of them."""
     day = predictions.filter(F.col("model_rung") == rung).agg(F.max("trade_date").alias("trade_date"))
-    return predictions.join(F.broadcast(day), "trade_date").join(F.broadcast(companies.select("company_key", "sector_name")), "company_key").select("trade_date", "symbol", "sector_name", "model_rung", "prob_up", "predicted_class")
+    return predictions.join(F.broadcast(day), "trade_date").join(companies.select("company_key", "sector_name"), "company_key").select("trade_date", "symbol", "sector_name", "model_rung", "prob_up", "predicted_class")
 
 
 def companies(dim_company: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,24 @@ def ranked_ids(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.transform(pairs, lambda p: p["item_id"]).alias("top_k_ids"))
 
 
+_corpora: dict[tuple[int, str], DataFrame] = {}
+
+
+def load_corpus(spark: SparkSession, *paths: str) -> DataFrame:
+    """The chunk tables of ``paths`` as one, kept in the executors' memory and disks for the session; asking again gives
+    the same table. ``forget_corpora`` lets go of them."""
+    key = (id(spark), "\n".join(paths))
+    if key not in _corpora:
+        _corpora[key] = spark.read.parquet(*paths).persist(StorageLevel.MEMORY_AND_DISK)
+    return _corpora[key]
+
+
+def forget_corpora() -> None:
+    for table in _corpora.values():
+        table.unpersist()
+    _corpora.clear()
+
+
 #: Symbols up to which a batch of questions filters the corpus before vectors are read.
 PUSHED = 1000
 #: Characters of an error kept in an answer.

@@ -92,6 +92,18 @@ def test_trees_walk_forward(spark, panel, fit_rows):
     assert {(r.fold_id, r.metric) for r in params} == {(f, m) for f in "ab" for m in ("n_features", "n_fit_rows", "fi_f1", "fi_f2")}
 
 
+def test_driving_rungs(spark, panel, tmp_path):
+    folds = folds_frame(spark, [Fold(f"f{i}", DAYS[0], DAYS[60], DAYS[70 + 30 * i], DAYS[99 + 30 * i]) for i in range(4)])
+    named = panel.withColumn("symbol", F.col("company_key"))
+    path = str(tmp_path / "p")
+    _, _, test = evaluation.drive_rung(named, folds, ["f1"], 2, trees.Settings(trees=5), path)
+    assert test.collect() == []
+    evaluation.drive_rung(named, folds, ["f2"], 1, trees.Settings(trees=5), path)
+    kept, metrics, test = evaluation.drive_rung(named, folds, ["f1", "f2"], 2, trees.Settings(trees=5), path)
+    assert {r.model_rung for r in kept.select("model_rung").distinct().collect()} == {1, 2}
+    assert test.first().n_pairs == 4 and metrics.filter("metric = 'test_auc'").count() == 8
+
+
 def test_rungs_differ():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(400, 6)), (rng.random(400) > 0.5).astype(float)

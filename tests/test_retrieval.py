@@ -92,6 +92,27 @@ def test_answers_and_audit(spark, tmp_path):
     assert log.count() == 4 and log.select("query_key").distinct().count() == 4 and {r.question for r in log.collect()} == {"supply chain risk", "officer"}
 
 
+def test_corpora_are_kept(spark, tmp_path):
+    path = str(tmp_path / "c")
+    corpus(spark).write.parquet(path)
+    one = retrieval.load_corpus(spark, path)
+    assert retrieval.load_corpus(spark, path) is one and one.is_cached and one.count() == 5
+    retrieval.forget_corpora()
+    assert retrieval.load_corpus(spark, path) is not one
+    retrieval.forget_corpora()
+
+
+def test_sentiment_by_a_model(spark):
+    from skeinflow.functions.text import model_sentiment
+
+    def make():
+        return lambda texts: [(0.1, 0.2, 0.7) if "up" in t else (0.0, float(len(t.split()) == 512), 0.0) for t in texts]
+
+    rows = [(1, "up"), (2, " "), (3, None), (4, "w " * 600)]
+    got = {r.i: tuple(r.s) for r in spark.createDataFrame(rows, "i int, t string").select("i", model_sentiment(F.col("t"), make).alias("s")).collect()}
+    assert got == {1: (0.7, 0.2, 0.1, 0.6), 2: (0, 1, 0, 0), 3: (0, 1, 0, 0), 4: (0, 1, 0, 0)}
+
+
 def test_evaluation(spark, tmp_path):
     path = tmp_path / "set.jsonl"
     path.write_text('{"question": "supply chain risk", "symbol": "A", "as_of_date": "2000-12-31", "expected_substring": "8K-A"}\n\n{"question": "supply", "symbol": "B", "expected_substring": "10K-B-"}\n{"question": "none", "symbol": "Z", "expected_substring": "x"}\n')
