@@ -420,23 +420,46 @@ def question_eval(spark, d):
     return retrieval.scored_questions(retrieval.retrieve(asked, _chunks(spark, d), 5), expected, 5)
 
 
-@query("""
-    SELECT q.query_id, q.rung, CASE WHEN n IS NULL THEN 'no-retrieval' ELSE 'template-fallback' END AS source, coalesce(ids, '') AS ids,
-      CASE WHEN n IS NULL THEN 'Nothing is on file for ' || coalesce(q.symbol, 'any company') || ' up to ' || coalesce(q.as_of_date::VARCHAR, 'any day') || '.'
-        ELSE 'The rung-' || q.rung || ' model predicts ' || coalesce(q.symbol, 'any company') || CASE WHEN coalesce(p.predicted_class, 0) = 1 THEN ' UP' ELSE ' DOWN' END || ' on ' || coalesce(q.as_of_date::VARCHAR, 'any day') || ' with probability '
-          || format('{:.2f}', coalesce(p.prob_up, 0.5::DOUBLE)) || '. For ' || chr(39) || question || chr(39) || ' the nearest passages are ' || cites || '. Excerpts:\n\n' || quotes END AS response
+#: SQL of the answers: each question with its cited chunks and the prediction of its symbol, day and rung.
+_ANSWERED = """
+    SELECT q.query_id, q.rung, n, coalesce(ids, '') AS ids, question, cites, quotes, chunks, coalesce(q.symbol, 'any company') AS who, coalesce(q.as_of_date::VARCHAR, 'any day') AS day,
+      CASE WHEN coalesce(p.predicted_class, 0) = 1 THEN 'UP' ELSE 'DOWN' END AS way, format('{:.2f}', coalesce(p.prob_up, 0.5::DOUBLE)) AS chance
     FROM questions q LEFT JOIN (
       SELECT query_id, count(*) AS n, string_agg(item_id, ',' ORDER BY rank) AS ids, string_agg('[' || item_id || ']', ', ' ORDER BY rank) FILTER (rank <= 3) AS cites,
-        string_agg('[' || item_id || '] sim=' || format('{:.3f}', similarity) || ': ' || substr(body_chunk, 1, 280) || '...', '\n\n' ORDER BY rank) FILTER (rank <= 3) AS quotes
+        string_agg('[' || item_id || '] sim=' || format('{:.3f}', similarity) || ': ' || substr(body_chunk, 1, 280) || '...', chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3) AS quotes,
+        string_agg('[' || item_id || ']: ' || substr(body_chunk, 1, 600), chr(10) || chr(10) ORDER BY rank) AS chunks
       FROM retrieved JOIN all_chunks ON chunk_key = item_id GROUP BY query_id) f USING (query_id)
     LEFT JOIN (SELECT ['de', 'en', 'es', 'fr'][CAST(n_nationkey % 4 AS BIGINT) + 1] AS symbol, trade_date, model_rung, prob_up, predicted_class FROM preds JOIN nation ON n_name = preds.symbol WHERE n_nationkey < 4) p
-      ON p.symbol IS NOT DISTINCT FROM q.symbol AND p.trade_date = q.as_of_date AND p.model_rung = q.rung""".replace("\\n", "' || chr(10) || '"))
-def rag_answers(spark, d):
+      ON p.symbol IS NOT DISTINCT FROM q.symbol AND p.trade_date = q.as_of_date AND p.model_rung = q.rung"""
+_FALLBACK = "'The rung-' || rung || ' model predicts ' || who || ' ' || way || ' on ' || day || ' with probability ' || chance || '. For ' || chr(39) || question || chr(39) || ' the nearest passages are ' || cites || '. Excerpts:' || chr(10) || chr(10) || quotes"
+_TASK_TEXT = retrieval.TASK_TEXT.replace("'", "''")
+
+
+def _answers(spark, d):
     asked = _questions(spark, d)
     symbols = table(spark, d, "nation").filter("n_nationkey < 4").select(F.col("n_name").alias("symbol"), F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("n_nationkey") % 4).cast("int")).alias("lang"))
     known = _predictions(spark, d).join(symbols, "symbol").select(F.col("lang").alias("symbol"), "trade_date", "model_rung", "prob_up", "predicted_class", F.lit(None).cast("string").alias("attributions"))
-    out = retrieval.answers(asked, _chunks(spark, d), known, 5)
-    return out.select("query_id", "rung", "source", F.array_join("top_k_chunk_ids", ",").alias("ids"), "response")
+    return retrieval.answers(asked, _chunks(spark, d), known, 5)
+
+
+@query(f"""
+    SELECT query_id, rung, CASE WHEN n IS NULL THEN 'no-retrieval' ELSE 'template-fallback' END AS source, ids, CASE WHEN n IS NULL THEN 'Nothing is on file for ' || who || ' up to ' || day || '.' ELSE {_FALLBACK} END AS response
+    FROM ({_ANSWERED})""")
+def rag_answers(spark, d):
+    return _answers(spark, d).select("query_id", "rung", "source", F.array_join("top_k_chunk_ids", ",").alias("ids"), "response")
+
+
+@query(f"SELECT query_id, {_FALLBACK} AS response FROM ({_ANSWERED}) WHERE n IS NOT NULL")
+def rag_fallback_text(spark, d):
+    return _answers(spark, d).filter("source = 'template-fallback'").select("query_id", "response")
+
+
+@query(f"""
+    SELECT query_id, 'Explain a model' || chr(39) || 's prediction: ' || who || ' goes ' || way || ' on ' || day || ' with probability ' || chance || '.' || chr(10) || chr(10) || 'Attributions:' || chr(10) || '  (no attribution available)' || chr(10) || chr(10)
+      || 'Chunks:' || chr(10) || chunks || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || '{_TASK_TEXT}' AS prompt
+    FROM ({_ANSWERED}) WHERE n IS NOT NULL""")
+def rag_prompt(spark, d):
+    return _answers(spark, d).filter("prompt IS NOT NULL").select("query_id", "prompt")
 
 
 @query()

@@ -81,6 +81,9 @@ PUSHED = 1000
 #: Characters of an error kept in an answer.
 ERROR_CHARS = 200
 
+#: What a model is asked to do.
+TASK_TEXT = "Answer in one paragraph of four to six plain sentences. Cite two chunks or more by their keys in brackets. Say nothing that chunks and attributions don't support, and say so where they contradict the prediction."
+
 #: A reply's text, tokens in and tokens out for a prompt.
 Generator = Callable[[str], tuple[str, int, int]]
 
@@ -159,7 +162,7 @@ def answers(questions: DataFrame, corpus: DataFrame, predictions: DataFrame, k:
     prompt = F.concat(
         F.lit("Explain a model's prediction: "), who, F.lit(" goes "), way, F.lit(" on "), day, F.lit(" with probability "), chance, F.lit(".\n\nAttributions:\n"), _block(F.col("attributions")),
         F.lit("\n\nChunks:\n"), F.array_join(part("chunk"), "\n\n"), F.lit("\n\nQuestion: "), F.col("question"),
-        F.lit("\n\nAnswer in one paragraph of four to six plain sentences. Cite two chunks or more by their keys in brackets. Say nothing that chunks and attributions don't support, and say so where they contradict the prediction."),
+        F.lit("\n\n" + TASK_TEXT),
     )
     fallback = F.concat(
         F.lit("The rung-"), F.col("rung").cast("string"), F.lit(" model predicts "), who, F.lit(" "), way, F.lit(" on "), day, F.lit(" with probability "), chance, F.lit(". For '"), F.col("question"),
