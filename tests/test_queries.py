@@ -31,7 +31,7 @@ def plain(value):
 SLOW = {
     "fold_accuracy", "fold_assignment", "fold_auc", "benchmark_eqw", "backtest_pnl", "backtest_pnl_b", "backtest_summary", "backtest_with_benchmark", "report_sector", "report_distribution", "report_latest",
     "report_top5", "report_rung_pivot", "report_lookup", "leakage_guard", "predictions", "rung0_ar", "rung1_trees", "rung2_trees", "run_metrics", "wilcoxon_chance", "lookup_days", "lookup_predictions",
-    "panel_top5", "panel_sectors", "panel_distribution", "feature_panel_pca", "fitted_backtest", "attribution_json",
+    "panel_top5", "panel_sectors", "panel_distribution", "feature_panel_pca", "fitted_backtest", "attribution_json", "rag_fallback_text", "rag_prompt",
 }
 
 
