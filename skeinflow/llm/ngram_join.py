@@ -425,7 +425,7 @@ def links_of(left: np.ndarray, right: np.ndarray, common: np.ndarray, num: int,
     return [(int(every[i, 0]), int(every[roots[i], 0]), int(degree[i])) for i in np.flatnonzero(degree)]
 
 
-PARTS = "a long, b long, degree long, cluster long, k1 int, h1 int, k2 int, h2 int, \"left\" binary, \"right\" binary, common binary".replace('"', "`")
+PARTS = "a long, b long, degree long, cluster long, k1 int, h1 int, k2 int, h2 int, `left` binary, `right` binary, common binary"
 _PART_KINDS = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()] * 3
 _PART_NAMES = [part.split()[0].strip("`") for part in PARTS.split(", ")]
 

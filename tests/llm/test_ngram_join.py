@@ -156,3 +156,22 @@ def test_a_component_is_known_by_one_row(spark):
     firsts = [r for r in found if r.doc_id == r.component_id and r.text_hash == r.component_hash]
     assert sorted(str(r.doc_id) for r in firsts) == ["3", "8", "None", "None", "None"]
     assert len({(r.component_id, r.component_hash) for r in found}) == 4
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 18])
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_groups_of_long_segments_are_streamed(monkeypatch, chunk, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = random.Random(size)
+    rows = sorted((sig, rng.randrange(40)) for sig, n in enumerate([1, 2, 30, 1, 3, 25, 2]) for _ in range(n))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + size]], pa.int64()) for i in (0, 1)], names=["sig", "node"]) for at in range(0, len(rows), size)]
+    found = {}
+    for batch in ngram_join._groups(iter(batches)):
+        for group, node in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            found.setdefault(group, set()).add(node)
+    want = [frozenset(n for s, n in rows if s == sig) for sig in range(7)]
+    # a group of one node ties nothing, whether it is passed on or not
+    assert {frozenset(g) for g in found.values() if len(g) > 1} == {w for w in want if len(w) > 1}
+    assert list(ngram_join._groups(iter([])))[0].num_rows == 0
