@@ -303,7 +303,7 @@ def embedding_facts(spark, d):
 
 @query("SELECT * FROM panel")
 def feature_panel(spark, d):
-    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.projected_facts(spark, d), dims.dim_company(spark, d), SECTORS, bucket=F.year("_at"))
+    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.projected_facts(spark, d), dims.dim_company(spark, d), SECTORS)
 
 
 @query("SELECT * FROM panel_b")
@@ -737,7 +737,7 @@ STRUCTURED = [*panel.PRICE_FEATURES, *panel.RATIOS, *panel.PROXIES]
 
 def _fitted_panel(spark, d):
     """The panel with the true components of the filings."""
-    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.embedding_facts(spark, d).drop("company_key", "fact_embedding_key"), dims.dim_company(spark, d), SECTORS, bucket=F.year("_at"))
+    return panel.feature_panel(price_features(spark, d), fundamentals_ttm(spark, d), sentiment_grid(spark, d), fixtures.embedding_facts(spark, d).drop("company_key", "fact_embedding_key"), dims.dim_company(spark, d), SECTORS)
 
 
 def _flags():
