@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
+from skeinflow.llm import bpe, collocations, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality": quality.op9_quality,
         "op10_html_text": html_text.op10_html_text,
+        "op11_collocations": collocations.op11_collocations,
         "op12_simhash": simhash.op12_simhash,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
         "op10_html_text": html_text.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
