@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import bpe, collocations, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
+from skeinflow.llm import bpe, collocations, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, simhash, substring_dedup, token_counts, vector_codes
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_html_text": html_text.op10_html_text,
         "op11_collocations": collocations.op11_collocations,
         "op12_simhash": simhash.op12_simhash,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontaminate": decontaminate.OP8_SQL,
         "op10_html_text": html_text.OP10_SQL,
         "op11_collocations": collocations.OP11_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }
