@@ -1,10 +1,12 @@
 """Substring dedup by hashing of lines and the sentences in them.
 
-A unit is a line, cut further after a sentence's end, so that a passage pasted into a longer line is still found by the
-sentences inside it. Units are normalised to their words (runs of letters and digits, A-Z lower-cased) and hashed to 64
-bits. Digests are grouped globally; the unit of the least (identifier, offset) is kept. Neighbouring repeated units of a
-document form a span. Whole lines are removed at any length; the sentences of a line that isn't repeated as a whole only
-in spans of PIECE_WORDS words or more, so a stray short sentence stays in its line.
+Units are lines, and the sentences in them, so that a passage pasted into a longer line is still found. Units are
+normalised to their words (runs of letters and digits, A-Z lower-cased) and hashed to 64 bits, lines apart from
+sentences. Digests are grouped globally; the unit of the least (identifier, offset) is kept. Neighbouring repeated
+sentences of a document form a span, which goes if it has PIECE_WORDS words or more. Of a shorter one those lines go
+that occurred before as lines, so a line of sentences that only occurred here and there stays, and so does a stray short
+sentence in its line. A repeated line of PIECE_WORDS words or more is such a span already, so only shorter lines are
+hashed as lines.
 
 Repeats within a map task are settled there, so of a hot line one row per task is shuffled; what remains is sorted by
 digest and compared with its neighbours in a streaming pass. Offsets count code points of the original text.
@@ -22,42 +24,53 @@ from pyspark.sql import functions as F
 from skeinflow.llm.hashing import ALNUM, batches_of, mix, words
 from skeinflow.llm.staging import bound_batches
 
-#: Least words of a removed span that begins or ends within a line.
+#: Least words of a removed span that isn't made of repeated lines.
 PIECE_WORDS = 12
 #: Units combined at once in a map task.
 CHUNK = 1 << 18
 
-UNITS = ["digest", "doc", "row", "at", "start", "end", "words", "edges", "repeated"]
-#: Bits of edges: the unit is the first, the last of its line.
-FIRST, LAST = 1, 2
+UNITS = ["digest", "doc", "row", "at", "start", "end", "words", "kind", "repeated"]
+#: What a unit is: a sentence, or a line under PIECE_WORDS words.
+SENTENCE, LINE = 0, 1
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?")]] = True
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first byte, end, words, edges) of the units of a buffer that hold words, in order."""
+def _digests(h: np.ndarray, a: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    """Digests of the units of ``n`` words from the ``a``-th on; the words' order counts, and so does the kind of unit."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.add.reduceat(mix(h[at] + mix(place.astype(np.uint64))), np.cumsum(n) - n) + (n + (kind << 32)).astype(np.uint64))
+
+
+def units(raw: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The sentences of a buffer that hold words, in order, as (digest, first byte, end, words), and its lines under
+    PIECE_WORDS words as (digest, number of the first sentence, end, words)."""
     h, begins = words(raw, ALNUM)
     if not len(h):
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3), (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     after = _WHITE[raw[1:]] & _ENDS[raw[:-1]]
     cuts = np.union1d(np.flatnonzero(raw == 10) + 1, np.flatnonzero(after) + 1)
     cuts = np.concatenate(([0], cuts[(cuts > 0) & (cuts < len(raw))], [len(raw)]))
     first = np.searchsorted(begins, cuts)
     held = np.flatnonzero(np.diff(first) > 0)
     a, n = first[held], np.diff(first)[held]
-    # the words' order counts: each is mixed with its place in the unit
-    place = np.arange(len(h)) - np.repeat(a, n)
-    digest = mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64))), a) + n.astype(np.uint64))
     # a unit begins at its first character that is not white space
     start = cuts[held]
     black = np.flatnonzero(~_WHITE[raw])
     start = black[np.searchsorted(black, start)]
     end = black[np.searchsorted(black, cuts[held + 1]) - 1] + 1
     line = np.searchsorted(np.flatnonzero(raw == 10), start)
-    new = np.concatenate(([True], line[1:] != line[:-1], [True]))
-    return digest, start, end, n, FIRST * new[:-1] + LAST * new[1:]
+    heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    total = np.add.reduceat(n, heads)
+    tails = np.concatenate((heads[1:], [len(a)])) - 1
+    short = total < PIECE_WORDS
+    lines = _digests(h, a[heads[short]], total[short], LINE), heads[short], end[tails[short]], total[short]
+    return (_digests(h, a, n, SENTENCE), start, end, n), lines
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -72,13 +85,13 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = 0
 
     def combine() -> pa.RecordBatch:
-        digest, doc, row, at, start, end, n, edges = (np.concatenate(c) for c in zip(*held, strict=True))
+        digest, doc, row, at, start, end, n, kind = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((at, row, doc, digest))
         fresh = _changes(digest[order], doc[order], row[order], at[order])
         order = order[fresh]
         digest = digest[order]
         repeated = np.concatenate(([False], digest[1:] == digest[:-1]))
-        columns = [digest.view(np.int64), *(c[order] for c in (doc, row, at, start, end, n, edges)), repeated]
+        columns = [digest.view(np.int64), *(c[order] for c in (doc, row, at, start, end, n, kind)), repeated]
         # settled rows need no meeting place: they are dealt out by their document instead
         columns[0] = np.where(repeated, mix(columns[1].view(np.uint64)).view(np.int64), columns[0])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=UNITS)
@@ -88,15 +101,17 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x or b"" for x in batch.column(2).to_pylist()]
         for a, b in batches_of(texts):
             raw = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
-            digest, start, end, n, edges = units(raw)
+            (digest, start, end, n), (line, head, line_end, line_n) = units(raw)
             bounds = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
             owner = np.searchsorted(bounds, start, "right") - 1
             chars = np.cumsum((raw & 0xC0) != 0x80) if len(raw) else np.zeros(0, np.int64)
             before = lambda at: np.where(at > 0, chars[np.maximum(at, 1) - 1], 0) if len(chars) else at  # noqa: B023, E731
             base = before(bounds[owner])
             number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            held.append([digest, docs[a + owner], rows[a + owner], number, before(start) - base, before(end) - base, n, edges])
-            count += len(digest)
+            held.append([digest, docs[a + owner], rows[a + owner], number, before(start) - base, before(end) - base, n, np.full(len(n), SENTENCE)])
+            owner, base = owner[head], base[head]
+            held.append([line, docs[a + owner], rows[a + owner], number[head], before(start[head]) - base, before(line_end) - base, line_n, np.full(len(line), LINE)])
+            count += len(digest) + len(line)
             if count >= CHUNK:
                 yield combine()
                 held, count = [], 0
@@ -120,26 +135,34 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 8)], names=UNITS[1:8]).filter(pa.array(marked))
 
 
-def spans_of(run: list[tuple], min_words: int | None) -> list[tuple]:
-    """The (start, end) to remove of a run of neighbouring repeated units (start, end, words, edges)."""
-    enough = sum(u[2] for u in run) >= (PIECE_WORDS if min_words is None else min_words)
-    if not enough and min_words is None:  # only its whole lines
-        begin = next((i for i, u in enumerate(run) if u[3] & FIRST), len(run))
-        end = next((i for i in range(len(run), 0, -1) if run[i - 1][3] & LAST), 0)
-        run = run[begin:end]
-        enough = bool(run)
-    return [(run[0][0], run[-1][1])] if enough else []
+def spans_of(run: list[tuple], lines: dict[int, int], min_words: int | None) -> list[tuple]:
+    """The (start, end) to remove of a run of neighbouring repeated sentences (start, end, words), where ``lines`` has the
+    end of each short repeated line by its start."""
+    if sum(u[2] for u in run) >= (PIECE_WORDS if min_words is None else min_words):
+        return [(run[0][0], run[-1][1])]
+    out: list[tuple] = []
+    until = joined = None  # the end of the line that goes, and of the one before it
+    for start, end, _ in run if min_words is None else ():
+        if until is None and start in lines:
+            until = lines[start]
+            if joined is None:
+                out.append((start, until))
+            else:
+                out[-1] = (out[-1][0], until)
+        joined = until if until == end else None
+        until = None if until == end else until
+    return out
 
 
 def _spans(min_words: int | None):
     """Repeated units in order of (doc, row, at) to one row per document row: its spans, joined where neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, runs = None, None, []
+        key, last, runs, lines = None, None, [], {}
         out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
-            spans = [{"start": a, "end": b} for units in runs for a, b in spans_of(units, min_words)]
+            spans = [{"start": a, "end": b} for units in runs for a, b in spans_of(units, lines, min_words)]
             if spans:
                 for column, value in zip(out, (*key, spans), strict=True):
                     column.append(value)
@@ -152,14 +175,17 @@ def _spans(min_words: int | None):
             return batch
 
         for batch in batches:
-            for doc, row, at, *unit in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for doc, row, at, start, end, n, kind in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (doc, row) != key:
                     close()
-                    key, last, runs = (doc, row), None, []
+                    key, last, runs, lines = (doc, row), None, [], {}
+                if kind == LINE:
+                    lines[start] = end
+                    continue
                 if last == at - 1:
-                    runs[-1].append(unit)
+                    runs[-1].append((start, end, n))
                 elif last != at:
-                    runs.append([unit])
+                    runs.append([(start, end, n)])
                 last = at
             yield flush()
         close()
@@ -207,16 +233,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The earliest occurrence is the one of the least identifier, then of the least text hash and offset; a null
     identifier ranks as the least integer. Null, empty and blank texts have no units and come back empty or as they
-    are. ``min_words``, if given, is the least number of words of every span, of lines and sentences alike. Rows with
+    are. A line goes that occurred before as a line, whatever its length, and so do neighbouring repeated sentences of
+    PIECE_WORDS words or more. ``min_words``, if given, is the least number of words of every span instead, of lines and
+    sentences alike; at 1 every repeated sentence goes. Rows with
     the same identifier and text count as one and share the result. Identifiers are integers; other columns are ignored;
     an empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     doc, row = F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("row")
-    found = df.select(doc, row, text.cast("binary").alias("body")).mapInArrow(_unit_rows, "digest long, doc long, row long, at long, start long, end long, words long, edges long, repeated boolean")
+    found = df.select(doc, row, text.cast("binary").alias("body")).mapInArrow(_unit_rows, "digest long, doc long, row long, at long, start long, end long, words long, kind long, repeated boolean")
     settled = found.repartition("digest").sortWithinPartitions("digest", "doc", "row", "at")
-    repeats = settled.mapInArrow(_repeats, "doc long, row long, at long, start long, end long, words long, edges long")
+    repeats = settled.mapInArrow(_repeats, "doc long, row long, at long, start long, end long, words long, kind long")
     placed = repeats.repartition("doc", "row").sortWithinPartitions("doc", "row", "at")
     spans = placed.mapInArrow(_spans(min_words), "doc long, row long, spans array<struct<start:bigint,end:bigint>>")
     texts = df.select(df[id_col].alias("doc_id"), text.alias("text"), doc, row)

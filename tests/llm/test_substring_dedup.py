@@ -7,7 +7,7 @@ from skeinflow.llm import substring_dedup as sd
 
 
 def brute(rows, min_words):
-    first, found = {}, {}
+    first, first_line, found = {}, {}, {}
     for doc, text in sorted(set((d, t or "") for d, t in rows), key=lambda r: r[0]):
         units = []
         for m in re.finditer(r"(?:[^\n.!?]|[.!?](?![ \t\n\x0b\x0c\r]))*(?:[.!?]|\n|\Z)[ \t\x0b\x0c\r\n]?", text):
@@ -23,7 +23,24 @@ def brute(rows, min_words):
             elif repeated:
                 runs.append((a, b, len(w)))
             before = repeated
-        found[doc] = [(a, b) for a, b, n in runs if n >= min_words]
+        gone = [(a, b) for a, b, n in runs if n >= (12 if min_words is None else min_words)]
+        lines = []
+        for m in re.finditer(r"[^\n]+", text):
+            w = tuple(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda x: x.group().lower(), m.group())))
+            if w and first_line.setdefault(w, (doc, m.start())) != (doc, m.start()):
+                lines.append(m.span())
+        if min_words is None:
+            # repeated lines outside the long spans, joined where no other sentence is between them
+            inside = lambda u, spans: any(a <= u[1] and u[2] <= b for a, b in spans)
+            before = False
+            for u in units:
+                now = inside(u, lines) and not inside(u, gone)
+                if now and before:
+                    gone[-1] = (gone[-1][0], u[2])
+                elif now:
+                    gone.append((u[1], u[2]))
+                before = now
+        found[doc] = sorted(gone)
     return found
 
 
@@ -31,6 +48,7 @@ def corpus():
     rng = random.Random(2)
     words = ["Alpha", "beta", "gamma", "délta", "x1", "e.g", "世界"]
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 20))) + rng.choice([".", "!", "", "?"]) for _ in range(60)]
+    lines += [". ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) for _ in range(20)]
     texts = []
     for _ in range(150):
         parts = [rng.choice(lines) if rng.random() < 0.5 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 15))) + "." for _ in range(rng.randint(1, 8))]
@@ -38,7 +56,7 @@ def corpus():
     return list(enumerate([*texts, None, "", " \n", "...", lines[0] * 50, lines[3].upper()]))
 
 
-@pytest.mark.parametrize(("min_words", "chunk"), [(1, 1 << 18), (12, 100)])
+@pytest.mark.parametrize(("min_words", "chunk"), [(1, 1 << 18), (12, 100), (None, 1 << 18), (None, 100)])
 def test_matches_brute_force(spark, monkeypatch, min_words, chunk):
     monkeypatch.setattr(sd, "CHUNK", chunk)
     rows = corpus()
@@ -87,6 +105,15 @@ def test_short_repeated_lines_go_and_short_sentences_in_a_line_stay(spark):
     assert got == {1: rows[0][1], 2: "Another text. Yes. Goes on.", 3: "Begins here. Yes.\nYes. Ends here.", 4: ""}
 
 
+def test_a_line_of_sentences_from_elsewhere_stays(spark):
+    rows = [(1, "Yes we can."), (2, "No you can not."), (3, "Yes we can. No you can not.\nother unique words"), (4, "No you can not. Yes we can."), (5, "yes we can; no you can not\nno you can not, yes we can!")]
+    got = {r.doc_id: r.text for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: rows[3][1], 5: rows[4][1]}
+    rows = [(1, "Yes. No."), (2, "Oh.\nYes. No.\n no! YES\nyes; no"), (3, "Yes. No.\nYes. No.\nNo. Yes.")]
+    got = {r.doc_id: r.text for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Yes. No.", 2: "Oh.\nno! YES\nyes; no", 3: ""}
+
+
 @pytest.mark.parametrize(("chunk", "parts"), [(1 << 18, 1), (1, 4)])
 def test_identical_rows_keep_their_text(spark, monkeypatch, chunk, parts):
     monkeypatch.setattr(sd, "CHUNK", chunk)
