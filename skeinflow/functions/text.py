@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.functions.bytepairs import encode, encoder
+
 #: What counts as an e-mail address and as a phone number, and their marks.
 EMAIL, EMAIL_MARK = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[EMAIL]"
 PHONE, PHONE_MARK = r"\+?1?[\s.\-]?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}", "[PHONE]"
 #: Tokens of a chunk, tokens shared with the next, fewest tokens of a chunk.
 CHUNK, OVERLAP, LEAST = 500, 50, 50
+#: Bytes of an Arrow batch of texts; one longer text still travels whole.
+BATCH_BYTES = 4 << 20
 #: Words of the offline scorer.
 POSITIVE = (
     "achieve", "advance", "beat", "benefit", "best", "better", "boost", "exceed", "favorable", "gain", "gains", "good", "grow", "growth", "improve", "improved", "improvement", "increase", "increased", "innovative",
@@ -28,14 +30,6 @@ NEGATIVE = (
 BLANK = "[ \\t\\n\\r]+"
 
 
-@cache
-def _encoding(ranks_file: bytes, pattern: str):
-    import tiktoken
-
-    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks_file.splitlines() if line)}
-    return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def mask_pii(text: Column) -> Column:
     """E-mail addresses, then phone numbers, replaced by their marks; null becomes empty."""
     masked = F.regexp_replace(F.coalesce(text, F.lit("")), EMAIL, EMAIL_MARK)
@@ -63,18 +57,20 @@ def token_chunks(df: DataFrame, text_col: str, ranks_file: bytes, pattern: str,
     """``chunks`` by byte-pair tokens of a local rank file: chunk_index, n_tokens, body_chunk.
 
     A chunk's text is its tokens' bytes; a character cut at a chunk's edge becomes the replacement character. Null,
-    empty and blank texts have no chunk.
+    empty and blank texts have no chunk. Texts may be of any length; chunks leave a task as rows of their own.
     """
-    shared = df.sparkSession.sparkContext.broadcast(ranks_file)
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    shared = spark.sparkContext.broadcast(ranks_file)
     step = size - overlap
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = _encoding(shared.value, pattern)
+        enc = encoder(shared.value, pattern)
         kind = pa.list_(pa.struct([("n_tokens", pa.int64()), ("body_chunk", pa.string())]))
         for texts in batches:
             rows = []
             for text in texts.to_pylist():
-                ids = enc.encode_ordinary(text) if text and text.strip() else []
+                ids = encode(enc, text) if text and text.strip() else []
                 parts = [ids[at : at + size] for at in range(0, max(0, len(ids) - least + 1), step)]
                 rows.append([{"n_tokens": len(p), "body_chunk": enc.decode(p)} for p in parts])
             yield pa.array(rows, kind)

@@ -145,3 +145,23 @@ def test_token_chunks(spark):
                 break
             want.setdefault(i, []).append((at // 450, len(part), enc.decode(part)))
     assert got == want and set(got) >= {1, 6}
+
+
+def test_token_chunks_of_very_long_white_space(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    text = "x" + " " * 1_000_000 + "y"
+    rows = token_chunks(spark.createDataFrame([(1, text)], "i int, t string"), "t", ranks, public_tokenizers.PATTERN, size=500, overlap=0, least=1).orderBy("chunk_index").collect()
+    assert "".join(r.body_chunk for r in rows) == text
+
+
+def test_other_patterns_go_to_the_library_whole():
+    from skeinflow.functions import bytepairs
+
+    tokens = [bytes([i]) for i in range(256)] + [b"!\n", b"  "]
+    ranks = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    enc = bytepairs.encoder(ranks, pattern)
+    assert bytepairs.encode(enc, "!\n" * 40_000) == enc.encode_ordinary("!\n" * 40_000) == [256] * 40_000
+    ids = bytepairs.encode(enc, "x" + " " * 1_000_000 + "y")  # more than the library's engine matches
+    assert enc.decode_bytes(ids) == b"x" + b" " * 1_000_000 + b"y"
