@@ -2,71 +2,17 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.functions.bytepairs import encode, encoder
 from skeinflow.llm.staging import bound_batches
 
-#: Characters handed to the library at once; longer texts are cut at the next safe boundary.
-SPAN = 50_000
-#: How the splitting patterns end for which ``SAFE`` and ``WHITE_RUN`` hold; texts under other patterns are never cut.
-TAIL = r"\s+(?!\S)|\s+"
-#: Between these two characters such a pattern always ends a match: no alternative runs from a non-space into a space,
-#: or from a letter or digit into another class. Letters and digits are ASCII ones, since Unicode tables differ by library.
-SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])")
-#: Runs of white space that the library's pattern engine isn't asked to match, since its stack grows with them.
-WHITE_RUN = regex.compile(r"\s{1000,}")
-
-_encoders: dict[tuple[str, str], object] = {}
-
-
-def encoder(ranks_file: bytes, pattern: str):
-    """The encoding of a rank file's bytes, made once in each Python worker."""
-    import tiktoken
-
-    key = (hashlib.sha256(ranks_file).hexdigest(), pattern)
-    if key not in _encoders:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks_file.splitlines() if line)}
-        _encoders[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[key]
-
-
-def spans(text: str, span: int = SPAN) -> Iterator[str]:
-    """Cuts a text at safe boundaries; a longer stretch without one stays whole."""
-    at = 0
-    while len(text) - at > span:
-        cut = SAFE.search(text, at + span)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
-
-
-def _encode_span(enc, text: str) -> list[int]:
-    """Ids of a text with white-space runs of any length: before a non-space such a run is one match of all but its last
-    character, at the text's end one of all of it, so these matches are handed to the library by themselves."""
-    ids: list[int] = []
-    at = 0
-    for run in WHITE_RUN.finditer(text):
-        end = run.end() - (run.end() < len(text))
-        ids += enc.encode_ordinary(text[at : run.start()])
-        ids += enc._encode_single_piece(text[run.start() : end])
-        at = end
-    return ids + enc.encode_ordinary(text[at:])
-
-
-def encode(enc, text: str, span: int = SPAN) -> list[int]:
-    """Ids of a text without special tokens."""
-    if len(text) <= span or not enc._pat_str.endswith(TAIL):
-        return enc.encode_ordinary(text)
-    return [token for part in spans(text, span) for token in _encode_span(enc, part)]
+__all__ = ["encode", "encode_documents", "encoder", "op4_byte_bpe", "read_ranks"]
 
 
 def read_ranks(path: str) -> bytes:
@@ -74,8 +20,9 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """row_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` ids (array<int>) and decoded (binary).
+def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool | None = None) -> DataFrame:
+    """row_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` ids (array<int>) and decoded (binary), which
+    ``keep_decoded`` decides by itself.
 
     A null text counts as empty and has no tokens. Decoding joins the tokens' raw bytes, so it restores every text's
     UTF-8. Rows are independent: repeated rows give repeated results, other columns are ignored, and an empty table
@@ -85,7 +32,8 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(ranks_file)
     kind = df.schema[id_col].dataType
-    out = f"row_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep_ids else "")
+    keep_decoded = keep_ids if keep_decoded is None else keep_decoded
+    out = f"row_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, pattern)
@@ -100,12 +48,16 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
                 decoded_hashes.append(hashlib.sha256(raw).hexdigest())
                 if keep_ids:
                     all_ids.append(ids)
+                if keep_decoded:
                     all_bytes.append(raw)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded_hashes, pa.string())]
             names = ["row_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_bytes, pa.binary())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_decoded:
+                columns.append(pa.array(all_bytes, pa.binary()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = df.select(df[id_col].alias("row_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))

@@ -198,8 +198,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def learnable(id_column):
-    """True for the rows whose labels may be learnt: crc32 of the identifier as text, modulo 3, is not 1."""
-    return F.crc32(id_column.cast("string").cast("binary")) % 3 != 1
+    """True for the rows whose labels may be learnt: crc32 of the identifier as text, modulo 3, is not 1. A row without an
+    identifier can't be found among the labels, so it is none of them: it is held out."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

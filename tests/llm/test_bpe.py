@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -36,6 +37,13 @@ def test_other_patterns_are_never_cut():
     assert encode(enc, "ab1 " * 100, 3) == enc.encode_ordinary("ab1 " * 100)
 
 
+def test_a_pattern_that_only_ends_alike_is_not_cut():
+    tokens = [bytes([i]) for i in range(256)] + [b"!\n"]
+    ranks = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    enc = encoder(ranks, r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+")
+    assert encode(enc, "!\n" * 40_000) == [256] * 40_000
+
+
 def test_letters_of_newer_tables_are_not_cut_from_others():
     text = "".join(chr(c) for c in range(0x1E000, 0x32400)) * 2 + "x"
     assert encode(ENC, text, 50) == ENC.encode_ordinary(text)
@@ -52,6 +60,7 @@ def test_documents(spark):
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and bytes(got[i].decoded) == (text or "").encode()
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert encode_documents(df, RANKS, public_tokenizers.PATTERN, keep_decoded=False).columns[-1] == "ids"
     assert encode_documents(df.filter("false"), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
