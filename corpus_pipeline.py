@@ -18,12 +18,14 @@ from skeinflow.llm.decontaminate import contaminated
 from skeinflow.llm.exact_dedup import exact_dedup
 from skeinflow.llm.ngram_join import jaccard_join, text_hash
 from skeinflow.llm.quality import learnable, score, train
-from skeinflow.llm.staging import stage_path
+from skeinflow.llm.staging import stage, stage_path
 
 #: A document goes if its score is below this.
 LEAST_QUALITY = 0.5
 #: Near copies: Jaccard similarity of five-word shingles of at least SIMILAR / 100.
 WORDS, SIMILAR = 5, 80
+#: Keys of rows that go, or repeat, which are broadcast (about 100 bytes each); beyond it rows meet them by shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -54,23 +56,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, score_col=name).filter(F.col(name) >= LEAST_QUALITY).select(*_own(docs))
 
 
+def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose ``key`` isn't in ``gone`` (distinct): a few go by broadcast, more by shuffle."""
+    gone = stage(gone, "pipeline-gone")
+    return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest identifier."""
-    key = _fresh(docs, "key")
-    kept = exact_dedup(docs, keep="smallest").filter("kept").select(_key(F.col("row_id"), F.col("text_sha256")).alias(key))
-    found = docs.withColumn(key, _key(docs["doc_id"], _digest(docs))).join(kept, key, "left_semi")
+    key, copies = _fresh(docs, "key"), "copies"
+    groups = exact_dedup(docs, keep="smallest").groupBy(_key(F.col("row_id"), F.col("text_sha256")).alias(key))
+    groups = stage(groups.agg(F.max("kept").alias("kept"), F.count("*").alias(copies)).filter(f"NOT kept OR {copies} > 1"), "pipeline-exact")
+    found = _without(docs.withColumn(key, _key(docs["doc_id"], _digest(docs))), key, groups.filter("NOT kept").select(key))
+    # rows that agree in identifier and text meet, the others stay where they are
+    again = groups.filter("kept").select(key)
+    single = _without(found, key, again).select(*_own(docs))
     others = [c for c, name in zip(_own(docs), docs.columns, strict=True) if name not in ("doc_id", "text")]
     order = F.to_json(F.struct(F.lit(0).alias("_"), *others))
-    one = found.select(F.col(key), F.struct(*_own(docs)).alias("row"), order.alias("order")).groupBy(key).agg(F.min_by("row", "order").alias("row"))
-    return one.select("row.*")
+    repeated = found.join(F.broadcast(again) if again.count() <= BROADCAST_KEYS else again, key, "left_semi")
+    one = repeated.select(F.col(key), F.struct(*_own(docs)).alias("row"), order.alias("order")).groupBy(key).agg(F.min_by("row", "order").alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier."""
     key = _fresh(docs, "key")
     groups = jaccard_join(docs, k=WORDS, num=SIMILAR, den=100, with_hash=True)
-    kept = groups.filter("doc_id <=> component_id AND text_hash = component_hash").select(_key(F.col("doc_id"), F.col("text_hash")).alias(key)).distinct()
-    return docs.withColumn(key, _key(docs["doc_id"], text_hash(docs["text"]))).join(kept, key, "left_semi").select(*_own(docs))
+    gone = groups.filter("NOT (doc_id <=> component_id AND text_hash = component_hash)").select(_key(F.col("doc_id"), F.col("text_hash")).alias(key)).distinct()
+    return _without(docs.withColumn(key, _key(docs["doc_id"], text_hash(docs["text"]))), key, gone).select(*_own(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,13 +92,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = _fresh(docs, "key")
     keyed = docs.withColumn(key, _key(docs["doc_id"], _digest(docs)))
     found = contaminated(keyed, items, id_col=key).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(found, key, "left_anti").select(*_own(docs))
+    return _without(keyed, key, found).select(*_own(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and the decoded bytes."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    coded = encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_decoded=False)
     return coded.select(F.col("row_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
