@@ -19,6 +19,10 @@ from skeinflow.operators.vectors import cosine_topk, mean_pool
 from skeinflow.plans import dims, evaluation, fixtures, fundamentals, panel, prices, reports, retrieval, sentiment
 from skeinflow.plans.oracle import lexicon, mask, sql
 from skeinflow.session import table
+from skeinflow.sources.landing import IngestLog
+from skeinflow.sources.shared import stage, stage_path
+from skeinflow.streaming.ingest import drain, file_stream
+from skeinflow.streaming.keyed import KeyedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -693,9 +697,6 @@ def attribution_topn(spark, d):
 
 @query(f"SELECT doc_id, md5(b) AS body_md5 FROM (SELECT *, {mask('text')} AS b FROM documents)")
 def stream_masked(spark, d):
-    from skeinflow.sources.shared import stage_path
-    from skeinflow.streaming.ingest import drain, file_stream
-
     schema = table(spark, d, "documents").schema
     rows = file_stream(spark, f"{d}/documents.parquet*", schema)
     out, mark = stage_path(spark, "masked"), stage_path(spark, "masked-offsets")
@@ -705,13 +706,51 @@ def stream_masked(spark, d):
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, CAST(max(ts) AS VARCHAR) AS at FROM events GROUP BY ALL")
 def stream_scd1(spark, d):
-    from skeinflow.sources.shared import stage_path
-    from skeinflow.streaming.ingest import Snapshot, file_stream
-
     rows = file_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, as_text=False)
-    snapshot = Snapshot(spark, stage_path(spark, "scd1"), ["user_id", "event_type"], ["ts", "event_id"])
-    snapshot.follow(rows.select("user_id", "event_type", "event_id", "ts"), stage_path(spark, "scd1-offsets"))
-    return snapshot.current().select("user_id", "event_type", "event_id", F.col("ts").cast("string").alias("at"))
+    current = KeyedTable(spark, stage_path(spark, "scd1"), "user_id long, event_type string, event_id long, ts timestamp", ["user_id", "event_type"], ["ts", "event_id"])
+    current.follow(rows.select("user_id", "event_type", "event_id", "ts"), stage_path(spark, "scd1-offsets"))
+    return current.current().select("user_id", "event_type", "event_id", F.col("ts").cast("string").alias("at"))
+
+
+@query("""
+    SELECT user_id, event_id, event_type, CAST(ts AS VARCHAR) AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
+def stream_scd1_late(spark, d):
+    """Changes that come out of order in several batches, where an error takes its user out; the last batch comes twice."""
+    landed, mark = stage_path(spark, "late"), stage_path(spark, "late-offsets")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    current = KeyedTable(spark, stage_path(spark, "late-keys"), events.schema, ["user_id"], ["ts", "event_id"], deleted="event_type = 'error'")
+    for part in range(3):
+        own = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+        own.write.mode("append").parquet(landed)
+        current.follow(spark.readStream.schema(events.schema).parquet(landed), mark)
+    current.apply(own, 2)
+    return current.current().select("user_id", "event_id", "event_type", F.col("ts").cast("string").alias("at"))
+
+
+# --- committed tables
+
+
+@query("SELECT 'orders' AS source, CAST(year(o_orderdate) AS VARCHAR) AS window_key, count(*) AS row_count FROM orders GROUP BY ALL")
+def ingest_log(spark, d):
+    """Orders land year by year, the first of them half at first; the log has a row for each year."""
+    orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    root, log = stage_path(spark, "landed"), IngestLog(spark, stage_path(spark, "log"))
+    years = sorted(r.year for r in orders.select("year").distinct().collect())
+    log.land(orders.filter((F.col("year") == years[0]) & (F.col("o_orderkey") % 2 == 0)), f"{root}/{years[0]}", "orders", None, str(years[0]))
+    for year in years:
+        log.land(orders.filter(F.col("year") == year), f"{root}/{year}", "orders", None, str(year))
+    return log.read().select("source", "window_key", "row_count")
+
+
+@query("SELECT model_rung, trade_date, symbol, prob_up, predicted_class FROM preds")
+def kept_predictions(spark, d):
+    """Rungs kept one by one in a committed table, one of them again in place of what it had."""
+    rows = stage(_predictions(spark, d), "predictions")
+    path = stage_path(spark, "kept")
+    evaluation.keep_predictions(rows.filter("model_rung = 1").withColumn("prob_up", F.lit(0.5)), path)
+    for rung in (0, 1, 2):
+        kept = evaluation.keep_predictions(rows.filter(F.col("model_rung") == rung), path)
+    return evaluation.labelled(kept, rows.select("date_key", "company_key", "symbol", "y_5d_up").distinct()).select("model_rung", "trade_date", "symbol", "prob_up", "predicted_class")
 
 
 # --- models (approximations of models that aren't available offline; no SQL)

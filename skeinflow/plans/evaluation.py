@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions.keys import date_key
 from skeinflow.operators.baskets import compounded, every_nth, top_k, turnover
 from skeinflow.operators.metrics import auc, signed_rank_test, wilcoxon
+from skeinflow.sources.versions import VersionedTable
 
 #: Names of a basket, days between rebalances, cost of a full turnover in basis points.
 TOP, EVERY, COST = 5, 5, 5
@@ -41,13 +42,14 @@ PREDICTIONS = "date_key string, company_key string, trade_date date, model_rung
 
 
 def keep_predictions(df: DataFrame, path: str) -> DataFrame:
-    """Replaces the rungs that ``df`` holds in the table of predictions and returns the table."""
-    from skeinflow.sources.landing import replace_slice
+    """Replaces the rungs that ``df`` holds in the committed table of predictions and returns the table.
 
-    fields = [p.split() for p in PREDICTIONS.split(", ")]
-    rows = df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast({"long": "bigint"}.get(t, t)).alias(n) for n, t in fields])
-    replace_slice(rows, path, "model_rung")
-    return df.sparkSession.read.schema(PREDICTIONS).parquet(path)
+    Readers see a rung's old predictions or all of its new ones; of two runs of one rung at a time the second fails.
+    """
+    table = VersionedTable(df.sparkSession, path, PREDICTIONS, by="model_rung")
+    base = table.state()
+    table.replace(df.select("*", *[F.lit(None).alias(n) for n in table.schema.names if n not in df.columns]), base)
+    return table.read()
 
 
 def labelled(predictions: DataFrame, panel: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions.keys import article_id, sanitised
 from skeinflow.operators.upsert import upsert
+from skeinflow.sources.versions import VersionedTable
 
 
 def backfill_windows(spark: SparkSession, name: str, first: date, last: date, step: int) -> DataFrame:
@@ -192,5 +193,25 @@ def land_and_log(df: DataFrame, path: str, log: DataFrame | None, source: str, s
     return log_ingest(log, row) if log is not None else row
 
 
+class IngestLog:
+    """The audit log as a committed table: one row per (source, symbol, window), the latest landing's.
+
+    A landing is logged after its files are there; a writer that dies in between leaves the log as it was, and of two
+    that log at the same time the second goes on from the first one's version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.table = VersionedTable(spark, path, AUDIT)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
+
+    def add(self, row: DataFrame) -> None:
+        self.table.update(lambda log: log_ingest(log, row))
+
+    def land(self, df: DataFrame, path: str, source: str, symbol: str | None, window_key: str, land=land_parquet) -> None:
+        self.add(land_and_log(df, path, None, source, symbol, window_key, land))
+
+
 def recent(df: DataFrame, day: str, today: date, months: int) -> DataFrame:
     return df.filter(F.col(day) >= F.lit(today - timedelta(30 * months)))

@@ -1,4 +1,4 @@
-"""Incremental ingestion with Structured Streaming: file sources, stateless transforms, and keyed snapshots."""
+"""Incremental ingestion with Structured Streaming: file sources and stateless transforms (``keyed`` has tables of changes)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skeinflow.operators.quality import keep_valid
-from skeinflow.operators.upsert import last_wins, upsert
-from skeinflow.sources.shared import committed, exists, remove
+from skeinflow.sources.shared import exists, remove
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", as_text: bool = True, **options: str) -> DataFrame:
@@ -68,35 +67,6 @@ def full_refresh(spark: SparkSession, *paths: str) -> None:
         remove(spark, path)
 
 
-class Snapshot:
-    """The current row of each key (SCD type 1), in one folder per version.
-
-    A batch makes the version of its number from the one before, so a batch that is replayed writes the same version
-    again; readers take the last finished one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], sequence: list[str]) -> None:
-        self.spark, self.path, self.keys, self.sequence = spark, path.rstrip("/"), keys, sequence
-
-    def _versions(self) -> list[int]:
-        return sorted(int(n) for n in committed(self.spark, self.path))
-
-    def current(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/{known[-1]}") if known else None
-
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        base = self.current(before=batch_id)
-        rows = last_wins(changes, self.keys, self.sequence)
-        (upsert(base, rows, self.keys, self.sequence) if base is not None else rows).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        for old in self._versions():
-            if old < batch_id - 1:
-                remove(self.spark, f"{self.path}/{old}")
-
-    def follow(self, stream: DataFrame, checkpoint: str) -> None:
-        stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def incremental(spark: SparkSession, rows: DataFrame, done_path: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Applies ``work`` to the rows that ``done_path`` lacks, appends the result, and returns everything done."""
     from skeinflow.sources.landing import new_rows

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skeinflow.operators.upsert import last_wins
-from skeinflow.streaming.ingest import Snapshot, drain, drain_watched, file_stream, full_refresh, incremental, json_documents, text_documents
+from skeinflow.streaming.ingest import drain, drain_watched, file_stream, full_refresh, incremental, json_documents, text_documents
 
 SCHEMA = "k long, seq long, v string"
 
@@ -23,22 +22,6 @@ def test_new_files_only(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
-def test_snapshot_follows_and_replays(spark, tmp_path):
-    src, path, mark = (str(tmp_path / x) for x in ("src", "snap", "mark"))
-    rows = [(1, 1, "a"), (1, 3, "c"), (2, 1, "x")]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(src)
-    snap = Snapshot(spark, path, ["k"], ["seq"])
-    follow = lambda: snap.follow(spark.readStream.schema(SCHEMA).parquet(src), mark)
-    follow()
-    more = [(1, 2, "late"), (2, 2, "y"), (3, 1, "n")]
-    spark.createDataFrame(more, SCHEMA).write.mode("append").parquet(src)
-    follow()
-    want = sorted(map(tuple, last_wins(spark.createDataFrame(rows + more, SCHEMA), ["k"], ["seq"]).collect()))
-    assert sorted(map(tuple, snap.current().collect())) == want
-    snap.apply(spark.createDataFrame(more, SCHEMA), 1)
-    assert sorted(map(tuple, snap.current().collect())) == want
-
-
 def test_incremental_work(spark, tmp_path):
     done = str(tmp_path / "done")
     work = lambda df: df.withColumn("score", F.length("v"))
