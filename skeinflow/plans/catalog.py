@@ -394,7 +394,7 @@ def _questions(spark, d):
     i = F.col("item_id")
     symbol = F.when(i % 4 != 0, F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (i % 4).cast("int")))
     day = F.when(i % 5 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (i % 40 * 50).cast("int")))
-    return table(spark, d, "benchmark").select(i.alias("query_id"), F.substring("text", 1, 300).alias("question"), symbol.alias("symbol"), day.alias("as_of_date"), F.when(i % 3 == 0, F.array(F.lit("8K"))).alias("source_types"), (i % 3).alias("rung"))
+    return table(spark, d, "benchmark").select(i.alias("query_id"), F.col("text").alias("question"), symbol.alias("symbol"), day.alias("as_of_date"), F.when(i % 3 == 0, F.array(F.lit("8K"))).alias("source_types"), (i % 3).alias("rung"))
 
 
 def _chunks(spark, d):
@@ -427,13 +427,13 @@ def question_eval(spark, d):
 #: SQL of the answers: each question with its cited chunks and the prediction of its symbol, day and rung.
 _ANSWERED = """
     SELECT q.query_id, q.rung, n, coalesce(ids, '') AS ids, question, cites, quotes, chunks, coalesce(q.symbol, 'any company') AS who, coalesce(q.as_of_date::VARCHAR, 'any day') AS day,
-      CASE WHEN coalesce(p.predicted_class, 0) = 1 THEN 'UP' ELSE 'DOWN' END AS way, format('{:.2f}', coalesce(p.prob_up, 0.5::DOUBLE)) AS chance
+      CASE WHEN coalesce(p.predicted_class, 0) = 1 THEN 'UP' ELSE 'DOWN' END AS way, format('{:.2f}', coalesce(p.prob_up, 0.5::DOUBLE)) AS chance, coalesce(block, '  (no attribution available)') AS block
     FROM questions q LEFT JOIN (
       SELECT query_id, count(*) AS n, string_agg(item_id, ',' ORDER BY rank) AS ids, string_agg('[' || item_id || ']', ', ' ORDER BY rank) FILTER (rank <= 3) AS cites,
         string_agg('[' || item_id || '] sim=' || format('{:.3f}', similarity) || ': ' || substr(body_chunk, 1, 280) || '...', chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3) AS quotes,
         string_agg('[' || item_id || ']: ' || substr(body_chunk, 1, 600), chr(10) || chr(10) ORDER BY rank) AS chunks
       FROM retrieved JOIN all_chunks ON chunk_key = item_id GROUP BY query_id) f USING (query_id)
-    LEFT JOIN (SELECT ['de', 'en', 'es', 'fr'][CAST(n_nationkey % 4 AS BIGINT) + 1] AS symbol, trade_date, model_rung, prob_up, predicted_class FROM preds JOIN nation ON n_name = preds.symbol WHERE n_nationkey < 4) p
+    LEFT JOIN (SELECT ['de', 'en', 'es', 'fr'][CAST(n_nationkey % 4 AS BIGINT) + 1] AS symbol, trade_date, model_rung, prob_up, predicted_class, block FROM preds LEFT JOIN attributed USING (symbol, trade_date, model_rung) JOIN nation ON n_name = preds.symbol WHERE n_nationkey < 4) p
       ON p.symbol IS NOT DISTINCT FROM q.symbol AND p.trade_date = q.as_of_date AND p.model_rung = q.rung"""
 _FALLBACK = "'The rung-' || rung || ' model predicts ' || who || ' ' || way || ' on ' || day || ' with probability ' || chance || '. For ' || chr(39) || question || chr(39) || ' the nearest passages are ' || cites || '. Excerpts:' || chr(10) || chr(10) || quotes"
 _TASK_TEXT = retrieval.TASK_TEXT.replace("'", "''")
@@ -442,7 +442,8 @@ _TASK_TEXT = retrieval.TASK_TEXT.replace("'", "''")
 def _answers(spark, d):
     asked = _questions(spark, d)
     symbols = table(spark, d, "nation").filter("n_nationkey < 4").select(F.col("n_name").alias("symbol"), F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("n_nationkey") % 4).cast("int")).alias("lang"))
-    known = _predictions(spark, d).join(symbols, "symbol").select(F.col("lang").alias("symbol"), "trade_date", "model_rung", "prob_up", "predicted_class", F.lit(None).cast("string").alias("attributions"))
+    known = evaluation.logistic_predictions(feature_panel(spark, d), attributions=True).join(F.broadcast(symbols), "symbol")
+    known = known.select(F.col("lang").alias("symbol"), "trade_date", "model_rung", "prob_up", "predicted_class", "attributions")
     return retrieval.answers(asked, _chunks(spark, d), known, 5)
 
 
@@ -459,7 +460,7 @@ def rag_fallback_text(spark, d):
 
 
 @query(f"""
-    SELECT query_id, 'Explain a model' || chr(39) || 's prediction: ' || who || ' goes ' || way || ' on ' || day || ' with probability ' || chance || '.' || chr(10) || chr(10) || 'Attributions:' || chr(10) || '  (no attribution available)' || chr(10) || chr(10)
+    SELECT query_id, 'Explain a model' || chr(39) || 's prediction: ' || who || ' goes ' || way || ' on ' || day || ' with probability ' || chance || '.' || chr(10) || chr(10) || 'Attributions:' || chr(10) || block || chr(10) || chr(10)
       || 'Chunks:' || chr(10) || chunks || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || '{_TASK_TEXT}' AS prompt
     FROM ({_ANSWERED}) WHERE n IS NOT NULL""")
 def rag_prompt(spark, d):

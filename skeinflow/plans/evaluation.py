@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.keys import date_key
@@ -15,12 +15,28 @@ TOP, EVERY, COST = 5, 5, 5
 DIGITS = 6
 
 
-def logistic_predictions(panel: DataFrame) -> DataFrame:
-    """A deterministic stand-in for fitted models: date_key, company_key, symbol, trade_date, model_rung, prob_up, predicted_class, y_5d_up."""
-    z = {0: F.col("log_ret_1d") * 0.5, 1: F.col("bb_z") * -0.3 + F.col("log_ret_1d") * 0.2, 2: F.col("bb_z") * -0.3 + F.col("finbert_news_mean_3d") * 2.0 + F.col("vol_20d") * 0.01}
-    rungs = F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("model_rung"), v.alias("z")) for r, v in z.items()]))
+#: The stand-in's weights for each rung.
+LOGIT = {0: {"log_ret_1d": 0.5}, 1: {"bb_z": -0.3, "log_ret_1d": 0.2}, 2: {"bb_z": -0.3, "finbert_news_mean_3d": 2.0, "vol_20d": 0.01}}
+
+
+def logistic_predictions(panel: DataFrame, attributions: bool = False) -> DataFrame:
+    """A deterministic stand-in for fitted models: date_key, company_key, symbol, trade_date, model_rung, prob_up, predicted_class, y_5d_up.
+
+    With ``attributions`` also their JSON: the terms whose sum is the prediction's logit, by feature.
+    """
+
+    def rung(number: int, weights: dict[str, float]) -> Column:
+        terms = {name: F.col(name) * F.lit(w) for name, w in weights.items()}
+        z = None
+        for term in terms.values():
+            z = term if z is None else z + term
+        told = [F.to_json(F.create_map(*[x for name, term in terms.items() for x in (F.lit(name), term)])).alias("attributions")] if attributions else []
+        return F.struct(F.lit(number).cast("long").alias("model_rung"), z.alias("z"), *told)
+
+    rungs = F.explode(F.array(*[rung(n, w) for n, w in LOGIT.items()]))
     rows = panel.select("date_key", "company_key", "symbol", "trade_date", "y_5d_up", rungs.alias("m")).select("*", "m.model_rung", F.round(1 / (1 + F.exp(-F.col("m.z"))), 5).alias("prob_up"))
-    return rows.select("date_key", "company_key", "symbol", "trade_date", "model_rung", "prob_up", (F.col("prob_up") > 0.5).cast("long").alias("predicted_class"), "y_5d_up")
+    more = [F.col("m.attributions").alias("attributions")] if attributions else []
+    return rows.select("date_key", "company_key", "symbol", "trade_date", "model_rung", "prob_up", (F.col("prob_up") > 0.5).cast("long").alias("predicted_class"), "y_5d_up", *more)
 
 
 def fold_auc(assigned: DataFrame) -> DataFrame:

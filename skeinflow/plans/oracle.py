@@ -127,6 +127,12 @@ RELATIONS: dict[str, str] = {
           SELECT *, round(1 / (1 + exp(-z)), 5) AS prob_up FROM (
             SELECT *, 0::BIGINT AS model_rung, log_ret_1d * 0.5::DOUBLE AS z FROM panel UNION ALL SELECT *, 1, bb_z * -0.3::DOUBLE + log_ret_1d * 0.2::DOUBLE FROM panel
             UNION ALL SELECT *, 2, bb_z * -0.3::DOUBLE + finbert_news_mean_3d * 2.0::DOUBLE + vol_20d * 0.01::DOUBLE FROM panel))""",
+    "attributed": """
+        SELECT symbol, trade_date, model_rung, string_agg('  - ' || f || ': ' || CASE WHEN v >= 0 THEN '+' ELSE '-' END || format('{:.4f}', abs(v)), chr(10) ORDER BY abs(v) DESC, f) AS block FROM (
+          SELECT symbol, trade_date, 0::BIGINT AS model_rung, 'log_ret_1d' AS f, log_ret_1d * 0.5::DOUBLE AS v FROM panel
+          UNION ALL SELECT symbol, trade_date, 1, unnest(['bb_z', 'log_ret_1d']), unnest([bb_z * -0.3::DOUBLE, log_ret_1d * 0.2::DOUBLE]) FROM panel
+          UNION ALL SELECT symbol, trade_date, 2, unnest(['bb_z', 'finbert_news_mean_3d', 'vol_20d']), unnest([bb_z * -0.3::DOUBLE, finbert_news_mean_3d * 2.0::DOUBLE, vol_20d * 0.01::DOUBLE]) FROM panel)
+        WHERE v IS NOT NULL GROUP BY ALL""",
     "fold_rows": """
         SELECT CAST(first AS VARCHAR) || CASE WHEN first + 63 > DATE '2001-08-01' THEN '_partial' ELSE '' END AS fold_id, first - 10 - 1095 AS train_start, first - 10 AS train_end, first AS test_start, least(first + 63, DATE '2001-08-01') AS test_end
         FROM (SELECT CAST(DATE '1995-01-01' + 1095 + CAST(63 * i AS INTEGER) AS DATE) AS first FROM range(100) t(i)) WHERE first + 14 <= DATE '2001-08-01'""",
@@ -169,7 +175,7 @@ RELATIONS: dict[str, str] = {
         SELECT chunk_key, symbol, as_of_date, source_type, body_chunk, ('0x' || substr(m, 1, 8))::BIGINT % 384 AS dim, sum(CASE WHEN substr(m, 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END) AS w FROM (
           SELECT *, md5(unnest(string_split(lower(body_chunk), ' '))) AS m FROM all_chunks) GROUP BY ALL""",
     "questions": """
-        SELECT item_id AS query_id, substr(text, 1, 300) AS question, CASE WHEN item_id % 4 = 0 THEN NULL ELSE ['de', 'en', 'es', 'fr'][item_id % 4 + 1] END AS symbol,
+        SELECT item_id AS query_id, text AS question, CASE WHEN item_id % 4 = 0 THEN NULL ELSE ['de', 'en', 'es', 'fr'][item_id % 4 + 1] END AS symbol,
           CASE WHEN item_id % 5 = 0 THEN NULL ELSE DATE '1996-01-01' + CAST(item_id % 40 * 50 AS INTEGER) END AS as_of_date, CASE WHEN item_id % 3 = 0 THEN ['8K'] END AS source_types, CAST(item_id % 3 AS BIGINT) AS rung FROM benchmark""",
     "question_words": r"""
         SELECT query_id, ('0x' || substr(m, 1, 8))::BIGINT % 384 AS dim, sum(CASE WHEN substr(m, 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END) AS w FROM (
