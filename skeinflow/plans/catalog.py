@@ -15,6 +15,7 @@ from skeinflow.operators.asof import asof_join
 from skeinflow.operators.metrics import reciprocal_rank
 from skeinflow.operators.quality import keep_valid, not_null, related, unique, violations
 from skeinflow.operators.upsert import last_wins, upsert_columns
+from skeinflow.operators.vector_index import VectorIndex
 from skeinflow.operators.vectors import cosine_topk, mean_pool
 from skeinflow.plans import dims, evaluation, fixtures, fundamentals, panel, prices, reports, retrieval, sentiment
 from skeinflow.plans.oracle import lexicon, mask, sql
@@ -356,6 +357,14 @@ def cosine_top_k(spark, d):
     return _found(spark, d)
 
 
+@query("SELECT * FROM nearest")
+def indexed_top_k(spark, d):
+    """The same through an index of all vectors, which leaves most similarities out."""
+    vectors = table(spark, d, "embeddings")
+    index = VectorIndex.build(vectors, stage_path(spark, "index"), "vec_id", "embedding")
+    return index.search(vectors.filter("vec_id % 50 = 0"), "vec_id", "embedding", 8)[0]
+
+
 @query("""
     SELECT query_id, vec_id AS item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS BIGINT) AS rank FROM (
       SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM asked CROSS JOIN embeddings WHERE label IN (1, 3))
@@ -415,6 +424,13 @@ def question_retrieval(spark, d):
     return retrieval.retrieve(_questions(spark, d), _chunks(spark, d), 5)
 
 
+@query("SELECT query_id, item_id, similarity, rank FROM retrieved")
+def question_retrieval_indexed(spark, d):
+    """The same through an index of the chunks, with each question's own filters."""
+    index = VectorIndex.build(_chunks(spark, d), stage_path(spark, "index"), "chunk_key", "embedding", filters=["symbol", "as_of_date", "source_type"])
+    return retrieval.retrieve(_questions(spark, d), index, 5)
+
+
 @query("""
     SELECT CAST(query_id AS BIGINT) AS query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0) AS rr, count(*) FILTER (hit) / 5.0::DOUBLE AS precision, count(*) FILTER (hit) AS n_hits
     FROM (SELECT q.query_id, rank, coalesce(contains(item_id, '10K-' || coalesce(q.symbol, 'en')), false) AS hit FROM questions q LEFT JOIN retrieved USING (query_id)) GROUP BY query_id""")

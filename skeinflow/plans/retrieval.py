@@ -14,6 +14,7 @@ from skeinflow.functions.encoder import encode
 from skeinflow.functions.keys import chunk_key, name_key
 from skeinflow.functions.text import chunks
 from skeinflow.operators.metrics import reciprocal_rank
+from skeinflow.operators.vector_index import VectorIndex
 from skeinflow.operators.vectors import cosine_topk
 
 #: Characters of a chunk quoted in a prompt and in the fallback text.
@@ -88,12 +89,12 @@ TASK_TEXT = "Answer in one paragraph of four to six plain sentences. Cite two ch
 Generator = Callable[[str], tuple[str, int, int]]
 
 
-def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
+def retrieve(questions: DataFrame, corpus: DataFrame | VectorIndex, k: int = 8) -> DataFrame:
     """(query_id, item_id, similarity, rank): for each question the nearest chunks that meet its own filters.
 
     ``questions`` holds query_id, question, symbol, as_of_date, source_types; a null of the last three filters nothing.
     ``corpus`` holds chunk_key, symbol, as_of_date, source_type, embedding. What no question can use is filtered before
-    any vector is read.
+    any vector is read. ``corpus`` may be an index of such a table, with symbol, as_of_date and source_type as its filters.
     """
     asked = questions.select("query_id", "symbol", "as_of_date", "source_types", encode(F.col("question")).alias("embedding"))
     span = questions.agg(F.max("as_of_date").alias("last"), F.count_if(F.col("as_of_date").isNull()).alias("open"), F.count_if(F.col("symbol").isNull()).alias("any")).first()
@@ -104,6 +105,8 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     if symbols and not span.any and len(symbols) <= PUSHED:
         where = where & F.col("symbol").isin(symbols)
     rules = {"symbol": ("equal", "symbol"), "as_of_date": ("until", "as_of_date"), "source_type": ("among", "source_types")}
+    if isinstance(corpus, VectorIndex):
+        return corpus.search(asked, "query_id", "embedding", k, where, rules)[0]
     return cosine_topk(asked, corpus, "query_id", "embedding", k, where=where, item_id="chunk_key", rules=rules)
 
 
