@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import text as txt
 from skeinflow.functions.keys import article_id
 from skeinflow.ml import folds as fd
+from skeinflow.operators import rangejoin
 from skeinflow.operators.asof import asof_join
 from skeinflow.operators.metrics import reciprocal_rank
 from skeinflow.operators.quality import keep_valid, not_null, related, unique, violations
@@ -247,10 +248,28 @@ def asof_fundamentals(spark, d):
 
 @query("SELECT symbol, trade_date, filing_date, roe FROM asof_funds")
 def asof_rownumber(spark, d):
-    """The second strategy: each series split by year."""
+    """The second strategy: statements hold until the next one, days meet them in bins, a row number takes the latest."""
+    return rangejoin.asof_rownumber(price_features(spark, d).select("symbol", "trade_date"), fundamentals_ttm(spark, d).select("symbol", "filing_date", "roe"), ["symbol"], "trade_date", "filing_date", ["roe"])
+
+
+@query("SELECT symbol, trade_date, filing_date, roe FROM asof_funds")
+def asof_bucketed(spark, d):
+    """The third: the carried row with each series split by year."""
     return asof_join(price_features(spark, d).select("symbol", "trade_date"), fundamentals_ttm(spark, d), ["symbol"], "trade_date", "filing_date", ["roe"], bucket=F.year("_at"))
 
 
+@query("""
+    SELECT v.user_id, v.event_id AS view_id, count(*) AS n_purchases, min(p.event_id) AS first_purchase FROM (SELECT * FROM events WHERE event_type = 'view') v
+    JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 7 DAY GROUP BY ALL""")
+def purchases_within_a_week(spark, d):
+    """A range join of its own: the purchases of the seven days from each view on."""
+    events = table(spark, d, "events")
+    views = events.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("low"), (F.col("ts") + F.expr("INTERVAL 7 DAY")).alias("high"))
+    bought = events.filter("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    pairs = rangejoin.range_join(bought, views, ["user_id"], "ts", "low", "high", ["view_id"], bin_size=7 * 86_400)
+    return pairs.groupBy("user_id", "view_id").agg(F.count("*").alias("n_purchases"), F.min("event_id").alias("first_purchase"))
+
+
 @query("""
     SELECT p.event_id, p.user_id, v.event_id AS view_id, CAST(v.ts AS VARCHAR) AS view_at FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")

@@ -81,7 +81,7 @@ def test_trees_walk_forward(spark, panel, fit_rows):
             train = sorted((r for r in rows.values() if f.train_start <= r.trade_date <= f.train_end), key=lambda r: (r.trade_date, r.company_key))
             x = lambda part: np.array([[r.f1 or 0.0, r.f2 or 0.0] for r in part])
             start, found = trees.fit(x(train), np.array([r.y_5d_up for r in train], float), use)
-            score = start + sum(trees.walk(t, x(test))[0] for t in found)
+            score = start + sum(trees.walk(t, x(test)) for t in found)
             for r, s in zip(test, score, strict=True):
                 one = mine[r.date_key, r.company_key]
                 assert abs(one.prob_up - 1 / (1 + np.exp(-s))) < 1e-5 and one.predicted_class == int(one.prob_up > 0.5)
@@ -171,3 +171,34 @@ def test_reports_of_few_rows(spark):
     assert list(reports.datasets(preds, dim, pnl, aucs)) == ["top5", "sectors", "distribution", "fold_auc", "rung_pivot"]
     back = spark.createDataFrame([('{"f": -0.5}',), ("{",), (None,)], "j string").select(reports.decoded(F.col("j")).alias("m")).collect()
     assert [r.m for r in back] == [{"f": -0.5}, {"f": None} if back[1].m else back[1].m, None]
+
+
+def test_attributions_are_shapley_values():
+    """Against the sum over all coalitions, on trees that split twice on a feature; values and base sum to the score."""
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2) | (x[:, 0] > 1.2)).astype(float)
+    start, made = trees.fit(x, y, trees.Settings(trees=6, depth=4, rate=0.5, rows=1.0, columns=1.0, least=1.0, gain=0.0))
+    some = x[:25]
+
+    def worth(node, row, known):
+        if node.feature < 0:
+            return node.value
+        if node.feature in known:
+            return worth(node.low if row[node.feature] <= node.bound else node.high, row, known)
+        return (worth(node.low, row, known) * node.low.cover + worth(node.high, row, known) * node.high.cover) / (node.low.cover + node.high.cover)
+
+    twice = 0
+    for tree in made:
+        credit, base = trees.shapley(tree, some)
+        assert np.allclose(credit.sum(axis=1) + base, trees.walk(tree, some))
+        for i, row in enumerate(some):
+            for f in range(5):
+                others = [g for g in range(5) if g != f]
+                want = sum(factorial(n) * factorial(4 - n) / factorial(5) * (worth(tree, row, {*c, f}) - worth(tree, row, set(c))) for n in range(5) for c in combinations(others, n))
+                assert abs(credit[i, f] - want) < 1e-9
+                twice += want != 0
+    assert twice
