@@ -7,6 +7,12 @@ gives its best container's path one vote, weighted by the container's share of t
 paths, best first, are joined back, and every page is extracted again below the first of them that it has; a page with
 none of them, and a page without a host, uses its own best container.
 
+What surrounds an article goes: elements that say so by their tag (a header in the article too, with what it holds),
+and those whose class, identifier or role consists of words that do. A name that only contains such a word, as
+"related-work" does, is a doubt: its element goes if links make up half of its words, or it has under FEW words. No list
+empties a page: a form that holds more prose than the rest of the page is its frame and no form, and where nothing is
+left the names don't count. Of several article elements all are taken.
+
 Markup is read as browsers read it: attributes in quotes may hold any character, a quote elsewhere is text, a slash in
 an unquoted value belongs to it, stray end tags close nothing around them. Reading takes time linear in the page.
 """
@@ -26,8 +32,12 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm.staging import bound_batches, stage
 
-#: A path wins if two pages of its host at least, and one in SHARE, voted for it; so a host has at most SHARE of them.
+#: A path wins if two pages of its host at least, and one in SHARE, voted for it; so a host has at most twice SHARE of them
+#: where pages have one article. It bounds what a host's pages carry along; a template with a smaller share of a large
+#: host is read page by page.
 SHARE = 1000
+#: Words below which an element of a doubtful name goes.
+FEW = 8
 #: Winning paths that are broadcast (about 100 bytes each); beyond it the pages are shuffled by host.
 BROADCAST_PATHS = 200_000
 
@@ -61,6 +71,11 @@ MARKS = frozenset(
 WEAK = frozenset("header hidden login notification overlay social tags text widget widgets".split())
 #: Those that count for an article or main element too.
 STRONG = frozenset("ad ads adv advert adverts comment comments promo promoted related recommended sponsored teaser".split())
+#: Words that say nothing about what a name with a word of MARKS marks.
+NEUTRAL = frozenset(
+    "above area aside bar below block bottom box button buttons center col column container content desktop fixed global group holder icons id inline inner item items js label left line link links list "
+    "main mobile module new outer page panel primary right row secondary section site slot small sticky text title top unit wrap wrapper".split()
+)
 #: Words of a class or identifier that mark an article's container.
 GOOD = frozenset("article articlebody body content entry main mainbody post story text".split())
 
@@ -80,8 +95,10 @@ class Node:
     parent: Node | None
     outside: bool
     good: bool = False
+    doubt: bool = False
     blocks: list[tuple[int, str]] | None = None
     prose: int = 0  # words outside links, those of the nodes below included once a page is read
+    links: int = 0  # words in links, likewise
 
 
 def generalised(tag: str, classes: str) -> str:
@@ -113,16 +130,18 @@ def paths_of(nodes: list[Node]) -> list[str]:
     return [known[id(node)] for node in nodes]
 
 
-def surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """(an element that surrounds the article, one that is named as its container)"""
-    marks = {w.lower() for w in SPLIT.split(" ".join(attributes.get(a, "") for a in ("class", "id", "role"))) if w}
-    good = bool(marks & GOOD)
-    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+def surrounds(tag: str, attributes: dict[str, str], names: bool = True, forms: bool = True) -> tuple[bool, bool, bool]:
+    """(an element that surrounds the article, one whose name leaves that in doubt, one named as the article's container).
+    Without ``names`` only those of STRONG count, without ``forms`` a form is a container."""
     if tag in ("html", "body"):
-        return False, False
-    if tag in ("article", "main"):
-        return hidden or bool(marks & STRONG), True
-    return hidden or tag in OUTSIDE or bool(marks & (MARKS - WEAK if good else MARKS)), good
+        return False, False, False
+    tokens = [{w.lower() for w in SPLIT.split(t) if w} for a in ("class", "id", "role") for t in attributes.get(a, "").split()]
+    good = tag in ("article", "main") or any(t & GOOD for t in tokens)
+    marks = STRONG if tag in ("article", "main") or not names else MARKS - WEAK if good else MARKS
+    clear = any(t & marks and t <= marks | NEUTRAL | GOOD for t in tokens)
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    outside = hidden or clear or tag in OUTSIDE and (forms or tag != "form")
+    return outside, not outside and any(t & marks for t in tokens), good
 
 
 def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int] | None:
@@ -156,7 +175,9 @@ def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int] | None:
 class _Reader:
     """Open elements and blocks of a page that is being read."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bool, forms: bool) -> None:
+        self.names, self.forms = names, forms
+        self.formed = 0  # words in forms
         self.body = Node("body", "body", None, outside=False)
         self.nodes = [self.body]
         # open elements that make a container or stand between it and another of their name
@@ -192,6 +213,7 @@ class _Reader:
                 self.owner.blocks = []
             self.owner.blocks.append((self.order, " ".join(words)))
             self.owner.prose += max(0, len(words) - self.linked)
+            self.owner.links += self.linked
             self.order += 1
         self.text.clear()
         self.linked = 0
@@ -201,6 +223,7 @@ class _Reader:
             self.pop(self.opened["head"][0])
         now = self.top()
         if now.outside:
+            self.formed += len(piece.split()) if now.tag == "form" else 0
             return
         if now is not self.owner:
             self.flush()
@@ -229,9 +252,10 @@ class _Reader:
         if tag == "a":
             self.link = True
         around = self.top()
-        outside, good = surrounds(tag, found)
-        if (tag in HOLDERS or outside) and not around.outside:
-            node = Node(tag, generalised(tag, found.get("class", "")), around, outside, good)
+        outside, doubt, good = surrounds(tag, found, self.names, self.forms)
+        doubt = doubt and tag in BLOCKS  # a piece of a line is part of it
+        if (tag in HOLDERS or tag == "form" or outside or doubt) and not around.outside:
+            node = Node(tag, generalised(tag, found.get("class", "")), around, outside, good, doubt)
             self.nodes.append(node)
             self.push(tag, node)
         elif tag in HOLDERS or tag in ("th", "caption") or self.opened.get(tag):
@@ -260,12 +284,22 @@ class _Reader:
 
 
 def parse(page: str) -> list[Node]:
-    """The containers of a page in page order, the body first, each with the blocks (position, text) right in it.
+    """The containers of a page in page order, the body first, each with the blocks (position, text) right in it."""
+    nodes, formed = _parse(page, True, True)
+    if formed > nodes[0].prose:
+        framed, _ = _parse(page, True, False)
+        if framed[0].prose > 2 * nodes[0].prose:
+            nodes = framed
+    return nodes if nodes[0].prose or nodes[0].links else _parse(page, False, False)[0]
+
+
+def _parse(page: str, names: bool, forms: bool) -> tuple[list[Node], int]:
+    """(containers, words in forms) of a page.
 
     Unclosed elements end with the element around them; what stands in a tag, comment or script that the page's end
     cuts off is no text.
     """
-    read = _Reader()
+    read = _Reader(names, forms)
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -310,23 +344,36 @@ def parse(page: str) -> list[Node]:
             at = close.end()
     read.flush()
     for node in reversed(read.nodes):
+        if node.doubt and (node.prose < FEW or node.links >= node.prose):
+            node.outside = True
         if node.parent is not None and not node.outside:
             node.parent.prose += node.prose
-    return read.nodes
+            node.parent.links += node.links
+    for node in read.nodes[1:]:  # parents stand before their children
+        if node.outside or node.parent.outside:
+            node.outside, node.blocks = True, None
+    return read.nodes, read.formed
 
 
-def best(nodes: list[Node]) -> Node:
-    """The container of a page's article: the fullest article or main element, else the fullest container so named that
-    holds half of the prose, else the innermost one that holds most of what is around it."""
+def articles(nodes: list[Node]) -> list[Node]:
+    """A page's article elements with prose, or else its main elements."""
+    for tag in ("article", "main"):
+        named = [n for n in nodes if n.tag == tag and not n.outside and n.prose]
+        if named:
+            return named
+    return []
+
+
+def best(nodes: list[Node]) -> list[Node]:
+    """The containers of a page's article: its article or main elements, else the fullest container so named that holds
+    half of the prose, else the innermost one that holds most of what is around it."""
+    if named := articles(nodes):
+        return named
     inside = [n for n in nodes if not n.outside]
     body = inside[0]
-    for tags in (("article",), ("main",)):
-        named = [n for n in inside if n.tag in tags and n.prose]
-        if named:
-            return max(named, key=lambda n: n.prose)
     named = [n for n in inside if n.good and 2 * n.prose >= body.prose > 0]
     if named:
-        return min(named, key=lambda n: n.prose)
+        return [min(named, key=lambda n: n.prose)]
     fullest: dict[int, Node] = {}
     for node in inside[1:]:
         if id(node.parent) not in fullest or node.prose > fullest[id(node.parent)].prose:
@@ -335,7 +382,7 @@ def best(nodes: list[Node]) -> Node:
     while True:
         next_ = fullest.get(id(now))
         if next_ is None or 10 * next_.prose < 7 * now.prose or not next_.prose:
-            return now
+            return [now]
         now = next_
 
 
@@ -353,7 +400,10 @@ def text_below(nodes: list[Node], roots: list[Node]) -> str:
 
 
 def extract(page: str, paths: list[str]) -> str:
-    """The text below the first of ``paths`` that the page has with some text, else of its own best container."""
+    """The text below the first of ``paths`` that the page has with some text, else of its own best containers.
+
+    Where that path is an article's, all articles of the page are meant, as they are without paths.
+    """
     nodes = parse(page)
     if paths:
         wanted, held = set(paths), defaultdict(list)
@@ -361,21 +411,28 @@ def extract(page: str, paths: list[str]) -> str:
             if path in wanted and not node.outside:
                 held[path].append(node)
         for path in paths:
-            text = text_below(nodes, held[path]) if path in held else ""
+            if path not in held:
+                continue
+            own = articles(nodes)
+            text = text_below(nodes, own if held[path][0] in own else held[path])
             if text:
                 return text
-    return text_below(nodes, [best(nodes)])
+    return text_below(nodes, best(nodes))
 
 
 def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths, shares = [], []
-        for page in batch.column(1).to_pylist():
+        hosts, paths, shares = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             nodes = parse(page)
-            chosen = best(nodes)
-            paths.append(path_of(chosen))
-            shares.append(chosen.prose / nodes[0].prose if nodes[0].prose else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
+            own: dict[str, int] = defaultdict(int)
+            for chosen in best(nodes):
+                own[path_of(chosen)] += chosen.prose
+            for path, prose in own.items():
+                hosts.append(host)
+                paths.append(path)
+                shares.append(prose / nodes[0].prose if nodes[0].prose else 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,21 +441,21 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def consensus(pages: DataFrame) -> DataFrame:
+def consensus(pages: DataFrame, share: int = SHARE) -> DataFrame:
     """(host, paths) from pages (host, html): each host's winning paths by their votes, ties by name.
 
-    Votes are summed per (host, path) before paths of a host meet, and only winners are listed.
+    A path wins with two votes at least, and one in ``share`` of its host's. Votes are summed per (host, path) before paths of a host meet, and only winners are listed.
     """
     votes = pages.filter("host IS NOT NULL").mapInArrow(_ballots, "host string, path string, share double")
     counted = stage(votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1000).cast("long")).alias("votes"), F.count("*").alias("n")), "host-votes")
     whole = counted.groupBy("host").agg(F.sum("n").alias("pages"))
-    winners = counted.join(whole, "host").filter((F.col("n") > 1) & (F.col("n") * SHARE >= F.col("pages")))
+    winners = counted.join(whole, "host").filter((F.col("n") > 1) & (F.col("n") * share >= F.col("pages")))
     ranked = winners.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))).alias("all"))
     return ranked.select("host", F.transform("all", lambda x: x["path"]).alias("paths"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page.
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: int = SHARE) -> DataFrame:
+    """page_id, url, text, n_chars of every page; ``share`` is ``consensus``'.
 
     Null and empty pages have an empty text, as have pages without prose; a page whose address is null or has no host
     takes no part in votes. Repeated rows vote and return each. Other columns are ignored; an empty table gives no rows.
@@ -406,7 +463,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bound_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(pages[url_col], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), F.nullif(host, F.lit("")).alias("host"))
-    winners = stage(consensus(rows.select("host", "html")), "host-paths")
+    winners = stage(consensus(rows.select("host", "html"), share), "host-paths")
     if (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_PATHS:
         joined = rows.join(F.broadcast(winners), "host", "left")
     else:  # pages without a host stay where they are

@@ -1,3 +1,4 @@
+import random
 import re
 import time
 from html import unescape
@@ -100,7 +101,7 @@ def test_agrees_with_another_parser(parts):
     plain = Plain()
     plain.feed(page)
     plain.close()
-    text = html_text.text_below(nodes := parse(page), nodes[:1])
+    text = html_text.text_below(nodes := html_text._parse(page, True, True)[0], nodes[:1])  # forms are forms, whatever they hold
     assert text.split() == "".join(plain.text).split()
 
 
@@ -121,6 +122,104 @@ def test_long_and_deep_pages_take_linear_time(page):
     assert time.process_time() - began < 20
 
 
+LONG = PROSE + " " + PROSE
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article class=a>{LONG}</article><nav>no</nav><article class=b>two</article>", f"{LONG} two"),
+    (f"<article>{LONG}<article class=comment>no</article></article><article class='teaser'>no</article>", LONG),
+    (f"<body><form id=aspnet><nav>no</nav><h1>Head</h1><article>{LONG}</article><footer>no</footer></form>", LONG),
+    (f"<body><form><h1>Head</h1><p>{LONG}</p><div class=sidebar>no</div></form>", f"Head {LONG}"),
+    (f"<article>{LONG}<form>Your name and mail <input></form></article>", LONG),
+    ("".join(f"<div class='{c}'>{PROSE}</div>" for c in ("social-history", "tags-of-war", "related-work", "notice-board")), " ".join([PROSE] * 4)),
+    (f"<article>{LONG}<div class='related-posts-grid'><a href=x>{PROSE}</a></div><div class='newsletter-hook'>Join us</div></article>", LONG),
+    (f"<article>{LONG}<div class='related'>{LONG}</div><div class='ad-slot'>{LONG}</div><div id='siteFooter footer'>no</div></article>", LONG),
+    ("<div class=notice>only this</div>", "only this"),
+    (f"<article><header><h1>goes with its header</h1></header>{LONG}</article>", LONG),
+    ("<div class=comments>no</div>", ""),
+])
+def test_what_surrounds_an_article(page, want):
+    assert extract(page, []) == want
+    nodes = html_text.parse(page)
+    paths = [html_text.path_of(n) for n in html_text.best(nodes)]
+    assert extract(page, paths) == want  # a page doesn't change with its host's size
+
+
+class Tree(HTMLParser):
+    """A plain tree (path, words below, text below, children) of well-formed pages of div and p."""
+
+    def __init__(self):
+        super().__init__()
+        self.root = self.at = {"path": "body", "up": None, "down": [], "text": []}
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "div":
+            step = ".".join(["div", *sorted(c for c in dict(attrs).get("class", "").split() if not re.search(r"\d", c))])
+            node = {"path": self.at["path"] + "/" + step, "up": self.at, "down": [], "text": []}
+            self.at["down"].append(node)
+            self.at["text"].append(node)
+            self.at = node
+
+    def handle_endtag(self, tag):
+        if tag == "div":
+            self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["text"].append(data)
+
+
+def said(node):
+    return " ".join(" ".join(x if isinstance(x, str) else said(x) for x in node["text"]).split())
+
+
+def every(node):
+    return [node, *[x for d in node["down"] for x in every(d)]]
+
+
+def plain_consensus(rows, share):
+    """Votes, winners and texts by dictionaries, for pages whose containers have no telling names."""
+    trees, votes, hosts = {}, {}, {}
+    for page_id, host, page in rows:
+        reader = Tree()
+        reader.feed(page)
+        trees[page_id] = reader.root
+        now = reader.root
+        size = lambda n: len(said(n).split())
+        while now["down"] and 10 * size(fullest := max(now["down"], key=size)) >= 7 * size(now) and size(fullest):
+            now = fullest
+        reader.root["own"] = now
+        if host:
+            hosts[host] = hosts.get(host, 0) + 1
+            total = votes.setdefault(host, {}).setdefault(now["path"], [0, 0])
+            total[0] += round(1000 * size(now) / size(reader.root)) if size(reader.root) else 0
+            total[1] += 1
+    out = {}
+    for page_id, host, _ in rows:
+        winners = sorted(((-w, p) for p, (w, n) in votes.get(host, {}).items() if n > 1 and n * share >= hosts[host]), key=lambda x: x[0])
+        texts = [" ".join(filter(None, (said(n) for n in every(trees[page_id]) if n["path"] == p))) for _, p in winners]
+        out[page_id] = next((t for t in texts if t), said(trees[page_id]["own"]))
+    return out
+
+
+@pytest.mark.parametrize("share", [1000, 4])
+def test_votes_and_winners_match_a_plain_version(spark, share):
+    rng = random.Random(share)
+    word = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = []
+    for i in range(160):
+        host = rng.choice(["a", "a", "a", "b", "c", None])
+        template = rng.choice(["lead", "lead", "tale1 deep", "odd", f"gen{i}"])
+        blocks = [f"<div class='{template}'><p>page {i} {word(rng.choice([3, 30, 31, 60]))}</p></div>", f"<div class='teasers'><p>{word(rng.choice([2, 9, 40]))}</p></div>"]
+        rng.shuffle(blocks)
+        inner = "".join(blocks)
+        rows.append((i, host, f"<body><div class='outer x{i}'>{inner}</div><div class='end'>{word(rng.randrange(4))}</div></body>" if rng.random() < 0.5 else f"<body>{inner}</body>"))
+    df = spark.createDataFrame([(i, host and f"https://{host}.example/{i}", page) for i, host, page in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in main_text(df, share=share).collect()}
+    want = plain_consensus(rows, share)
+    assert got == want
+    assert got != plain_consensus(rows, 10**9 if share == 4 else 0)  # the bound, and the winners, matter
+
+
 def test_depth_has_no_end():
     inner = "<div>" * 5000
     page = f"{inner}<div class=lead><p>{PROSE}</p></div><div class=other><p>side</p></div>"
