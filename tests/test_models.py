@@ -36,10 +36,10 @@ def test_series():
     for i in range(1, 2000):
         auto[i] = 0.8 * auto[i - 1] + noise[i]
         moving[i] = noise[i] + 0.7 * noise[i - 1]
-    lags, errors, d, _ = ar.fit(auto)
+    lags, errors, d, *_ = ar.fit(auto)
     assert d == 0 and abs(lags[0] - 0.8) < 0.1
     assert abs(ar.forecast(auto, 1)[0] - 0.8 * auto[-1]) < 0.3
-    lags, errors, d, left = ar.fit(moving)
+    lags, errors, d, *_ = ar.fit(moving)
     assert d == 0 and abs(ar.forecast(moving, 1)[0] - 0.7 * noise[-1]) < 0.4 and abs(ar.forecast(moving, 9)[8]) < 0.4
     walk = np.cumsum(noise)
     assert ar.wanders(walk) and not ar.wanders(noise) and ar.fit(walk)[2] == 1
@@ -48,6 +48,50 @@ def test_series():
     assert [len(ar.thinned(n)) for n in (0, 5, 20, 21, 45, 400)] == [0, 5, 20, 20, 20, 20] and ar.thinned(45)[1] == 2
 
 
+def simulated(phi, theta, n, seed):
+    noise = np.random.default_rng(seed).normal(size=n + 300) * 0.02
+    out = np.zeros(n + 300)
+    for t in range(2, n + 300):
+        out[t] = sum(p * out[t - 1 - i] for i, p in enumerate(phi)) + noise[t] + sum(q * noise[t - 1 - i] for i, q in enumerate(theta))
+    return out[300:]
+
+
+@pytest.mark.parametrize(("phi", "theta"), [((0.6,), ()), ((), (0.5,)), ((), (1.2, 0.5)), ((0.7,), (-0.3,)), ((0.5, 0.3), ()), ((0.4, -0.5), (0.3, 0.4)), ((), ())])
+def test_known_processes_are_recovered(phi, theta):
+    series = simulated(phi, theta, 3000, 3)
+    lags, errors, d, left, criterion = ar.fit(series)
+    # the weights' response to a shock tells processes that are written in several ways apart
+    answer = lambda p, q: np.array(list(itertools.islice(_response(list(p), list(q)), 8)))
+    assert d == 0 and np.abs(answer(lags, errors) - answer(phi, theta)).max() < 0.12
+    assert abs(left[50:].std() - 0.02) < 0.001
+
+
+def _response(phi, theta):
+    past = []
+    for t in itertools.count():
+        now = (1.0 if t == 0 else 0.0) + (theta[t - 1] if 0 < t <= len(theta) else 0.0) + sum(p * past[t - 1 - i] for i, p in enumerate(phi) if t > i)
+        past.append(now)
+        yield now
+
+
+def test_the_likelihood_is_exact_and_no_worse_than_rough_weights():
+    series = simulated((0.5, 0.2), (0.4,), 60, 1)
+    lags, errors = np.array([[0.5, 0.2], [-0.3, 0.1], [0.0, 0.0]]), np.array([[0.4, 0.0], [0.2, 0.3], [-0.6, 0.2]])
+    v, f = ar.innovations(series, lags, errors)
+    for m in range(3):
+        weights = np.array(list(itertools.islice(_response(lags[m].tolist(), errors[m].tolist()), 3000)))
+        cover = np.array([weights[: len(weights) - k] @ weights[k:] for k in range(60)])
+        whole = cover[np.abs(np.subtract.outer(np.arange(60), np.arange(60)))]
+        want = series @ np.linalg.solve(whole, series), np.linalg.slogdet(whole)[1]
+        assert np.allclose([(v[:, m] ** 2 / f[:, m]).sum(), np.log(f[:, m]).sum()], want, rtol=1e-6)
+    for seed in range(4):
+        long = simulated((0.3,), (0.5,), 300, seed)
+        best = ar.fit(long)[4]
+        start = np.array([np.concatenate([ar._free(p), ar._free(-q)]) for p, q in ar._rough(long)])
+        rough = ar._cost(long, start) + 2 * (np.array([p + q for p, q in ar.ORDERS]) + 1)
+        assert best <= rough.min() + 1e-2
+
+
 def test_rung_0_walks_forward(spark, panel):
     got = {(r.company_key, r.date_key): (r.fold_id, r.prob_up, r.predicted_class) for r in ar.walk_forward(panel, folds_frame(spark, FOLDS)).collect()}
     rows = panel.collect()
