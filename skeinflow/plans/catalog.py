@@ -12,6 +12,7 @@ from skeinflow.functions import text as txt
 from skeinflow.functions.encoder import encode, hashed
 from skeinflow.functions.keys import article_id
 from skeinflow.ml import folds as fd
+from skeinflow.ml import sentiment as fitted
 from skeinflow.ml import word_vectors
 from skeinflow.operators import rangejoin
 from skeinflow.operators.asof import asof_join
@@ -230,6 +231,29 @@ def lexicon_sentiment(spark, d):
     return table(spark, d, "documents").select("doc_id", txt.lexicon_sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
+def _told(spark, d):
+    """doc_id, text, label (0 negative for toxic rows, 2 positive for good ones, else 1) and whether it is held out."""
+    label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    rows = table(spark, d, "labels").select("doc_id", label.alias("label")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+
+
+@query()
+def fitted_sentiment(spark, d):
+    """All documents by a scorer fitted to four fifths of the labelled ones."""
+    model = fitted.fit(_told(spark, d).filter("NOT held_out"))
+    return model.scored(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "s.*")
+
+
+@query()
+def fitted_sentiment_eval(spark, d):
+    """label, n, accuracy on the labelled documents that were held out."""
+    told = stage(_told(spark, d), "told")
+    rows = fitted.fit(told.filter("NOT held_out")).scored(told.filter("held_out"), "text")
+    best = F.when(F.col("s.neg_prob") >= F.greatest("s.neu_prob", "s.pos_prob"), 0).when(F.col("s.neu_prob") >= F.col("s.pos_prob"), 1).otherwise(2)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((best == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
 # --- fundamentals and as-of
 
 
@@ -894,4 +918,4 @@ def score_incremental(spark, d):
 
     published = F.when(F.col("doc_id") % 10 == 0, "unknown").otherwise(F.concat(F.lit("2024-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("-15 10:00:00")))
     articles = table(spark, d, "documents").select("doc_id", F.col("lang").alias("symbol"), published.alias("published_at"), "text")
-    return score_new(articles, table(spark, d, "labels"), "doc_id", "text", 30)
+    return score_new(articles, table(spark, d, "labels"), "doc_id", "text", txt.lexicon_sentiment, 30)

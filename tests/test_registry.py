@@ -1,5 +1,6 @@
 import pytest
 
+from skeinflow.functions.text import lexicon_sentiment
 from skeinflow.operators.quality import require
 from skeinflow.plans.registry import Registry, market
 from skeinflow.plans.scoring import merge_scores, score_articles
@@ -43,8 +44,8 @@ def test_market_builds(spark, tmp_path):
 
 def test_scores_are_merged(spark):
     rows = spark.createDataFrame([("1", "A", "2024-01-02 03:04:05", "gain"), ("2", "B", "never", None)], "id string, symbol string, published_at string, body string")
-    first = score_articles(rows, "id", "body")
+    first = score_articles(rows, "id", "body", lexicon_sentiment)
     assert [(r.id, str(r.trade_date), r.score) for r in first.orderBy("id").collect()] == [("1", "2024-01-02", 1.0), ("2", "None", 0.0)]
-    again = score_articles(rows.selectExpr("id", "'Z' AS symbol", "published_at", "'loss' AS body"), "id", "body")
+    again = score_articles(rows.selectExpr("id", "'Z' AS symbol", "published_at", "'loss' AS body"), "id", "body", lexicon_sentiment)
     got = merge_scores(first, again, "id").orderBy("id").collect()
     assert [(r.symbol, r.score) for r in got] == [("A", -1.0), ("B", -1.0)]
