@@ -28,6 +28,7 @@ from skeinflow.sources.landing import IngestLog
 from skeinflow.sources.shared import stage, stage_path
 from skeinflow.streaming.ingest import drain, file_stream
 from skeinflow.streaming.keyed import KeyedTable
+from skeinflow.streaming.refresh import WindowedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -731,12 +732,12 @@ def lookup_companies(spark, d):
 
 @query("SELECT DISTINCT trade_date FROM preds WHERE symbol = (SELECT min(n_name) FROM nation)")
 def lookup_days(spark, d):
-    return reports.days_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name")).first()[0])
+    return reports.days_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name").alias("symbol")))
 
 
 @query("SELECT model_rung, prob_up, predicted_class FROM preds WHERE symbol = (SELECT min(n_name) FROM nation) AND trade_date = DATE '2000-01-11'")
 def lookup_predictions(spark, d):
-    return reports.predictions_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name")).first()[0], "2000-01-11")
+    return reports.predictions_of(_predictions(spark, d), table(spark, d, "nation").agg(F.min("n_name").alias("symbol")), "2000-01-11")
 
 
 _LATEST = "SELECT p.*, sector_name FROM preds p JOIN companies USING (company_key) WHERE trade_date = (SELECT max(trade_date) FROM preds WHERE model_rung = 2)"
@@ -834,6 +835,18 @@ def kept_predictions(spark, d):
     return evaluation.labelled(kept, rows.select("date_key", "company_key", "symbol", "y_5d_up").distinct()).select("model_rung", "trade_date", "symbol", "prob_up", "predicted_class")
 
 
+@query("SELECT * FROM prices")
+def refreshed_prices(spark, d):
+    """The features kept up to date: first without some bars and with others wrong, then refreshed to all bars as they are."""
+    bars = stage(fixtures.daily_bars(spark, d), "bars")
+    chance = F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(200))
+    early = bars.filter(chance != 0).withColumn("close_px", F.when(chance == 1, F.col("close_px") + 1).otherwise(F.col("close_px")))
+    kept = WindowedTable(spark, stage_path(spark, "refreshed"), ["symbol"], "trade_date", 50, prices.price_features, bars)
+    kept.refresh(early)
+    kept.refresh(bars)
+    return kept.current()
+
+
 # --- models (approximations of models that aren't available offline; no SQL)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators.baskets import top_k
+from skeinflow.sources.shared import stage
 
 
 def _latest(predictions: DataFrame, rungs: list[int]) -> DataFrame:
@@ -68,14 +69,21 @@ def companies(dim_company: DataFrame) -> DataFrame:
     return dim_company.select("symbol", "sector_name").orderBy("symbol")
 
 
-def days_of(predictions: DataFrame, symbol: str) -> DataFrame:
+def _of(predictions: DataFrame, symbol: str | DataFrame) -> DataFrame:
+    """The predictions of one company, named or in a table of one row (symbol)."""
+    if isinstance(symbol, DataFrame):
+        return predictions.join(F.broadcast(symbol), "symbol", "left_semi")
+    return predictions.filter(F.col("symbol") == symbol)
+
+
+def days_of(predictions: DataFrame, symbol: str | DataFrame) -> DataFrame:
     """The days on which a company has predictions, latest first."""
-    return predictions.filter(F.col("symbol") == symbol).select("trade_date").distinct().orderBy(F.desc("trade_date"))
+    return _of(predictions, symbol).select("trade_date").distinct().orderBy(F.desc("trade_date"))
 
 
-def predictions_of(predictions: DataFrame, symbol: str, day: str) -> DataFrame:
+def predictions_of(predictions: DataFrame, symbol: str | DataFrame, day: str) -> DataFrame:
     """model_rung, prob_up, predicted_class (and attributions, if there) of a company on a day, by rung; no rows if none."""
-    rows = predictions.filter((F.col("symbol") == symbol) & (F.col("trade_date") == F.lit(day).cast("date")))
+    rows = _of(predictions.filter(F.col("trade_date") == F.lit(day).cast("date")), symbol)
     return rows.select("model_rung", "prob_up", "predicted_class", *[c for c in ("attributions",) if c in rows.columns]).orderBy("model_rung")
 
 
@@ -91,12 +99,13 @@ def panels(latest: DataFrame) -> dict[str, DataFrame]:
 
 
 def datasets(predictions: DataFrame, dim_company: DataFrame, pnl: DataFrame, aucs: DataFrame) -> dict[str, DataFrame]:
-    """The datasets of all charts in their order; those without rows are left out."""
+    """The datasets of all charts in their order, each computed once; those without rows are left out."""
     made = {
         "cumulative": cumulative(pnl), "top5": top5(predictions, dim_company), "sectors": sectors(predictions, dim_company),
         "distribution": distribution(predictions), "fold_auc": aucs.filter("model_rung IN (1, 2)"), "rung_pivot": rung_pivot(predictions),
     }
-    return {name: df for name, df in made.items() if not df.isEmpty()}
+    kept = {name: stage(df, name) for name, df in made.items()}
+    return {name: df for name, df in kept.items() if not df.isEmpty()}
 
 
 def decoded(attributions: Column) -> Column:

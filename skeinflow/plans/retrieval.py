@@ -59,13 +59,13 @@ def ranked_ids(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.transform(pairs, lambda p: p["item_id"]).alias("top_k_ids"))
 
 
-_corpora: dict[tuple[int, str], DataFrame] = {}
+_corpora: dict[tuple[str, str], DataFrame] = {}
 
 
 def load_corpus(spark: SparkSession, *paths: str) -> DataFrame:
     """The chunk tables of ``paths`` as one, kept in the executors' memory and disks for the session; asking again gives
     the same table. ``forget_corpora`` lets go of them."""
-    key = (id(spark), "\n".join(paths))
+    key = (spark.sparkContext.applicationId, "\n".join(paths))  # a new application's tables are its own
     if key not in _corpora:
         _corpora[key] = spark.read.parquet(*paths).persist(StorageLevel.MEMORY_AND_DISK)
     return _corpora[key]
