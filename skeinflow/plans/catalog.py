@@ -889,17 +889,24 @@ def rung1_trees(spark, d):
     return trees.walk_forward(feature_panel(spark, d), _folds(spark), STRUCTURED, 1, trees.RUNG_1)
 
 
+@query()
+def fold_components(spark, d):
+    """The components of each company's filings as each fold may know them: its basis ends with its training time."""
+    from skeinflow.ml import pca
+
+    return pca.fold_components(fixtures.filing_vectors(spark, d), "as_of_date", "vector", _folds(spark))
+
+
 @query()
 def rung2_trees(spark, d):
     from skeinflow.ml import trees
 
-    return trees.walk_forward(_fitted_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *_flags(), *panel.CROSSES], 2, trees.RUNG_2)
+    known = stage(fold_components(spark, d).drop("symbol"), "fold-components")
+    return trees.walk_forward(feature_panel(spark, d), _folds(spark), [*STRUCTURED, *panel.SENTIMENT, *panel.PCS, *_flags(), *panel.CROSSES], 2, trees.RUNG_2, known=known)
 
 
 def _kept(spark, d):
     """The fitted rungs' predictions from the table that they are kept in, with their labels."""
-    from skeinflow.sources.shared import stage, stage_path
-
     path = stage_path(spark, "predictions")
     for rung in (rung0_ar, rung1_trees, rung2_trees):
         kept = evaluation.keep_predictions(rung(spark, d), path)

@@ -81,14 +81,20 @@ def projected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_vectors(spark, sf_dir).select("symbol", "as_of_date", *[axis(i).alias(f"filing_pc{i}") for i in range(1, 6)])
 
 
+def filing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_key, symbol, as_of_date, vector: the pooled vectors of the filings."""
+    from skeinflow.functions.keys import name_key
+
+    return pooled_vectors(spark, sf_dir).select(name_key(F.col("symbol")).alias("company_key"), "symbol", "as_of_date", F.array(*[f"v{i}" for i in range(1, DIMS + 1)]).alias("vector"))
+
+
 def embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fact_embedding_key (1000 on, by company and filing), company_key, symbol, as_of_date, filing_pc1..5: the principal
     components of the pooled vectors, fitted on all filings."""
-    from skeinflow.functions.keys import name_key
     from skeinflow.ml.pca import components
     from skeinflow.operators.numbering import number_rows
 
-    pooled = pooled_vectors(spark, sf_dir).select(name_key(F.col("symbol")).alias("company_key"), "symbol", "as_of_date", F.array(*[f"v{i}" for i in range(1, DIMS + 1)]).alias("vector"))
+    pooled = filing_vectors(spark, sf_dir)
     if pooled.isEmpty():
         return spark.createDataFrame([], "fact_embedding_key long, company_key string, symbol string, as_of_date date, " + ", ".join(f"filing_pc{i} double" for i in range(1, 6)))
     found, _ = components(pooled, "vector")

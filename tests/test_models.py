@@ -246,3 +246,41 @@ def test_attributions_are_shapley_values():
                 assert abs(credit[i, f] - want) < 1e-9
                 twice += want != 0
     assert twice
+
+
+def test_no_fold_knows_a_later_filing(spark):
+    """Bases by merged sums against those of the rows themselves, and unmoved by what comes after a fold's training."""
+    from skeinflow.ml import pca
+
+    rng = np.random.default_rng(8)
+    turn = rng.normal(size=(6, 6))
+    rows = [(c, DAYS[i], (rng.normal(size=6) @ turn + i / 50).tolist()) for i in range(0, 200, 4) for c in ("x", "y")]
+    schema = "company_key string, as_of_date date, vector array<double>"
+    folds = folds_frame(spark, FOLDS)
+    bases = pca.fold_bases(spark.createDataFrame(rows, schema).repartition(3), "as_of_date", "vector", {f.fold_id: f.train_end for f in FOLDS}, 3)
+    for f in FOLDS:
+        own = np.array([v for _, day, v in rows if day <= f.train_end])
+        mean, axes = bases[f.fold_id]
+        if len(own) < 2:
+            assert not axes.any()
+            continue
+        _, _, want = np.linalg.svd(own - own.mean(axis=0), full_matrices=False)
+        assert np.allclose(mean, own.mean(axis=0)) and np.allclose(np.abs((want[:3] * axes.T).sum(axis=1)), 1)
+    got = {(r.fold_id, r.company_key, r.as_of_date): tuple(r)[3:] for r in pca.fold_components(spark.createDataFrame(rows, schema), "as_of_date", "vector", folds, 3).collect()}
+    end = FOLDS[0].train_end
+    later = [(c, day, v if day <= end else [9.0 * x * x for x in v]) for c, day, v in rows]
+    again = {(r.fold_id, r.company_key, r.as_of_date): tuple(r)[3:] for r in pca.fold_components(spark.createDataFrame(later, schema), "as_of_date", "vector", folds, 3).collect()}
+    mine = [k for k in got if k[0] == "a" and k[2] <= end]
+    assert mine and all(got[k] == again[k] for k in mine)
+    assert {k[0] for k in got} == {"a", "b", "none"} and max(k[2] for k in got if k[0] == "a") <= FOLDS[0].test_end
+    assert any(got[k] != again[k] for k in got if k[0] == "b" and k[2] <= end)
+
+
+def test_features_known_by_fold(spark, panel):
+    """A fold's own features reach its rows by day, and only its rows."""
+    known = spark.createDataFrame([("a", "x", DAYS[5], 1.0), ("a", "x", DAYS[50], 2.0), ("b", "x", DAYS[50], 7.0)], "fold_id string, company_key string, as_of_date date, pc double")
+    rows = trees._windows(panel, folds_frame(spark, FOLDS), ["f1", "pc"], "y_5d_up", known).collect()
+    for r in rows:
+        want = 0.0 if r.company_key != "x" or r.fold_id == "none" else 7.0 * (r.trade_date >= DAYS[50]) if r.fold_id == "b" else 2.0 if r.trade_date >= DAYS[50] else 1.0 * (r.trade_date >= DAYS[5])
+        assert r.pc == want
+    assert len(rows) == trees._windows(panel, folds_frame(spark, FOLDS), ["f1"], "y_5d_up").count()
