@@ -168,10 +168,9 @@ def test_models():
     x = rng.normal(size=(2000, 4))
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     start, found = trees.fit(x[:1500], y[:1500])
-    credit = np.zeros((500, 4))
-    score = start + sum(trees.walk(t, x[1500:], credit)[0] for t in found)
+    score = start + sum(trees.walk(t, x[1500:]) for t in found)
     assert ((score > 0) == y[1500:]).mean() > 0.9
-    roots = sum(t.value for t in found)
-    assert np.allclose(credit.sum(axis=1), score - start - roots)
+    credits, bases = zip(*(trees.shapley(t, x[1500:1600]) for t in found), strict=True)
+    assert np.allclose(sum(credits).sum(axis=1) + sum(bases), score[:100] - start)
     shares = trees.importances(found, ["a", "b", "c", "d"])
     assert abs(sum(shares.values()) - 1) < 1e-9 and shares["a"] + shares["b"] > 0.55
