@@ -21,11 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinflow.operators.vectors import CELLS, DIGITS, QUERIES, _fits
-from skeinflow.sources.shared import stage
-
-#: Vectors that centroids are fitted to, at most; all vectors are put into lists.
-SAMPLE = 50_000
+from skeinflow.operators.vectors import CELLS, DIGITS, QUERIES, _fits, known_rows, pack_vector
+from skeinflow.session import small_batches
+from skeinflow.sources.shared import remove, stage, stage_path
+
+#: Vectors that centroids are fitted to, at most, and bytes of them, since they pass the driver; all vectors are put into
+#: lists.
+SAMPLE, FIT_BYTES = 50_000, 64 << 20
+#: Distances between queries and centroids that the driver holds at once; more queries are asked in more blocks.
+HELD_CELLS = 1 << 22
 #: Lists at most, and rounds of their fitting.
 LISTS, ROUNDS = 4096, 8
 #: Lists that are read for a query before its radius is known.
@@ -85,7 +89,10 @@ def _listed(shared, kind: str, rest: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
-        for batch in batches:
+        for whole in batches:
+            batch = known_rows(whole, 1)
+            if not batch.num_rows:
+                continue
             raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
             where, far = _nearest_centroid(_unit(raw.astype(np.float64)), centroids)
             size = raw.shape[1] * raw.itemsize
@@ -179,6 +186,22 @@ def _compared(shared, k: int, kind: str):
     return run
 
 
+def _fitted(rows: DataFrame, n: int, sample: int, lists: int) -> np.ndarray:
+    """Centroids of a sample of ``n`` rows (item_id, v); rows of the least hash, packed, pass the driver."""
+    first = rows.filter("v IS NOT NULL").select(F.size("v").alias("dims")).first()
+    if first is None:
+        return np.eye(1, 1)
+    most = max(1, min(sample, FIT_BYTES // (8 * max(1, first.dims))))
+    # the share leaves a margin, since a hash deals about evenly; the limit holds for identifiers that repeat
+    place, slots = F.pmod(F.xxhash64("item_id"), F.lit(1_000_000)), math.ceil(0.9 * most / max(1, n) * 1_000_000)
+    some = (rows if n <= most else rows.filter(place < slots)).select(pack_vector(F.transform("v", lambda x: x.cast("float"))).alias("v"))
+    found = [r.v for r in some.limit(most).collect() if r.v is not None]
+    if not found:
+        return np.eye(1, first.dims)
+    centroids = fit_centroids(_unit(np.frombuffer(b"".join(found), "<f4").reshape(len(found), -1).astype(np.float64)), lists)
+    return centroids if len(centroids) else np.eye(1, first.dims)
+
+
 class VectorIndex:
     """An index folder: ``rows`` in order of (list, dist) and ``lists`` (centroid, least and greatest distance, rows)."""
 
@@ -198,24 +221,23 @@ class VectorIndex:
         """Writes an index of ``corpus`` (vectors of one length; null ones match nothing and are left out) and opens it.
 
         ``filters`` are columns that searches can filter by. There are about as many lists as the root of the rows, LISTS
-        at most. Centroids are fitted to ``sample`` rows, those of the least hash; every row is in the index.
+        at most. Centroids are fitted to about ``sample`` rows and FIT_BYTES of them at most, those of the least hash; every
+        row is in the index. Vectors are computed once, but for the sample's.
         """
         spark, filters = corpus.sparkSession, filters or []
-        rows = corpus.select(F.col(id_col).alias("item_id"), F.col(vector).alias("v"), *filters).filter("v IS NOT NULL")
-        single = rows.schema["v"].dataType.elementType == T.FloatType()
-        kind = "<f4" if single else "<f8"
-        n = rows.count()
-        some = rows.select("v", F.xxhash64("item_id").alias("h")).orderBy("h").limit(sample).collect()
-        dims = len(some[0].v) if some else 1
-        lists = lists or max(1, min(LISTS, round(math.sqrt(n))))
-        centroids = fit_centroids(_unit(np.array([r.v for r in some], np.float64).reshape(-1, dims)), lists)
-        if not len(centroids):
-            centroids = np.eye(1, dims)
+        small_batches(spark)
+        rows = corpus.select(F.col(id_col).alias("item_id"), F.col(vector).alias("v"), *filters)
+        kind = "<f4" if rows.schema["v"].dataType.elementType == T.FloatType() else "<f8"
+        n = rows.select("item_id").count()  # with null vectors
+        centroids = _fitted(rows, n, sample, lists or max(1, min(LISTS, round(math.sqrt(n)))))
         shared = spark.sparkContext.broadcast(centroids)
         item = rows.schema["item_id"]
         schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("item_id", item.dataType), T.StructField("packed", T.BinaryType()), *[rows.schema[c] for c in filters]])
-        placed = rows.mapInArrow(_listed(shared, kind, filters), schema)
-        placed.repartitionByRange("list", "dist").sortWithinPartitions("list", "dist").write.parquet(f"{path}/rows")
+        # the ranges are found in a pass of their own, which reads what is placed and doesn't place it again
+        placed = stage_path(spark, "index-placed")
+        rows.mapInArrow(_listed(shared, kind, filters), schema).write.parquet(placed)
+        spark.read.schema(schema).parquet(placed).repartitionByRange("list", "dist").sortWithinPartitions("list", "dist").write.parquet(f"{path}/rows")
+        remove(spark, placed)
         edges = spark.read.parquet(f"{path}/rows").groupBy("list").agg(F.min("dist").alias("least"), F.max("dist").alias("most"), F.count("*").alias("n"))
         known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)] + [(NOWHERE, [])], "list int, centroid array<double>")
         known.join(edges, "list", "left").na.fill({"n": 0}).coalesce(1).write.parquet(f"{path}/lists")
@@ -296,13 +318,13 @@ class VectorIndex:
     def search(self, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, rules: dict[str, tuple[str, str]] | None = None) -> tuple[DataFrame, float]:
         """What ``cosine_topk`` gives for the same corpus, and the share of similarities that weren't taken.
 
-        Queries are compared in blocks of QUERIES; a block's vectors and its k-th similarities pass the driver.
+        Queries are compared in blocks of QUERIES, or HELD_CELLS distances to centroids; a block's vectors and its k-th similarities pass the driver.
         """
         rules = rules or {}
         rows = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).alias("v"), *[F.col(c).alias(f"_{i}") for i, (_, c) in enumerate(rules.values())]).filter("v IS NOT NULL")
         kind = self.item.simpleString()
         n = rows.count() if self.n else 0
-        blocks, parts = -(-n // QUERIES), []
+        blocks, parts = -(-n // max(1, min(QUERIES, HELD_CELLS // max(1, len(self.centroids))))), []
         best = lambda df: df.filter("query_id IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")).cast("long"))
         for b in range(blocks):
             part = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()

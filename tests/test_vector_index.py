@@ -65,3 +65,34 @@ def test_empty_corpus_and_no_queries(spark, tmp_path):
     assert none.search(df.select("id", "v"), "id", "v", 3)[0].collect() == []
     index = vi.VectorIndex.build(df, str(tmp_path / "i"), "id", "v")
     assert index.search(df.filter("false"), "id", "v", 3)[0].collect() == []
+
+
+def test_an_index_sends_a_bounded_sample_and_computes_vectors_once(spark, tmp_path, monkeypatch):
+    from skeinflow.functions.encoder import encode
+
+    seen, fit = [], vi.fit_centroids
+    monkeypatch.setattr(vi, "fit_centroids", lambda rows, lists: seen.append(rows.shape) or fit(rows, lists))
+    monkeypatch.setattr(vi, "FIT_BYTES", 50 * 8 * 16)
+    texts = spark.sparkContext.accumulator(0)
+
+    def counted(given):
+        texts.add(len(given))
+        return np.array([[np.cos(len(t) * i) for i in range(16)] for t in given]).reshape(-1, 16)
+
+    def rows(n, parts):
+        return spark.range(n, numPartitions=parts).select("id", encode(F.repeat(F.lit("x"), F.col("id").cast("int") % 97), counted).alias("v"))
+
+    index = vi.VectorIndex.build(rows(20_000, 40), str(tmp_path / "i"), "id", "v")
+    assert index.n == 20_000 and len(seen) == 1 and 10 <= seen[0][0] <= 50
+    # once to place them; the length of one comes from the first task, the sample from few rows
+    assert texts.value <= 20_000 + 2 * 500 + 200
+
+
+def test_blocks_of_queries_are_bounded_by_distances(spark, tmp_path, monkeypatch):
+    df = table(spark, 300, 8, seed=4)
+    index = vi.VectorIndex.build(df, str(tmp_path / "i"), "id", "v", lists=20)
+    asked, sizes, held = df.filter("id % 10 = 0").select("id", "v"), [], vi.VectorIndex._asked
+    monkeypatch.setattr(vi, "HELD_CELLS", 20 * 12)
+    monkeypatch.setattr(vi.VectorIndex, "_asked", lambda self, ids, *rest: sizes.append(len(ids)) or held(self, ids, *rest))
+    assert same(index.search(asked, "id", "v", 4)[0].select("query_id", "item_id", "similarity", "rank"), cosine_topk(asked, df, "id", "v", 4))
+    assert len(sizes) > 1
