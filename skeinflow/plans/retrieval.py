@@ -16,6 +16,8 @@ from skeinflow.functions.text import chunks
 from skeinflow.operators.metrics import reciprocal_rank
 from skeinflow.operators.vector_index import VectorIndex
 from skeinflow.operators.vectors import cosine_topk
+from skeinflow.session import small_batches
+from skeinflow.sources.shared import stage
 
 #: Characters of a chunk quoted in a prompt and in the fallback text.
 PROMPT_CHARS, EXCERPT_CHARS = 600, 280
@@ -24,6 +26,7 @@ ROOT = "https://archive.example.org/filings"
 
 def with_vectors(table: DataFrame, source_type: str) -> DataFrame:
     """A chunk table with its source type, company key and embedding."""
+    small_batches(table.sparkSession)
     return table.select("*", F.lit(source_type).alias("source_type"), name_key(F.col("symbol")).alias("company_key"), encode(F.col("body_chunk")).alias("embedding"))
 
 

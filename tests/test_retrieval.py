@@ -165,3 +165,23 @@ def test_other_patterns_go_to_the_library_whole():
     assert bytepairs.encode(enc, "!\n" * 40_000) == enc.encode_ordinary("!\n" * 40_000) == [256] * 40_000
     ids = bytepairs.encode(enc, "x" + " " * 1_000_000 + "y")  # more than the library's engine matches
     assert enc.decode_bytes(ids) == b"x" + b" " * 1_000_000 + b"y"
+
+
+def test_workers_hold_bounded_batches(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def wide(texts):
+        assert len(texts) <= encoder.ROWS
+        sizes.add(1)
+        return np.ones((len(texts), 2))
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    df = spark.range(6000, numPartitions=1).select("id", encoder.encode(F.repeat(F.lit("x"), 2000), wide).alias("v"))
+    assert df.agg(F.count("v").alias("n"), F.sum(F.element_at("v", 1)).alias("s")).first() == (6000, 6000.0) and sizes.value >= 6000 / encoder.ROWS
+    asked = df.filter("id < 3")
+    before = sizes.value
+    found = cosine_topk(asked, df, "id", "v", 2)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # vectors are computed once, not for a filter too
+    assert found.count() == 6 and sizes.value > before
