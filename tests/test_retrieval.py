@@ -185,3 +185,10 @@ def test_workers_hold_bounded_batches(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # vectors are computed once, not for a filter too
     assert found.count() == 6 and sizes.value > before
+
+
+def test_chunk_vectors_are_computed_once(spark):
+    from skeinflow.plans.catalog import QUERIES
+
+    plan = QUERIES["chunk_embeddings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one for each kind of document
