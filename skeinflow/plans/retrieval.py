@@ -85,6 +85,9 @@ PUSHED = 1000
 #: Characters of an error kept in an answer.
 ERROR_CHARS = 200
 
+#: Found chunks up to which they are sent to the corpus for their texts.
+BROADCAST_FOUND = 100_000
+
 #: What a model is asked to do.
 TASK_TEXT = "Answer in one paragraph of four to six plain sentences. Cite two chunks or more by their keys in brackets. Say nothing that chunks and attributions don't support, and say so where they contradict the prediction."
 
@@ -154,7 +157,9 @@ def answers(questions: DataFrame, corpus: DataFrame, predictions: DataFrame, k:
     The source is "model" where ``generator`` answered, "template-fallback" where there is none or it failed, and
     "no-retrieval" where no chunk meets the filters: then nothing is generated and usage is zero.
     """
-    found = retrieve(questions, corpus, k).join(corpus.select(F.col("chunk_key").alias("item_id"), "body_chunk"), "item_id")
+    found = stage(retrieve(questions, corpus, k), "found")  # k rows a question
+    found = F.broadcast(found) if found.count() <= BROADCAST_FOUND else found  # else the whole corpus would be shuffled for them
+    found = found.join(corpus.select(F.col("chunk_key").alias("item_id"), "body_chunk"), "item_id")
     cite = F.concat(F.lit("["), F.col("item_id"), F.lit("]"))
     body = F.coalesce("body_chunk", F.lit(""))
     quote = F.concat(cite, F.lit(" sim="), F.format_number("similarity", 3), F.lit(": "), F.substring(body, 1, EXCERPT_CHARS), F.lit("..."))

@@ -192,3 +192,20 @@ def test_chunk_vectors_are_computed_once(spark):
 
     plan = QUERIES["chunk_embeddings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2  # one for each kind of document
+
+
+def test_texts_of_found_chunks_need_no_shuffle_of_the_corpus(spark, monkeypatch):
+    known = spark.createDataFrame([], "symbol string, trade_date date, model_rung long, prob_up double, predicted_class long, attributions string")
+    asked = spark.createDataFrame([(1, "supply chain risk", "A", date(2000, 12, 31), None, 2), (2, "x", "Z", None, None, 2)], QUESTION)
+    given, threshold = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (100_000, 0):
+            monkeypatch.setattr(retrieval, "BROADCAST_FOUND", most)
+            df = retrieval.answers(asked, corpus(spark), known, 2)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin [item_id" in plan) == (most > 0)
+            given[most] = sorted(map(str, df.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert given[0] == given[100_000] and len(given[0]) == 2
