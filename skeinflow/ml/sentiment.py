@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.sources.shared import stage
+
 #: Slots for terms, penalty on the weights' squares, rounds of the descent, least rows that a term occurs in.
 SLOTS, PENALTY, ROUNDS, RARE = 1 << 16, 1e-4, 50, 2
 #: The classes in order.
@@ -25,8 +27,13 @@ NEGATIVE, NEUTRAL, POSITIVE = 0, 1, 2
 def terms(text: Column) -> Column:
     """Lower-case words (runs of letters and digits) and neighbouring pairs of them; null counts as empty."""
     words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        short = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, short), F.slice(w, 2, short), lambda a, b: F.concat_ws(" ", a, b)))
+
+    # the words get a name of their own, as the variable of an array of one: they would be split for each use otherwise
+    return F.get(F.transform(F.array(words), with_pairs), F.lit(0))
 
 
 @dataclass
@@ -59,14 +66,17 @@ class FittedSentiment:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> FittedSentiment:
     """Learns from rows with a label (0 negative, 1 neutral, 2 positive); null labels and blank texts are left out. Classes
     count alike, however many rows they have."""
-    rows = labelled.select(terms(F.col(text_col)).alias("_terms"), F.col(label_col).cast("double").alias("_label")).filter("_label IS NOT NULL AND size(_terms) > 0")
-    sizes = {r._label: r["count"] for r in rows.groupBy("_label").count().collect()}  # a row for each class
+    rows = labelled.select(terms(F.col(text_col)).alias("_terms"), F.col(label_col).cast("double").alias("_label")).filter("_label IS NOT NULL")
+    counter = HashingTF(numFeatures=SLOTS, inputCol="_terms", outputCol="_counts")
+    # texts are read and counted once; what follows passes over the counts
+    counted = stage(counter.transform(rows).select("_label", "_counts", F.size("_terms").alias("_n")), "terms").filter("_n > 0")
+    sizes = {r._label: r["count"] for r in counted.groupBy("_label").count().collect()}  # a row for each class
     if not sizes:
         return FittedSentiment(None)
     share = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, sum(sizes.values()) / len(sizes) / n)])
-    rows = rows.withColumn("_weight", share[F.col("_label")])
     steps = [
-        HashingTF(numFeatures=SLOTS, inputCol="_terms", outputCol="_counts"), IDF(minDocFreq=RARE, inputCol="_counts", outputCol="_weighed"), Normalizer(inputCol="_weighed", outputCol="_features"),
+        IDF(minDocFreq=RARE, inputCol="_counts", outputCol="_weighed"), Normalizer(inputCol="_weighed", outputCol="_features"),
         LogisticRegression(family="multinomial", featuresCol="_features", labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class", weightCol="_weight", regParam=PENALTY, maxIter=ROUNDS),
     ]
-    return FittedSentiment(Pipeline(stages=steps).fit(rows))
+    learnt = Pipeline(stages=steps).fit(counted.withColumn("_weight", share[F.col("_label")]))
+    return FittedSentiment(PipelineModel([counter, *learnt.stages]))

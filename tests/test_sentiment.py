@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,18 @@ def test_kept_models_and_articles(spark, model, tmp_path):
     got = {r.key: r for r in score_articles(rows, "key", "body", again).collect()}
     assert got["k"].pos_prob > 0.5 and str(got["k"].trade_date) == "2024-01-02" and got["l"].neu_prob == 1.0 and got["l"].trade_date is None
     assert got["k"].pos_prob == model.scored(rows.filter(F.col("key") == "k"), "body").first().s.pos_prob
+
+
+def test_texts_are_counted_once(spark):
+    from skeinflow.functions.encoder import encode
+
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows(random.Random(3), 300), "id long, text string, label int").repartition(3)
+    seen = encode(F.col("text"), lambda texts: read.add(len(texts)) or np.ones((len(texts), 1)))
+    told = df.withColumn("text", F.when(F.get(seen, 0) > 0, F.col("text")))
+    assert sentiment.fit(told).scored(df, "text").count() == 300 and read.value == 300
+
+
+def test_terms(spark):
+    df = spark.createDataFrame([("One, two THREE",), ("x",), ("",), (None,)], "t string")
+    assert [r.w for r in df.select(sentiment.terms(F.col("t")).alias("w")).collect()] == [["one", "two", "three", "one two", "two three"], ["x"], [], []]
