@@ -284,3 +284,11 @@ def test_features_known_by_fold(spark, panel):
         want = 0.0 if r.company_key != "x" or r.fold_id == "none" else 7.0 * (r.trade_date >= DAYS[50]) if r.fold_id == "b" else 2.0 if r.trade_date >= DAYS[50] else 1.0 * (r.trade_date >= DAYS[5])
         assert r.pc == want
     assert len(rows) == trees._windows(panel, folds_frame(spark, FOLDS), ["f1"], "y_5d_up").count()
+
+
+def test_a_panel_reads_the_large_tables_once(spark):
+    from skeinflow.plans.catalog import QUERIES
+
+    for name in ("feature_panel", "feature_panel_pca"):
+        read = " ".join(QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
+        assert not [t for t in ("orders", "lineitem", "events", "embeddings") if f"/{t}.parquet" in read]  # its parts were written
