@@ -25,8 +25,8 @@ from skeinflow.llm.staging import bound_batches, stage
 
 #: Distinct words, and bytes of text, after which a task passes its counts on.
 COUNT_WORDS, COUNT_BYTES = 1 << 18, 1 << 28
-#: Keys that a task sorts at once, and about how many a range holds.
-FLUSH, RANGE = 1 << 20, 1 << 21
+#: Keys that a task sorts at once, about how many a range holds, and how many a range's task takes in before it merges them.
+FLUSH, RANGE, HELD = 1 << 20, 1 << 20, 1 << 20
 #: Ranges at most, and keys in the sample that places their splitters, at least and for each range.
 RANGES, SAMPLE, SAMPLE_RANGE = 1 << 18, 100_000, 8
 #: Words and bytes of a dictionary that is broadcast; of a larger one each chunk of texts gets its own words by a join.
@@ -109,14 +109,14 @@ def _runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Distinct keys in order, by radix passes from the last digit to the first, with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.arange(len(keys))
+    order = np.arange(len(keys), dtype=np.uint32)
     for j in range(keys.shape[1] - 1, -1, -1):
         digit = keys[:, j]
         if digit.min() != digit.max():
             order = order[np.argsort(digit[order], kind="stable")]  # numpy sorts 16-bit numbers by radix
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    return keys[starts], np.add.reduceat(counts, starts)
+    return keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
 
 
 def _texts(keys: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ class _Sorter:
     def flush(self) -> pa.RecordBatch:
         rows = []
         if self.n:
-            keys, counts = _runs(np.concatenate(self.held), np.ones(self.n, np.int64))
+            keys, counts = _runs(np.concatenate(self.held), np.ones(self.n, np.uint32))
             cuts = np.concatenate([[0], np.searchsorted(_texts(keys), self.splitters), [len(keys)]])
             rows = [(r, int(b - a), keys[a:b].T.tobytes(), counts[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         self.held, self.n = [], 0
@@ -222,7 +222,9 @@ def _merged(digits: int, most: int, least: int):
     width = digits * most
 
     def close(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        return _runs(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        whole = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        parts.clear()
+        return _runs(*whole)
 
     def phrases(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         differ = keys[1:] != keys[:-1]
@@ -241,17 +243,18 @@ def _merged(digits: int, most: int, least: int):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(totals), pa.int64())], names=["phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, held = None, [], 0
+        now, parts, held, merged = None, [], 0, 0
         for batch in batches:
             for part, n, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now:
                     if parts:
                         yield phrases(*close(parts))
-                    now, parts, held = part, [], 0
-                parts.append((np.frombuffer(keys, np.uint16).reshape(width, n).T, np.frombuffer(counts, np.uint32).astype(np.int64)))
+                    now, parts, held, merged = part, [], 0, 0
+                parts.append((np.frombuffer(keys, np.uint16).reshape(width, n).T, np.frombuffer(counts, np.uint32)))
                 held += n
-                if held >= 4 * RANGE:  # what repeats becomes one before more is held
-                    parts, held = [close(parts)], 0
+                if held >= max(HELD, merged):  # what repeats becomes one before more is held
+                    parts = [close(parts)]
+                    held, merged = 0, len(parts[0][0])
         if parts:
             yield phrases(*close(parts))
 

@@ -1,8 +1,12 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from skeinflow.llm import collocations as module
@@ -83,6 +87,28 @@ def test_scores_pass_64_bits(spark):
     assert got == 1000 * (10**13 - 7) * (10**14 + 3) // ((10**13 - 1) * (10**13 - 3))
 
 
+def packed(rng, pool, rows, n):
+    """Packed rows of one range, each of n draws from a pool of keys."""
+    for _ in range(rows):
+        keys, counts = module._runs(pool[rng.integers(0, len(pool), n)], np.ones(n, np.uint32))
+        columns = [[7], [len(keys)], [keys.T.tobytes()], [counts.astype(np.uint32).tobytes()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "n", "keys", "counts"])
+
+
+def test_a_range_that_repeats_is_held_merged():
+    """A range far above the usual size: 7 million counted keys, of which 400,000 differ."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(1, 60_000, (400_000, 5)).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        found = [pc.sum(b.column(1).filter(pc.equal(pc.binary_length(b.column(0)), 10))).as_py() for b in module._merged(1, 5, 1)(packed(rng, pool, 27, 400_000))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [27 * 400_000]
+    assert peak < 330e6, peak
+
+
 def test_empty_table(spark):
     assert answer(spark, []) == []
     assert answer(spark, [("en", "one two three")]) == []
