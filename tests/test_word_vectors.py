@@ -2,13 +2,19 @@
 
 import random
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from skeinflow.functions.encoder import encode, hashed
+from skeinflow.functions import text as txt
+from skeinflow.functions.encoder import encode, encode_halves, hashed
 from skeinflow.ml import word_vectors as wv
+from skeinflow.operators import vectors as vec
 from skeinflow.operators.metrics import reciprocal_rank
-from skeinflow.operators.vectors import cosine_topk
+from skeinflow.operators.vectors import cosine_topk, own_ranks
 
 #: Pairs of words that are said in each other's place.
 ALIKE = [("profit", "earnings"), ("rose", "climbed"), ("fell", "dropped"), ("bank", "lender"), ("staff", "employees"), ("plant", "factory"), ("ship", "vessel"), ("price", "cost"), ("big", "large"), ("quick", "fast"), ("begin", "start"), ("car", "vehicle"), ("buy", "purchase"), ("firm", "company"), ("city", "town"), ("rain", "drizzle")]
@@ -79,3 +85,52 @@ def test_empty_corpora_and_texts(spark):
     assert not none(["one", ""]).any()
     model = wv.fit(spark.createDataFrame([("a b c d",)] * 10, "text string"), dims=3)
     assert model(["", "zz"]).any() == 0 and model(["a b"]).shape == (1, 3)
+
+
+@pytest.mark.parametrize("sizes", ["whole", "small"])
+def test_own_ranks_are_those_of_the_nearest(spark, monkeypatch, sizes):
+    """With ties, copies and vectors without a direction; queries that first items settle, and others."""
+    if sizes == "small":
+        for name, size in (("FIRST", 5), ("QUERIES", 11), ("CELLS", 64)):
+            monkeypatch.setattr(vec, name, size)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        v = rng.integers(-1, 2, 4).astype(float)
+        q = v + rng.normal(0, 0.2, 4) if i % 3 else v
+        rows.append((i * 7 % 400, [0.0] * 4 if i % 41 == 0 else q.tolist(), v.tolist()))
+    rows.append((None, [1.0, 0.0, 0.0, 0.0], [0.01, 0.0, 1.0, -5.0]))
+    df = spark.createDataFrame(rows, "id long, q array<double>, v array<double>").repartition(3)
+    got = {r.query_id: r["rank"] for r in own_ranks(df, "id", "q", "v", 10, F.col("id") % 4 == 0).collect()}
+    near = cosine_topk(df.filter("id % 4 = 0").select("id", F.col("q").alias("v")), df, "id", "v", 10).filter("query_id = item_id").collect()
+    assert len(got) == 100 and {q: r for q, r in got.items() if r is not None} == {r.query_id: r["rank"] for r in near}
+    assert own_ranks(df.filter("false"), "id", "q", "v", 10, F.col("id") % 4 == 0).collect() == []
+
+
+def test_settled_queries_are_asked_no_further(monkeypatch):
+    """Queries with k items before their own one don't meet the rest, so work doesn't grow with queries times items."""
+    rng = np.random.default_rng(6)
+    items, queries = rng.normal(size=(20_000, 8)), rng.normal(size=(300, 8))
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    own = np.where(np.arange(300) < 6, 1.1, 0.2)  # six keep their place to the end
+    cells, whole = [], vec._ahead
+    monkeypatch.setattr(vec, "_ahead", lambda ids, matrix, own, items, rows: cells.append(len(ids) * len(items)) or whole(ids, matrix, own, items, rows))
+    monkeypatch.setattr(vec, "CELLS", 1 << 15)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(items.ravel()), 8).cast(pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000) + 1000), lists], names=["id", "v"])
+    shared = SimpleNamespace(value=(np.arange(300), queries, own))
+    found = {q: n for b in vec._counted_ahead(shared, 10)(iter([batch])) for q, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert sorted(found) == list(range(6, 300)) and min(found.values()) >= 10
+    assert sum(cells) < 0.05 * 300 * 20_000
+
+
+def test_halves_are_encoded_as_columns_are(spark):
+    texts = [None, "", " \t\n", "one", "One two\tTHREE  four\r\nfive ", "\u00a0x y\u2003z \u0130 \u03a3\u03a3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = df.select("doc_id", txt.tokens(F.col("text")).alias("w"))
+    half = lambda k: F.array_join(F.filter("w", lambda x, i: i % 2 == k), " ")
+    model = wv.WordVectors(["one", "two", "five"], np.random.default_rng(1).normal(size=(3, 6)), np.array([5.0, 4.0, 3.0]))
+    encoders = {"hashed": hashed, "learnt": model}
+    want = words.select("doc_id", *[encode(half(k), e).alias(f"{name}_{k}") for name, e in encoders.items() for k in (0, 1)])
+    got = encode_halves(df, "doc_id", "text", encoders)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
