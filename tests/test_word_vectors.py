@@ -102,7 +102,7 @@ def test_own_ranks_are_those_of_the_nearest(spark, monkeypatch, sizes):
     rows.append((None, [1.0, 0.0, 0.0, 0.0], [0.01, 0.0, 1.0, -5.0]))
     df = spark.createDataFrame(rows, "id long, q array<double>, v array<double>").repartition(3)
     got = {r.query_id: r["rank"] for r in own_ranks(df, "id", "q", "v", 10, F.col("id") % 4 == 0).collect()}
-    near = cosine_topk(df.filter("id % 4 = 0").select("id", F.col("q").alias("v")), df, "id", "v", 10).filter("query_id = item_id").collect()
+    near = cosine_topk(df.filter("id % 4 = 0").select("id", F.col("q").alias("v")), df.fillna(-1, ["id"]), "id", "v", 10).filter("query_id = item_id").collect()
     assert len(got) == 100 and {q: r for q, r in got.items() if r is not None} == {r.query_id: r["rank"] for r in near}
     assert own_ranks(df.filter("false"), "id", "q", "v", 10, F.col("id") % 4 == 0).collect() == []
 
