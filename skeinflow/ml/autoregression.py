@@ -23,7 +23,8 @@ ORDERS = [(p, q) for p in range(LAGS + 1) for q in range(LAGS + 1)]
 #: its differences, the parts of a step that are tried, and the gain at which it ends.
 EDGE, STEADY, STEPS, WIDTH, ENOUGH = 0.98, 1e-9, 25, 1e-4, 1e-2
 REACH = np.array([2.0, 1.0, 0.5, 0.2, 0.05, 0.005])
-#: Test days of a company and fold that are predicted at most, evenly thinned.
+#: Test days of a company and fold that ``walk_forward`` predicts where it isn't told otherwise, evenly thinned, as its model
+#: does. The queries predict all.
 MOST = 20
 #: The 5 % point of the test of level stationarity (Kwiatkowski et al., 1992).
 WANDERS = 0.463
@@ -176,9 +177,9 @@ def forecast(series: np.ndarray, ahead: int = AHEAD) -> np.ndarray:
     return series[-1] + np.cumsum(out) if d else np.array(out, float)
 
 
-def thinned(n: int, most: int = MOST) -> np.ndarray:
-    """Which of ``n`` rows are predicted: every (n // most)th, ``most`` of them at most."""
-    return np.arange(0, n, max(1, n // most))[:most] if n > most else np.arange(n)
+def thinned(n: int, most: int | None = MOST) -> np.ndarray:
+    """Which of ``n`` rows are predicted: every (n // most)th, ``most`` of them at most; all without ``most``."""
+    return np.arange(0, n, max(1, n // most))[:most] if most is not None and n > most else np.arange(n)
 
 
 def probability(series: np.ndarray) -> float:
@@ -191,8 +192,9 @@ def probability(series: np.ndarray) -> float:
     return 1 / (1 + math.exp(-min(max(total / scale, -700), 700)))
 
 
-def walk_forward(panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """date_key, company_key, model_rung (0), fold_id, prob_up, predicted_class of a company's thinned test days."""
+def walk_forward(panel: DataFrame, folds: DataFrame, most: int | None = MOST) -> DataFrame:
+    """date_key, company_key, model_rung (0), fold_id, prob_up, predicted_class of a company's test days: ``most`` of them in a
+    fold at most, evenly thinned, or all without ``most``. A company is fitted once for a fold, so more days cost no fit."""
     every = folds.select(F.collect_list(F.struct(*folds.columns)).alias("folds"))
     near = lambda f: F.col("trade_date").between(f["train_start"], f["train_end"]) | F.col("trade_date").between(f["test_start"], f["test_end"])
     rows = panel.select("date_key", "company_key", "trade_date", "log_ret_1d").crossJoin(F.broadcast(every)).select("*", F.explode(F.filter("folds", near)).alias("f"))
@@ -201,7 +203,7 @@ def walk_forward(panel: DataFrame, folds: DataFrame) -> DataFrame:
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("trade_date")
         test = part[part["test"]]
-        test = test.iloc[thinned(len(test))]
+        test = test.iloc[thinned(len(test), most)]
         p = round(probability(part[~part["test"]]["log_ret_1d"].to_numpy(float)), 5)
         return pd.DataFrame({"date_key": test["date_key"], "company_key": test["company_key"], "model_rung": 0, "fold_id": test["fold_id"], "prob_up": p, "predicted_class": int(p > 0.5)})
 

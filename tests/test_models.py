@@ -108,6 +108,18 @@ def test_rung_0_walks_forward(spark, panel):
     assert got == want
 
 
+def test_rung_0_of_the_queries_predicts_every_test_day(spark):
+    """As ``rung0_ar`` and ``fitted_backtest`` take it: none of a window's days is left out."""
+    from skeinflow.plans import catalog
+
+    days = [date(1998, 1, 2) + timedelta(i) for i in range(90)]  # too few to fit: no time goes into fits
+    rows = spark.createDataFrame([(f"{c}{i}", c, day, 0.01 * i) for c in ("x", "y") for i, day in enumerate(days)], "date_key string, company_key string, trade_date date, log_ret_1d double")
+    folds = catalog._folds(spark).collect()
+    want = sorted((c, f"{c}{i}", f.fold_id) for c in ("x", "y") for i, day in enumerate(days) for f in folds if f.test_start <= day <= f.test_end)
+    assert max(sum(k[0] == "x" and k[2] == f.fold_id for k in want) for f in folds) > 50
+    assert sorted((r.company_key, r.date_key, r.fold_id) for r in catalog._rung0(spark, None, rows).collect()) == want
+
+
 @pytest.mark.parametrize("fit_rows", [200_000, 120])
 def test_trees_walk_forward(spark, panel, fit_rows):
     use = trees.Settings(trees=20, fit_rows=fit_rows)
